@@ -6,11 +6,11 @@ DataFrame; ``ORACLE[name]`` is the same computation in ANSI SQL for DuckDB.
 
 from __future__ import annotations
 
-from . import clean
+from . import clean, frames
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-for _mod in (clean,):
+for _mod in (clean, frames):
     QUERIES.update(_mod.QUERIES)
     ORACLE.update(_mod.ORACLE)

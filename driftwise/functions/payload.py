@@ -126,3 +126,27 @@ def payload_json(df: DataFrame, col: str = "payload") -> Column:
     if kind == "json":
         return F.col(col)
     return F.to_json(F.col(col))
+
+
+def set_field(df: DataFrame, field: str, value: Column, col: str = "payload") -> Column:
+    """Payload with ``field`` set to ``value`` (null value -> payload unchanged).
+
+    STRUCT payloads get a new struct field; JSON text payloads get the key
+    appended (or replaced when present)."""
+    kind = payload_kind(df, col)
+    if kind == "struct":
+        return F.col(col).withField(field, value)
+    text = F.col(col) if kind == "json" else F.to_json(F.col(col))
+    entry = F.concat(F.lit(f'"{field}":'), F.to_json(F.array(value)).substr(F.lit(2), F.length(F.to_json(F.array(value))) - 2))
+    empty = F.regexp_like(text, F.lit(r"^\s*\{\s*\}\s*$"))
+    appended = F.when(empty, F.concat(F.lit("{"), entry, F.lit("}"))).otherwise(
+        F.concat(F.regexp_replace(text, r"\s*\}\s*$", ""), F.lit(","), entry, F.lit("}"))
+    )
+    present = _variant_item(df, field, col).isNotNull() if kind == "json" else F.lit(False)
+    replaced = F.to_json(
+        F.map_concat(
+            F.map_filter(F.from_json(text, "map<string,string>"), lambda k, v: k != F.lit(field)),
+            F.create_map(F.lit(field), value.cast("string")),
+        )
+    )
+    return F.when(value.isNull(), text).when(present, replaced).otherwise(appended)

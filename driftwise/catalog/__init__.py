@@ -6,11 +6,11 @@ DataFrame; ``ORACLE[name]`` is the same computation in ANSI SQL for DuckDB.
 
 from __future__ import annotations
 
-from . import clean, detect, frames
+from . import api, clean, detect, frames
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-for _mod in (clean, frames, detect):
+for _mod in (clean, frames, detect, api):
     QUERIES.update(_mod.QUERIES)
     ORACLE.update(_mod.ORACLE)

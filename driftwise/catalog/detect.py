@@ -63,11 +63,9 @@ SELECT event_id, "timestamp", {r6('prev_mean')} AS prev_mean, {r6('new_mean')} A
 FROM d WHERE drift"""
 
 
-def _cluster_sql() -> str:
+def cluster_body() -> str:
+    """Cluster-change rows (unrounded): event_id, timestamp, cluster, dominant, ratio, prev_cluster."""
     w = CLUSTER_WINDOW
-    dist = []
-    for k, (cx, cy) in enumerate(CENTROIDS):
-        dist.append(f"(({k}::INT, (price - {cx}) * (price - {cx}) + (quantity - {cy}) * (quantity - {cy})))")
     # nearest centroid, ties -> lowest index
     best = " , ".join(f"(price - {cx}) * (price - {cx}) + (quantity - {cy}) * (quantity - {cy})" for cx, cy in CENTROIDS)
     pred_case = "CASE " + " ".join(
@@ -88,21 +86,20 @@ h AS (SELECT *, CASE WHEN rn >= {2 * w - 1} THEN dom[3] END AS dominant,
 e AS (SELECT *, CASE WHEN rn = {w} THEN cluster ELSE dominant END AS reg FROM h
       WHERE rn = {w} OR ratio >= {CLUSTER_THRESHOLD}),
 l AS (SELECT *, lag(reg) OVER ({_W}) AS prev_cluster FROM e)
-SELECT event_id, "timestamp", cluster, dominant, {r6('ratio')} AS ratio, prev_cluster
+SELECT event_id, "timestamp", cluster, dominant, ratio, prev_cluster
 FROM l WHERE ratio >= {CLUSTER_THRESHOLD} AND dominant <> prev_cluster"""
 
 
-def _hst_sql() -> str:
+def hst_body() -> str:
+    """HST scores (unrounded): source, event_id, timestamp, score."""
     p = HST
     n_trees, height, win = p["n_trees"], p["height"], p["window_size"]
     trees = build_trees(1, n_trees, height, p["seed"])
     vals = ", ".join(f"({t}, [{', '.join(repr(float(s)) for s in sp)}])" for t, (_, sp) in enumerate(trees))
     steps = []
-    prev = "1"
     for d in range(1, height + 1):
         cur = f"(2 * n{d - 1} + CASE WHEN x >= list_extract(splits, n{d - 1} + 1) THEN 1 ELSE 0 END)"
         steps.append(f"s{d} AS (SELECT *, {cur} AS n{d} FROM s{d - 1})")
-        prev = cur
     node_list = "[" + ", ".join(f"n{d}" for d in range(height + 1)) + "]"
     limit = 0.1 * win
     norm = float(n_trees * win * 2 ** height)
@@ -114,15 +111,15 @@ r AS (SELECT *, row_number() OVER ({_W}) AS rn FROM sc),
 trees(tree, splits) AS (VALUES {vals}),
 s0 AS (SELECT r.*, (rn - 1) // {win} AS blk, tree, splits, 1 AS n0 FROM r CROSS JOIN trees),
 {', '.join(steps)},
-ex AS (SELECT source, event_id, blk, tree, unnest(range(0, {height + 1})) AS depth,
+ex AS (SELECT source, event_id, "timestamp", blk, tree, unnest(range(0, {height + 1})) AS depth,
               unnest({node_list}) AS node FROM s{height}),
 mass AS (SELECT source, blk + 1 AS blk, tree, node, count(*) AS m FROM ex GROUP BY ALL),
 j AS (SELECT ex.*, coalesce(mass.m, 0) AS m FROM ex LEFT JOIN mass USING (source, blk, tree, node)
       WHERE ex.blk >= 1),
-t AS (SELECT source, event_id, tree,
+t AS (SELECT source, event_id, "timestamp", tree,
              arg_min(m * pow(2.0, depth), CASE WHEN m <= {limit} OR depth = {height} THEN depth END) AS v
       FROM j GROUP BY ALL)
-SELECT event_id, {r6(f'1.0 - sum(v) / {norm}')} AS score FROM t GROUP BY source, event_id"""
+SELECT source, event_id, "timestamp", 1.0 - sum(v) / {norm} AS score FROM t GROUP BY ALL"""
 
 
 QUERIES = {
@@ -139,6 +136,7 @@ SELECT event_id, {r6('price')} AS score,
        price > CASE WHEN count(price) OVER ({_W} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) > 10 THEN quantile_cont(price, 0.95) OVER ({_W} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) ELSE 0.5 END AS alert
 FROM ev WHERE price IS NOT NULL""",
     "drift_adjacent": _drift_sql(),
-    "cluster_change": _cluster_sql(),
-    "hst_scores": _hst_sql(),
+    "cluster_change": f"""SELECT event_id, "timestamp", cluster, dominant, {r6('ratio')} AS ratio, prev_cluster
+FROM ({cluster_body()})""",
+    "hst_scores": f"SELECT event_id, {r6('score')} AS score FROM ({hst_body()})",
 }

@@ -26,7 +26,7 @@ def parse_duration(text: str) -> int:
 
 def duration_seconds(col: Column) -> Column:
     """Expression form of :func:`parse_duration` for a column of duration text."""
-    n = F.regexp_extract(col, r"^(\d+)", 1).cast("long")
+    n = F.regexp_extract(col, r"^(\d+)", 1).try_cast("long")
     unit = F.lower(F.regexp_extract(col, r"([A-Za-z])$", 1))
     return (
         F.when(unit == "s", n)

@@ -37,7 +37,7 @@ def events_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("timestamp"),
         F.struct(
             F.col("value").alias("price"),
-            F.get_json_object("props", "$.k").cast("long").alias("quantity"),
+            F.get_json_object("props", "$.k").try_cast("long").alias("quantity"),
             F.col("user_id").alias("user_id"),
         ).alias("payload"),
         F.lit(ADAPTER_META).alias("meta"),

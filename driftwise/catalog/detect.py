@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..detectors.adwin import adwin_flags
 from ..detectors.cluster import cluster_windows
 from ..detectors.common import adaptive_threshold
 from ..detectors.drift import adwin_epsilon, drift_flags
@@ -122,7 +123,15 @@ t AS (SELECT source, event_id, "timestamp", tree,
 SELECT source, event_id, "timestamp", 1.0 - sum(v) / {norm} AS score FROM t GROUP BY ALL"""
 
 
+def q_adwin_drift(spark, sf):
+    """Exact sequential ADWIN on events.price per source (no SQL oracle:
+    rows-only check here; tests compare it with a plain-Python run)."""
+    fl = adwin_flags(events_envelope(spark, sf), ["price"], DRIFT_DELTA, DRIFT_GRACE)
+    return finish(fl.select("event_id", "timestamp", "field", "prev_mean", "new_mean", "change_pct", "width"))
+
+
 QUERIES = {
+    "adwin_drift": q_adwin_drift,
     "adaptive_threshold": q_adaptive_threshold,
     "drift_adjacent": q_drift_adjacent,
     "cluster_change": q_cluster_change,

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payload import numeric_field
+from ..functions.payload import numeric_field, payload_kind
 from ..functions.timefmt import parse_duration
 
 KEY = ("source", "type")
@@ -79,12 +79,15 @@ def aggregate(
             cols.append(F.concat(F.col("type"), F.lit("_aggregated")).alias("type"))
         else:
             cols.append(F.col(k))
+    payload = F.struct("open", "high", "low", "close", "volume", "count")
+    if payload_kind(df) == "json":  # keep the payload's physical form
+        payload = F.to_json(payload)
     return bars.select(
         "event_id",
         *cols,
         F.col("_w.end").alias("timestamp"),
         F.col("_w.start").alias("window_start"),
-        F.struct("open", "high", "low", "close", "volume", "count").alias("payload"),
+        payload.alias("payload"),
         meta.alias("meta"),
     )
 

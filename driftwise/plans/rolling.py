@@ -36,6 +36,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint_dir
+
 # Broadcast the per-(key, chunk) counts only below this many rows.
 BROADCAST_STATS_ROWS = 2_000_000
 QUANTILE_REL_ERROR = 1e-3
@@ -96,17 +98,41 @@ def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], broa
     return out.drop(*[f"_r_{c}" for c in cols])
 
 
+def has_shuffle(df: DataFrame) -> bool:
+    """True when the DataFrame's physical plan already contains an exchange."""
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    except Exception:  # noqa: BLE001 - not a classic DataFrame
+        return False
+    return "Exchange" in plan
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the session's checkpoint folder
+    (``spark.checkpoint.dir``; a scratch folder only when unset, e.g. tests), so
+    the planning passes below do not recompute an expensive input and a lost
+    executor does not replay it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def index_within_key(
     df: DataFrame,
     key: Sequence[str],
     order: Sequence[str],
     n_chunks: int | None = None,
     with_stats: bool = False,
+    cut: bool | None = None,
 ):
     """Add ``_rn`` (1-based row index within key, in ``order``) without ever
     putting a whole key into one task. Returns the DataFrame (and, when
-    ``with_stats``, the total row count)."""
+    ``with_stats``, the total row count).
+
+    The bounds and counts are two small jobs over ``df``; when ``df`` is itself
+    the result of shuffles (``cut=None`` -> detected) it is checkpointed first."""
     key, order = list(key), list(order)
+    if cut or (cut is None and has_shuffle(df)):
+        df = materialize(df)
     n = n_chunks or _default_chunks(df)
     q = _numeric_lead(df, order[0])
     if q is None or n <= 1:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payload import has_field, numeric_field, set_field
+from ..functions.payload import numeric_field, set_field
 from ..plans.rolling import Frame, over_rows
 
 KEY = ("source", "type")
@@ -45,7 +45,7 @@ def extract_features(
     order: Sequence[str] = ORDER,
     split: bool = True,
 ) -> DataFrame:
-    """Add each feature as a column (and payload key) on rows that carry ``value``.
+    """Add each feature as a column (and payload key) on rows with a numeric ``value``.
 
     The history is every row of the key (rows without the value count as 0) and
     is capped at ``2 * window_size`` rows, so a feature needing more rows than
@@ -61,8 +61,10 @@ def extract_features(
     if not specs:
         return df
     need = max((p + 1 if k == "rsi" else p) for _, k, p in specs)
+    # outputs go to rows carrying a numeric ``value`` (a null or text value would
+    # make the reference's arithmetic fail on that event)
     x = df.withColumn("_x", F.coalesce(numeric_field(df, value), F.lit(0.0))).withColumn(
-        "_has", has_field(df, value)
+        "_has", numeric_field(df, value).isNotNull()
     )
 
     def build(fr: Frame):

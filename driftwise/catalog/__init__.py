@@ -6,12 +6,12 @@ DataFrame; ``ORACLE[name]`` is the same computation in ANSI SQL for DuckDB.
 
 from __future__ import annotations
 
-from . import api, clean, detect, frames, io
+from . import api, clean, detect, extras, frames, io
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-for _mod in (clean, frames, detect, api, io):
+for _mod in (clean, frames, detect, api, io, extras):
     QUERIES.update(_mod.QUERIES)
     ORACLE.update(_mod.ORACLE)
 

@@ -44,7 +44,7 @@ def latency_stats(df: DataFrame, latency: str, labels: Sequence[str] = (), appro
             F.avg(lat).alias("mean"), qs.alias("_q")]
     if time_span:
         span = F.unix_micros(F.max(time_span).cast("timestamp")) - F.unix_micros(F.min(time_span).cast("timestamp"))
-        aggs.append((F.count(lat) / (span / 1e6)).alias("throughput"))
+        aggs.append(F.try_divide(F.count(lat), span / 1e6).alias("throughput"))
     out = df.groupBy(*labels).agg(*aggs)
     return out.select(*labels, *[c for c in out.columns if c not in labels and c != "_q"],
                       F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p95"), F.col("_q")[2].alias("p99"))

@@ -7,4 +7,4 @@ def test_entry_and_registry(spark):
     df.count()
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert len(qs) >= 36
+    assert len(qs) >= 60

@@ -7,3 +7,11 @@ clean and pattern tables that can be queried, explained and rated.
 """
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions of this package that run in Python workers are sent by value, so that
+# executors need neither the package on their path nor the driver's folder.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

@@ -3,6 +3,7 @@ lineage cuts, and broadcasts behind a measured size."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -40,6 +41,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in that folder: smaller than a checkpoint for tables of
+    a row per line, sentence or shingle, and later reads take the columns they need."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
                    small: bool = False) -> DataFrame:
     """Equi-join in which null keys meet; the right side's keys are dropped.

@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, packed, row_key, with_columns
+from .common import materialize, packed, row_key, with_columns, written
 
 # A text's units; joined by the joiner they give the text again.
 Split = Callable[[str], list[str]]
@@ -20,6 +21,8 @@ Form = Callable[[str], str]
 # Lengths (in units) of the run that starts at each place, 0 for none.
 Runs = Callable[[Sequence[str]], list[int]]
 
+SLICE = 256  # documents handled at once in a task
+
 
 def run_hashes(docs: DataFrame, split: Split, form: Form, runs: Runs) -> DataFrame:
     """``(__id, __k1, __k2, __p, __len, __h1, __h2)``: a row per run, from ``(__id,
@@ -27,23 +30,22 @@ def run_hashes(docs: DataFrame, split: Split, form: Form, runs: Runs) -> DataFra
     kind = docs.schema["__id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, starts, sizes, h1, h2 = [], [], [], [], []
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
+            rows, starts, sizes, digests = [], [], [], []
             for r, text in enumerate(b.column(3)):
                 units = [u for u in map(form, split(text.as_py() or "")) if u]
                 for p, n in enumerate(runs(units)):
                     if n:
-                        d = xxhash.xxh3_128_intdigest("\n".join(units[p:p + n]).encode("utf-8", "surrogatepass"))
+                        digests.append(xxhash.xxh3_128_digest("\n".join(units[p:p + n]).encode("utf-8", "surrogatepass")))
                         rows.append(r)
                         starts.append(p)
                         sizes.append(n)
-                        h1.append(d & 0xFFFFFFFFFFFFFFFF)
-                        h2.append(d >> 64)
             take = pa.array(rows, pa.int64())
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [b.column(i).take(take) for i in range(3)] + [
                     pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()),
-                    pa.array(np.array(h1, "u8").view("i8")), pa.array(np.array(h2, "u8").view("i8"))],
+                    pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
                 names=["__id", "__k1", "__k2", "__p", "__len", "__h1", "__h2"])
 
     return docs.mapInArrow(hashed, f"__id {kind}, __k1 bigint, __k2 bigint, __p int, __len int, __h1 bigint, __h2 bigint")
@@ -54,11 +56,12 @@ def later_runs(units: DataFrame) -> DataFrame:
 
     The first is the one with the smallest id, key and position: a minimum with partial
     aggregation. Only hashes with two places go on to the join with the runs."""
-    place = F.struct("__id", "__k1", "__k2", "__p")
-    first = units.groupBy("__h1", "__h2").agg(F.min(place).alias("__first"), F.max(place).alias("__last"))
-    repeated = materialize(first.filter("__first <> __last").drop("__last"))
-    met = units.join(repeated, ["__h1", "__h2"])
-    return met.filter(place != F.col("__first")).select("__k1", "__k2", "__p", "__len")
+    place = F.struct("__id", "__k1", "__p")
+    first = units.groupBy("__h1", "__h2").agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__c"))
+    repeated = first.filter("__c > 1").select("__h1", "__h2", F.col("__first.__k1").alias("__fk"),
+                                              F.col("__first.__p").alias("__fp"))
+    met = units.drop("__id").join(materialize(repeated), ["__h1", "__h2"])
+    return met.filter("NOT (__k1 = __fk AND __p = __fp)").select("__k1", "__k2", "__p", "__len")
 
 
 def covered(runs: DataFrame) -> DataFrame:
@@ -97,21 +100,24 @@ def dedup_units(docs: DataFrame, split: Split, form: Form, runs: Runs, joiner: s
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
     k1, k2 = row_key(ident, text)
     own = docs.select(ident.alias("__id"), k1.alias("__k1"), k2.alias("__k2"), text.alias("__text"))
-    hashes = materialize(run_hashes(own, split, form, runs))
+    hashes = written(run_hashes(own, split, form, runs))
     cov = covered(later_runs(hashes))
-    rows = docs.select(packed(docs), k1.alias("__k1"), k2.alias("__k2"), text.alias("__text"))
-    rows = rows.join(cov, ["__k1", "__k2"], "left")
-    span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-
-    def apply(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for texts, covs in batches:
-            done = [rewrite(t.as_py(), c.as_py(), split, form, joiner) for t, c in zip(texts, covs, strict=True)]
-            yield pa.StructArray.from_arrays(
-                [pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()),
-                 pa.array([sum(s["last"] - s["first"] + 1 for s in d[2]) for d in done], pa.int64()),
-                 pa.array([d[2] for d in done], span)], names=["text", "units", "removed", "spans"])
-
-    clean = F.arrow_udf(apply, "text string, units bigint, removed bigint, spans array<struct<first:int,last:int>>")
-    done = rows.select("__row", clean("__text", "__cov").alias("__d"))
-    return done.select(*with_columns(docs, {text_col: F.col("__d.text"), f"n_{unit}": F.col("__d.units"),
-                                            "n_removed": F.col("__d.removed"), "removed_spans": F.col("__d.spans")}))
+    rows = docs.select(packed(docs), k1.alias("__k1"), k2.alias("__k2"))
+    rows = rows.join(cov, ["__k1", "__k2"], "left").select("__row", "__cov")
+    kind = rows.schema["__row"].dataType.simpleString()
+    place = docs.columns.index(text_col)
+    out = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
+            texts = pa.compute.cast(b.column(0).field(place), pa.string())
+            done = [rewrite(t.as_py(), c.as_py(), split, form, joiner) for t, c in zip(texts, b.column(1), strict=True)]
+            done = [(t, n, sum(s["last"] - s["first"] + 1 for s in gone), gone) for t, n, gone in done]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0)] + [pa.array([d[i] for d in done], t) for i, t in enumerate(out)],
+                names=["__row", "text", "units", "removed", "spans"])
+
+    done = rows.mapInArrow(apply, f"__row {kind}, text string, units bigint, removed bigint, "
+                                  "spans array<struct<first:int,last:int>>")
+    return done.select(*with_columns(docs, {text_col: F.col("text"), f"n_{unit}": F.col("units"),
+                                            "n_removed": F.col("removed"), "removed_spans": F.col("spans")}))

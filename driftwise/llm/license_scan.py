@@ -4,7 +4,7 @@ nearest ancestor directory.
 1. Units. Every line and every block between blank lines of a file is a header
    candidate, wherever it stands; of a licence file (by its name) the whole text is one
    too. Words are lower-case runs of letters and digits.
-2. Weights are tf * idf with idf = ln((1 + N) / (1 + df)) + 1 over all N files. Document
+2. Weights are (1 + ln tf) * idf with idf = ln((1 + N) / (1 + df)) + 1 over all N files. Document
    frequencies are counted for the templates' words; a word of no template weighs like
    one that a single file has (it adds to a unit's length only).
 3. Search. A unit whose cosine with a template reaches the threshold must hold one of
@@ -127,7 +127,7 @@ def own_licences(files: DataFrame, templates: Sequence[tuple[str, str]], thresho
     weights: dict[int, dict[str, float]] = {}
     names: dict[int, str] = {}
     for t, licence, term, tf in terms:
-        weights.setdefault(t, {})[term] = tf * idf[term]
+        weights.setdefault(t, {})[term] = (1 + log(tf)) * idf[term]
         names[t] = licence
     needed = sorted(set().union(*(needed_terms(w, threshold) for w in weights.values())))
     length = {t: sqrt(sum(w * w for w in ws.values())) for t, ws in weights.items()}
@@ -138,7 +138,7 @@ def own_licences(files: DataFrame, templates: Sequence[tuple[str, str]], thresho
     tf = words.groupBy("__k1", "__k2", "__unit", "__term").agg(F.count(F.lit(1)).alias("__tf"))
     idfs = spark.createDataFrame(list(idf.items()), "__term string, __idf double")
     tf = tf.join(F.broadcast(idfs), "__term", "left").withColumn("__idf", F.coalesce("__idf", F.lit(other)))
-    x = F.col("__tf") * F.col("__idf")
+    x = (1 + F.log(F.col("__tf").cast("double"))) * F.col("__idf")
     order = sorted(weights)
     by_term = spark.createDataFrame(
         [(term, [float(weights[t].get(term, 0.0)) / length[t] for t in order]) for term in idf],

@@ -12,12 +12,15 @@ from .decontaminate import find_items
 from .license_scan import scan_licences
 from .linededup import dedup_lines
 from .mix import mix
+from .oracle import ORACLE
 from .quality import quality_rules
 from .shard import shard
 from .simhash import near_duplicates
 from .spandedup import dedup_spans
 from .url_filter import filter_urls
 
+__all__ = ["ORACLE", "QUERIES"]
+
 # The rules of the URL query: verdict, host, path.
 URL_RULES = (
     ("allow", "org", "/"),
@@ -112,5 +115,3 @@ def op10_url_filter(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_mix, op2_line_dedup, op3_license_scan, op4_decontaminate, op5_span_dedup, op6_quality_score, op7_quality_rules,
     op8_simhash, op9_hilbert_shards, op10_url_filter)}
-
-ORACLE: dict[str, str] = {}

@@ -8,8 +8,9 @@ and text, the inclusion odds p / (1 - p) of its source's remaining share p (time
 its own ``odds_col`` if given, which makes the inclusion unequal inside a source),
 and is ranked by its random odds divided by its inclusion odds, u / (1 - u) /
 odds. The sample's size is fixed in words: the documents of lowest rank whose
-words fit the rest, and one more whose size comes nearest to the gap that is left,
-if it narrows the gap. Reruns draw the same documents.
+words fit the rest, and up to FITS more that fill the gap which is left: the largest
+that fit, and last the one whose size comes nearest, if it narrows the gap. Reruns draw
+the same documents.
 
 Scale: the text is read once for a slim table (source, size, hash, rank) that is
 checkpointed, and once for the result. Sizes are summed per source and the cut is
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import WORD_RUN, is_small, materialize, null_safe_join, packed, with_columns
 
 PARTS = 4096  # rank buckets a source on each of two levels
+FITS = 3  # documents a source that fill the gap behind the last rank that fits
 
 
 def word_count(text: Column) -> Column:
@@ -131,15 +133,22 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), cap: int =
     edge = edge.select("__src", F.coalesce("__last.__q", v / (1 - v)).alias("__eq"),
                        F.coalesce("__last.__t", F.lit(-1).cast("long")).alias("__et"),
                        (F.col("__rest") - F.coalesce("__cum", "__before")).alias("__gap"))
-    edge = materialize(edge)
-    beyond = null_safe_join(live, edge, ["__src"], small=small)
-    beyond = beyond.filter((F.col("__q") > F.col("__eq")) | ((F.col("__q") == F.col("__eq")) & (F.col("__t") > F.col("__et"))))
-    miss = F.abs(F.col("__gap") - F.col("__n"))
-    fit = beyond.filter(miss < F.col("__gap")).groupBy("__src").agg(F.min(F.struct(miss, "__q", "__t")).alias("__fit"))
-    plan = null_safe_join(null_safe_join(t, edge, ["__src"], how="left", small=small), fit, ["__src"], how="left",
-                          small=small)
-    plan = materialize(plan.select("__src", "__size", "__target", "__whole", "__eq", "__et", "__p",
-                                   F.col("__fit.__q").alias("__fq"), F.col("__fit.__t").alias("__ft")))
+    edge = materialize(edge.withColumn("__f", F.array().cast("array<struct<q:double,t:bigint>>")))
+    me = F.struct(F.col("__q").alias("q"), F.col("__t").alias("t"))
+    behind = (F.col("__q") > F.col("__eq")) | ((F.col("__q") == F.col("__eq")) & (F.col("__t") > F.col("__et")))
+    for k in range(FITS):
+        rest = null_safe_join(live, edge, ["__src"], small=small).filter(behind & ~F.array_contains("__f", me))
+        miss = F.abs(F.col("__gap") - F.col("__n"))
+        fits = miss < F.col("__gap") if k == FITS - 1 else F.col("__n") <= F.col("__gap")
+        pick = rest.filter(fits).groupBy("__src").agg(F.min(F.struct(
+            miss, F.col("__q").alias("q"), F.col("__t").alias("t"), F.col("__n").alias("n"))).alias("__x"))
+        edge = null_safe_join(edge, pick, ["__src"], how="left", small=small)
+        hit = F.col("__x").isNotNull()
+        edge = materialize(edge.select(
+            "__src", "__eq", "__et", F.when(hit, F.col("__gap") - F.col("__x.n")).otherwise(F.col("__gap")).alias("__gap"),
+            F.when(hit, F.array_append("__f", F.struct("__x.q", "__x.t"))).otherwise(F.col("__f")).alias("__f")))
+    plan = null_safe_join(t, edge, ["__src"], how="left", small=small)
+    plan = materialize(plan.select("__src", "__size", "__target", "__whole", "__eq", "__et", "__p", "__f"))
 
     rows = docs.select(packed(docs), *own)
     rows = null_safe_join(rows, plan, ["__src"], small=small)
@@ -148,7 +157,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), cap: int =
     rows = rows.withColumn("__q", q)
     # a source without a cut has room for all its rows beyond the whole copies
     under = (F.col("__q") < F.col("__eq")) | ((F.col("__q") == F.col("__eq")) & (F.col("__t") <= F.col("__et")))
-    fits = (F.col("__q") == F.col("__fq")) & (F.col("__t") == F.col("__ft"))
+    fits = F.array_contains("__f", me)
     chosen = F.when(F.col("__q").isNull(), False).when(F.col("__eq").isNull(), True).otherwise(
         under | F.coalesce(fits, F.lit(False)))
     copies = F.least(F.col("__whole") + chosen.cast("long"), F.lit(cap).cast("long"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, quality
+from . import decontaminate, linededup, mix, quality
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -34,18 +34,32 @@ q AS (
               THEN u.u / (1 - u.u) / ((r.rest / r.source_size) / (1 - r.rest / r.source_size)) END AS q
   FROM u JOIN r ON u.source IS NOT DISTINCT FROM r.source),
 c AS (SELECT *, CASE WHEN q IS NOT NULL THEN sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, t) END AS cum FROM q),
-g AS (SELECT source, any_value(rest) - coalesce(max(cum) FILTER (WHERE cum <= rest), 0) AS gap
+g0 AS (SELECT source, any_value(rest) - coalesce(max(cum) FILTER (WHERE cum <= rest), 0) AS gap
       FROM c WHERE q IS NOT NULL GROUP BY source),
-f AS (
-  SELECT c.source, arg_min({{'q': c.q, 't': c.t}}, {{'a': abs(g.gap - c.size), 'q': c.q, 't': c.t}}) AS fit
-  FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source
-  WHERE c.q IS NOT NULL AND c.cum > c.rest AND abs(g.gap - c.size) < g.gap GROUP BY c.source)
+{{fits}}
 SELECT c.doc_id, c.size, c.source_size, c.target, copies * c.size AS taken, copies
 FROM (SELECT c.*, least(whole + CASE WHEN c.q IS NULL THEN 0 WHEN cum <= rest THEN 1
-                                     WHEN c.q = f.fit.q AND c.t = f.fit.t THEN 1 ELSE 0 END, 3)::BIGINT AS copies
-      FROM c LEFT JOIN f ON c.source IS NOT DISTINCT FROM f.source) c
+                                     WHEN {{chosen}} THEN 1 ELSE 0 END, 3)::BIGINT AS copies
+      FROM c {{joins}}) c
 """
 
+
+def _op1() -> str:
+    """The gap is filled by ``mix.FITS`` documents a source, one CTE each."""
+    same = "c.source IS NOT DISTINCT FROM"
+    taken = lambda k: f"(f{k}.x.q IS NOT NULL AND c.q = f{k}.x.q AND c.t = f{k}.x.t)"
+    joins = lambda n: " ".join(f"LEFT JOIN f{k} ON {same} f{k}.source" for k in range(n))
+    out = []
+    for k in range(mix.FITS):
+        fits = f"abs(g{k}.gap - c.size) < g{k}.gap" if k == mix.FITS - 1 else f"c.size <= g{k}.gap"
+        free = " AND ".join(["c.q IS NOT NULL", "c.cum > c.rest", fits] + [f"NOT {taken(j)}" for j in range(k)])
+        key = f"{{'a': abs(g{k}.gap - c.size), 'q': c.q, 't': c.t}}"
+        out.append(f"f{k} AS (SELECT c.source, arg_min({{'q': c.q, 't': c.t, 'n': c.size}}, {key}) AS x "
+                   f"FROM c JOIN g{k} ON {same} g{k}.source {joins(k)} WHERE {free} GROUP BY c.source)")
+        out.append(f"g{k + 1} AS (SELECT c.source, c.gap - coalesce(f{k}.x.n, 0) AS gap FROM g{k} c "
+                   f"LEFT JOIN f{k} ON {same} f{k}.source)")
+    return OP1.format(fits=",\n".join(out), chosen=" OR ".join(taken(k) for k in range(mix.FITS)), joins=joins(mix.FITS))
+
 OP2 = f"""
 WITH l AS (
   SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -202,7 +216,7 @@ FROM b LEFT JOIN fin ON b.doc_id = fin.doc_id
 OP7 = _op7()
 
 ORACLE: dict[str, str] = {
-    "op1_mix": OP1,
+    "op1_mix": _op1(),
     "op2_line_dedup": OP2,
     "op4_decontaminate": OP4,
     "op7_quality_rules": OP7,

@@ -1,18 +1,18 @@
-"""Half-Space Trees anomaly scores (Tan, Ting & Liu, IJCAI 2011), relational form.
+"""Half-Space Trees anomaly scores (Tan, Ting & Liu, IJCAI 2011).
 
 Trees are fixed random half-space splits (seeded). Rows of a key are cut into
 consecutive blocks of ``window_size`` rows; a row's *reference mass* at a node
-is the number of rows of the previous block that pass through that node. So:
+is the number of rows of the previous block that pass through that node. Per tree
+the terminal node is the first on the row's path with mass <= size limit (or the
+leaf); score = 1 - sum(mass * 2^depth) / (n_trees * window_size * 2^height).
 
-* every row explodes into (tree, depth, node) along its path;
-* ``groupBy(key, block, tree, node).count`` is the mass profile (partial
-  aggregation shrinks it map-side);
-* rows of block b join the profile of block b-1 (missing node = mass 0);
-* per tree the terminal node is the first on the path with mass <= size limit
-  (or the leaf); score = 1 - sum(mass * 2^depth) / (n_trees * window_size * 2^height).
+So a row is needed in two places: in its own block to be scored, and in the next one
+as reference. Each row is sent to both (two slim rows a row, one shuffle), and a block,
+at most 2 * window_size rows, is scored in numpy from Arrow columns: paths and masses
+of all its rows at once. No sequential state, and a hot key is spread over its blocks.
 
-Rows of block 0 have no reference window and get no score. No sequential state:
-every step is a join or an aggregation, and a hot key is spread over its blocks.
+Rows of block 0 have no reference window and get no score. A row with at least one
+of the features is scored; a missing one counts as the middle of the work space.
 Inputs should be scaled to [0, 1] (``scale_by_key``).
 """
 
@@ -21,11 +21,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.payload import numeric_field
-from ..plans.rolling import rows_index
+from ..plans.rolling import null_safe_join, rows_index
 from .common import ORDER, adaptive_threshold, anomaly_confidence, equal_contributors, to_patterns
 
 SIZE_LIMIT = 0.1
@@ -63,16 +65,6 @@ def build_trees(n_features: int, n_trees: int = 10, height: int = 8, seed: int =
     return trees
 
 
-def tree_path_expr(x: str, dims: Sequence[int], splits: Sequence[float], height: int) -> F.Column:
-    """Array of heap node ids from root (depth 0) to leaf (depth ``height``);
-    the path goes right when x[dim] >= split."""
-    d = "array(" + ",".join(str(v + 1) for v in dims) + ")"
-    s = "array(" + ",".join(repr(float(v)) for v in splits) + ")"
-    step = (f"concat(acc, array(2 * acc[i] + IF(element_at({x}, element_at({d}, acc[i] + 1)) >= "
-            f"element_at({s}, acc[i] + 1), 1, 0)))")
-    return F.expr(f"aggregate(sequence(0, {height - 1}), array(1), (acc, i) -> {step})")
-
-
 def scale_by_key(df: DataFrame, fields: Sequence[str], key: Sequence[str] = ("source",)) -> DataFrame:
     """Min-max scale each numeric field to [0, 1] with its per-key min and max
     (a small per-key aggregate joined back on the key)."""
@@ -80,7 +72,7 @@ def scale_by_key(df: DataFrame, fields: Sequence[str], key: Sequence[str] = ("so
     base = df.select("*", *[v.alias(f"_s_{f}") for f, v in xs.items()])
     stats = base.groupBy(*key).agg(*[F.min(f"_s_{f}").alias(f"_lo_{f}") for f in fields],
                                    *[F.max(f"_s_{f}").alias(f"_hi_{f}") for f in fields])
-    j = base.join(stats, list(key))
+    j = null_safe_join(base, stats, list(key))
     for f in fields:
         lo, hi = F.col(f"_lo_{f}"), F.col(f"_hi_{f}")
         j = j.withColumn(f"{f}_scaled", F.when(hi > lo, (F.col(f"_s_{f}") - lo) / (hi - lo)).otherwise(F.lit(0.0)))
@@ -99,29 +91,52 @@ def hst_scores(
     size_limit: float = SIZE_LIMIT,
     split: bool = True,
 ) -> DataFrame:
-    """``score`` per row (columns ``features`` must be numeric columns of ``df``;
-    rows missing any are skipped). Returns key, order columns, event_id, score."""
+    """``score`` per row (columns ``features`` must be numeric columns of ``df``; rows
+    with none of them are skipped). Returns key, order columns, event_id, score."""
     key, order = list(key), list(order)
     carry = [c for c in dict.fromkeys(key + order + ["event_id", "source", "timestamp"]) if c in df.columns]
-    x = df.select(*carry, F.array(*[F.col(f).cast("double") for f in features]).alias("_x")).filter(
-        F.forall("_x", lambda v: v.isNotNull()))
+    xs = [f"_x{i}" for i in range(len(features))]
+    x = df.select(*carry, *[F.col(f).cast("double").alias(n) for f, n in zip(features, xs, strict=True)])
+    x = x.na.drop("all", subset=xs)
     idx = rows_index(x, key, order, split=split, name="_rn")
-    trees = build_trees(len(features), n_trees, height, seed)
-    paths = F.array(*[tree_path_expr("_x", dims, sp, height) for dims, sp in trees])
     blk = F.floor((F.col("_rn") - 1) / F.lit(window_size)).cast("long")
-    ex = (idx.select(*carry, "_rn", blk.alias("_blk"), F.posexplode(paths).alias("_tree", "_path"))
-          .select(*carry, "_rn", "_blk", "_tree", F.posexplode("_path").alias("_depth", "_node")))
-    mass = (ex.groupBy(*key, "_blk", "_tree", "_node").agg(F.count(F.lit(1)).alias("_mass"))
-            .withColumn("_blk", F.col("_blk") + 1))
-    scored = ex.filter(F.col("_blk") >= 1).join(mass, key + ["_blk", "_tree", "_node"], "left")
-    m = F.coalesce(F.col("_mass"), F.lit(0))
-    limit = size_limit * window_size
-    term = F.when((m <= F.lit(limit)) | (F.col("_depth") == height), F.col("_depth"))
-    per_tree = scored.groupBy(*carry, "_rn", "_tree").agg(
-        F.min_by(m * F.pow(F.lit(2.0), F.col("_depth")), term).alias("_v"))
-    norm = float(n_trees * window_size * (2 ** height))
-    per_row = per_tree.groupBy(*carry, "_rn").agg((F.lit(1.0) - F.sum("_v") / F.lit(norm)).alias("score"))
-    return per_row.drop("_rn")
+    placed = idx.select(*carry, *xs, blk.alias("_own"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_ref"))
+    placed = placed.withColumn("_blk", F.col("_own") + F.col("_ref")).filter("_blk > 0").drop("_own")
+    score = block_scorer(build_trees(len(features), n_trees, height, seed), height, xs, carry,
+                         size_limit * window_size, float(n_trees * window_size * (2 ** height)))
+    out = T.StructType([*[df.schema[c] for c in carry], T.StructField("score", T.DoubleType())])
+    return placed.groupBy(*key, "_blk").applyInArrow(score, out)
+
+
+def block_scorer(trees, height: int, xs: Sequence[str], carry: Sequence[str], limit: float, norm: float):
+    """Arrow table of one block (its rows and, marked ``_ref``, the block before) to the
+    scores of its rows."""
+    dims = np.array([d for d, _ in trees])
+    splits = np.array([s for _, s in trees])
+    n_nodes = 2 ** (height + 1)
+
+    def score(table: pa.Table) -> pa.Table:
+        ref = table.column("_ref").to_numpy() == 1
+        own = table.filter(pa.array(~ref))
+        x = np.stack([table.column(c).to_numpy() for c in xs], axis=1)
+        x = np.where(np.isnan(x), 0.5, x)
+        rows, each = np.arange(len(x))[:, None], np.arange(len(dims))[None, :]
+        node = np.ones((len(x), len(dims)), "i8")
+        value = np.zeros(node.shape)
+        open_ = np.ones(node.shape, bool)
+        for depth in range(height + 1):
+            mass = np.zeros((len(dims), n_nodes), "i8")
+            np.add.at(mass, (np.broadcast_to(each, node.shape)[ref], node[ref]), 1)
+            m = mass[each, node]
+            stop = open_ & ((m <= limit) | (depth == height))
+            value[stop] = m[stop] * 2.0 ** depth
+            open_ &= ~stop
+            if depth < height:
+                node = 2 * node + (x[rows, dims[each, node]] >= splits[each, node])
+        result = 1.0 - value[~ref].sum(axis=1) / norm
+        return pa.table([*[own.column(c) for c in carry], pa.array(result)], names=[*carry, "score"])
+
+    return score
 
 
 def detect_anomaly(

@@ -47,17 +47,15 @@ def extract_features(
 ) -> DataFrame:
     """Add each feature as a column (and payload key) on rows with a numeric ``value``.
 
-    The history is every row of the key (rows without the value count as 0) and
-    is capped at ``2 * window_size`` rows, so a feature needing more rows than
-    that never fires, as in the reference.
+    The history is every row of the key (rows without the value count as 0). Each
+    feature looks back as far as its own period asks; ``window_size`` is accepted for
+    configs that carry it and bounds nothing (the reference caps its list there).
     * ``sma_p``: mean of the last p values (needs p rows).
     * ``ema_p``: alpha = 2/(p+1), seeded with the oldest of the last p values.
     * ``rsi_p``: simple means of gains and losses over the last p differences
       (needs p+1 rows); no losses -> 100.
     """
     specs = parse_features(features)
-    cap = 2 * window_size
-    specs = [(n, k, p) for (n, k, p) in specs if (p + 1 if k == "rsi" else p) <= cap]
     if not specs:
         return df
     need = max((p + 1 if k == "rsi" else p) for _, k, p in specs)

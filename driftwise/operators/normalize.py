@@ -36,27 +36,45 @@ def normalize(
     """
     if method not in METHODS:
         raise ValueError(f"unknown normalize method {method!r}")
-    out = df
-    for field in fields:
-        name = f"{field}{suffix}"
-        v = numeric_field(out, field)
-        tagged = out.withColumn("_v", v)
-        has = tagged.filter(F.col("_v").isNotNull())
-        rest = tagged.filter(F.col("_v").isNull()).withColumn(name, F.lit(None).cast("double"))
-
-        def build(fr: Frame, _n=name):
-            w = fr.rows(window_size)
-            if method == "min_max":
-                lo, hi = F.min("_v").over(w), F.max("_v").over(w)
-                val = F.when(hi != lo, (F.col("_v") - lo) / (hi - lo))
-            else:
-                cnt = F.count("_v").over(w)
-                mean = F.avg("_v").over(w)
-                std = F.greatest(F.sqrt(F.var_pop("_v").over(w)), F.lit(STD_FLOOR))
-                val = F.when(cnt > 1, (F.col("_v") - mean) / std)
-            return [val.alias(_n)]
-
-        done = over_rows(has, key, order, window_size - 1, build, split=split)
+    names = {f: f"{f}{suffix}" for f in fields}
+    vs = {f: f"_v{i}" for i, f in enumerate(fields)}
+    tagged = df.select("*", *[numeric_field(df, f).alias(v) for f, v in vs.items()])
+    if len(vs) == 1 or df.isStreaming:
+        return _one_by_one(tagged, names, vs, method, window_size, key, order, split)
+    # rows lacking a field must not count for its frame: a table in which every row has
+    # all fields is normalised in one pass, else the fields that are sometimes missing
+    # are done for themselves
+    missing = tagged.agg(*[F.max(F.col(v).isNull()).alias(v) for v in vs.values()]).first()
+    full = {f: v for f, v in vs.items() if not missing[v]}
+    if full:
+        def build(fr: Frame):
+            return [_scaled(fr, v, method, window_size).alias(names[f]) for f, v in full.items()]
+
+        tagged = over_rows(tagged, key, order, window_size - 1, build, split=split)
+        for f in full:
+            tagged = tagged.withColumn("payload", set_field(tagged, names[f], F.col(names[f])))
+    return _one_by_one(tagged, names, {f: v for f, v in vs.items() if f not in full}, method, window_size, key, order,
+                       split).drop(*vs.values())
+
+
+def _scaled(fr: Frame, v: str, method: str, window_size: int):
+    w = fr.rows(window_size)
+    if method == "min_max":
+        lo, hi = F.min(v).over(w), F.max(v).over(w)
+        return F.when(hi != lo, (F.col(v) - lo) / (hi - lo))
+    std = F.greatest(F.sqrt(F.var_pop(v).over(w)), F.lit(STD_FLOOR))
+    return F.when(F.count(v).over(w) > 1, (F.col(v) - F.avg(v).over(w)) / std)
+
+
+def _one_by_one(tagged, names, vs, method, window_size, key, order, split):
+    """Fields with missing values: the frame runs over the rows that have the field."""
+    out = tagged
+    for field, v in vs.items():
+        name = names[field]
+        has = out.filter(F.col(v).isNotNull())
+        rest = out.filter(F.col(v).isNull()).withColumn(name, F.lit(None).cast("double"))
+        done = over_rows(has, key, order, window_size - 1,
+                         lambda fr, v=v, name=name: [_scaled(fr, v, method, window_size).alias(name)], split=split)
         merged = done.unionByName(rest)
-        out = merged.withColumn("payload", set_field(merged, name, F.col(name))).drop("_v")
-    return out
+        out = merged.withColumn("payload", set_field(merged, name, F.col(name)))
+    return out.drop(*vs.values())

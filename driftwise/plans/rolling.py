@@ -6,10 +6,12 @@ into balanced row blocks instead, and each block also receives a *halo* - the
 ``lookback`` rows that precede it - so any frame reaching at most ``lookback``
 rows back is computed exactly inside the block:
 
-1. ``approxQuantile`` of the leading order column (one pruned column scan)
-   gives ``n_chunks`` event-time chunk bounds; a balanced binary CASE maps every
-   row to its chunk. Chunks hold ~1/n of all rows whatever the key mix.
-2. Per (key, chunk) row counts (tiny: at most keys x chunks rows) and a running
+0. The rows are counted. Up to ``TARGET_ROWS`` rows in all, no key can be larger than
+   one block may be, and a plain window (one shuffle) is used.
+1. Otherwise bounds from a sample of the leading order column (any orderable type; the
+   sample grows with the number of chunks) give ``rows / TARGET_ROWS`` chunks; a
+   balanced binary CASE maps every row to its chunk.
+2. Per (key, chunk) row counts (at most keys x chunks rows) and a running
    sum over chunks give each chunk's offset inside its key; the counts table is
    broadcast only when its measured row count is under a bound, else joined
    by shuffle.
@@ -27,7 +29,7 @@ deterministic order (e.g. ``(timestamp, event_id)``).
 
 from __future__ import annotations
 
-import math
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -40,7 +42,10 @@ from ..session import checkpoint_dir
 
 # Broadcast the per-(key, chunk) counts only below this many rows.
 BROADCAST_STATS_ROWS = 2_000_000
-QUANTILE_REL_ERROR = 1e-3
+# Rows a window group may hold; chunks and blocks are cut to about this size.
+TARGET_ROWS = 1_000_000
+MAX_CHUNKS = 4096
+SAMPLE_PER_CHUNK = 100
 
 
 @dataclass
@@ -55,29 +60,21 @@ class Frame:
         return self.w.rowsBetween(-(n - 1), 0)
 
 
-def _default_chunks(df: DataFrame) -> int:
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    try:
-        par = spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
-        par = parts
-    return max(parts, par, 1)
+def _chunks_for(rows: int) -> int:
+    return min(MAX_CHUNKS, max(1, -(-rows // TARGET_ROWS)))
 
 
-def _numeric_lead(df: DataFrame, col: str) -> Column | None:
-    dt = df.schema[col].dataType
-    c = F.col(col)
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dt, T.NumericType):
-        return c.cast("double")
-    return None
+def _bounds(df: DataFrame, col: str, n: int, rows: int) -> list:
+    """Ascending distinct values that cut the column into about ``n`` equal parts, from a
+    sample of at most about ``n * SAMPLE_PER_CHUNK`` values."""
+    share = min(1.0, n * SAMPLE_PER_CHUNK / max(rows, 1))
+    some = df.select(F.col(col).alias("_q")).filter("_q IS NOT NULL")
+    some = (some.sample(share, seed=11) if share < 1 else some).orderBy("_q")
+    values = [r[0] for r in some.collect()]
+    return sorted({values[i * len(values) // n] for i in range(1, n)}) if values else []
 
 
-def _bucket_expr(q: Column, bounds: list[float]) -> Column:
+def _bucket_expr(q: Column, bounds: list) -> Column:
     """Index of the chunk holding ``q``: chunk i covers [bounds[i-1], bounds[i])."""
 
     def build(lo: int, hi: int) -> Column:  # chunks lo..hi
@@ -89,7 +86,8 @@ def _bucket_expr(q: Column, bounds: list[float]) -> Column:
     return build(0, len(bounds))
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], broadcast: bool) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], broadcast: bool = False) -> DataFrame:
+    """Inner equi-join in which null keys meet; the right side's keys are dropped."""
     r = right.select(*[F.col(c).alias(f"_r_{c}") for c in cols], *[c for c in right.columns if c not in cols])
     if broadcast:
         r = F.broadcast(r)
@@ -99,12 +97,13 @@ def _null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], broa
 
 
 def has_shuffle(df: DataFrame) -> bool:
-    """True when the DataFrame's physical plan already contains an exchange."""
+    """True when the DataFrame's physical plan already contains a shuffle (a broadcast
+    is cheap to repeat and does not count)."""
     try:
         plan = df._jdf.queryExecution().executedPlan().toString()
     except Exception:  # noqa: BLE001 - not a classic DataFrame
         return False
-    return "Exchange" in plan
+    return re.search(r"(?<!Broadcast)Exchange", plan) is not None
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -133,22 +132,16 @@ def index_within_key(
     key, order = list(key), list(order)
     if cut or (cut is None and has_shuffle(df)):
         df = materialize(df)
-    n = n_chunks or _default_chunks(df)
-    q = _numeric_lead(df, order[0])
-    if q is None or n <= 1:
-        chunk = F.lit(0)
-    else:
-        probe = df.select(q.alias("_q")).na.drop()
-        qs = probe.approxQuantile("_q", [i / n for i in range(1, n)], QUANTILE_REL_ERROR)
-        bounds = sorted({float(x) for x in qs if x is not None and math.isfinite(x)})
-        chunk = _bucket_expr(F.coalesce(q, F.lit(float("-inf"))), bounds) if bounds else F.lit(0)
+    n = n_chunks or _chunks_for(df.count())
+    bounds = _bounds(df, order[0], n, df.count()) if n > 1 else []
+    chunk = F.when(F.col(order[0]).isNull(), F.lit(0)).otherwise(_bucket_expr(F.col(order[0]), bounds)) if bounds else F.lit(0)
     chunked = df.withColumn("_chunk", chunk)
     counts = chunked.groupBy(*key, "_chunk").agg(F.count(F.lit(1)).alias("_cn"))
     wk = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     stats = counts.withColumn("_before", F.coalesce(F.sum("_cn").over(wk), F.lit(0)))
     summary = counts.agg(F.count(F.lit(1)).alias("n"), F.sum("_cn").alias("rows")).first()
     n_stats, total = int(summary["n"] or 0), int(summary["rows"] or 0)
-    joined = _null_safe_join(chunked, stats.select(*key, "_chunk", "_before"), key + ["_chunk"],
+    joined = null_safe_join(chunked, stats.select(*key, "_chunk", "_before"), key + ["_chunk"],
                              broadcast=n_stats <= BROADCAST_STATS_ROWS)
     wc = Window.partitionBy(*key, "_chunk").orderBy(*order)
     out = joined.withColumn("_rn", F.col("_before") + F.row_number().over(wc)).drop("_before")
@@ -175,6 +168,11 @@ def over_rows(
         w = Window.partitionBy(*key).orderBy(*order)
         fr = Frame(w=w, rn=F.row_number().over(w))
         return _apply(df, build(fr))
+    if n_chunks is None and block_rows is None:
+        if has_shuffle(df):
+            df = materialize(df)
+        if df.count() <= TARGET_ROWS:  # no group can exceed the target
+            return over_rows(df, key, order, lookback, build, split=False)
     indexed, total, n = index_within_key(df, key, order, n_chunks, with_stats=True)
     lookback = max(int(lookback), 0)
     b = block_rows or max(lookback, 1, -(-total // max(n, 1)))
@@ -206,6 +204,10 @@ def _apply(df: DataFrame, cols) -> DataFrame:
 def rows_index(df: DataFrame, key: Sequence[str], order: Sequence[str], split: bool = True,
                name: str = "rn", n_chunks: int | None = None) -> DataFrame:
     """Public form of the row index: adds ``name`` = 1-based position within key."""
+    if split and n_chunks is None:
+        if has_shuffle(df):
+            df = materialize(df)
+        split = df.count() > TARGET_ROWS
     if not split:
         w = Window.partitionBy(*key).orderBy(*order)
         return df.withColumn(name, F.row_number().over(w))

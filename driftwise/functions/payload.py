@@ -143,10 +143,14 @@ def set_field(df: DataFrame, field: str, value: Column, col: str = "payload") ->
         F.concat(F.regexp_replace(text, r"\s*\}\s*$", ""), F.lit(","), entry, F.lit("}"))
     )
     present = _variant_item(df, field, col).isNotNull() if kind == "json" else F.lit(False)
-    replaced = F.to_json(
-        F.map_concat(
-            F.map_filter(F.from_json(text, "map<string,string>"), lambda k, v: k != F.lit(field)),
-            F.create_map(F.lit(field), value.cast("string")),
-        )
-    )
-    return F.when(value.isNull(), text).when(present, replaced).otherwise(appended)
+    return F.when(value.isNull(), text).when(present, replace_key(text, field, entry)).otherwise(appended)
+
+
+def replace_key(text: Column, field: str, entry: Column) -> Column:
+    """JSON object text with the top-level ``field`` replaced by the rendered ``entry``
+    (``"field":value``). The object is parsed once, as a map of VARIANTs, so every other
+    value is written back with its own type."""
+    kept = F.map_filter(F.try_parse_json(text).cast("map<string,variant>"), lambda k, v: k != F.lit(field))
+    rest = F.to_json(kept)
+    return F.when(F.size(kept) == 0, F.concat(F.lit("{"), entry, F.lit("}"))).otherwise(
+        F.concat(F.regexp_replace(rest, r"\}$", ""), F.lit(","), entry, F.lit("}")))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import fresh_id
-from ..functions.payload import has_field, numeric_field, payload_kind
+from ..functions.payload import has_field, numeric_field, payload_kind, replace_key
 from ..functions.timefmt import iso_text, parse_iso
 
 REQUIRED = ["event_id", "source", "type", "timestamp", "payload"]
@@ -99,13 +99,7 @@ def add_timestamp(df: DataFrame, field: str = "processing_time") -> DataFrame:
         F.concat(trimmed, F.lit(","), entry, F.lit("}"))
     )
     has_key = F.expr(f"variant_get(try_parse_json(meta), '$.{field}') IS NOT NULL") if "meta" in df.columns else F.lit(False)
-    replaced = F.to_json(
-        F.map_concat(
-            F.expr(f"map_filter(from_json(meta, 'map<string,string>'), (k, v) -> k != '{field}')"),
-            F.create_map(F.lit(field), iso_text(now)),
-        )
-    )
-    return df.withColumn("meta", F.when(has_key, replaced).otherwise(merged)).withColumn(field, now)
+    return df.withColumn("meta", F.when(has_key, replace_key(meta, field, entry)).otherwise(merged)).withColumn(field, now)
 
 
 def extract_numeric(df: DataFrame, fields: Sequence[str], out: str = "features", skip_empty: bool = True) -> DataFrame:

@@ -25,25 +25,30 @@ def _fields(cfg: Mapping) -> list[str]:
     return list(cfg.get("fields") or cfg.get("features") or [])
 
 
+def _rows(cfg: Mapping) -> dict:
+    """``key`` and ``order`` of a detector's row sequence; by default one per source."""
+    return {k: tuple(cfg[k]) for k in ("key", "order") if cfg.get(k)}
+
+
 def _adwin(name: str, cfg: Mapping) -> Detector:
     if cfg.get("method", "adwin") == "adjacent":
         return lambda df: detect_drift_adjacent(df, _fields(cfg), detector=name, frame=cfg.get("frame", 50),
-                                                delta=cfg.get("delta", 0.002), grace_period=cfg.get("grace_period", 100))
+                                                delta=cfg.get("delta", 0.002), grace_period=cfg.get("grace_period", 100), **_rows(cfg))
     return lambda df: detect_drift_adwin(df, _fields(cfg), detector=name, delta=cfg.get("delta", 0.002),
-                                         grace_period=cfg.get("grace_period", 100))
+                                         grace_period=cfg.get("grace_period", 100), **_rows(cfg))
 
 
 def _hst(name: str, cfg: Mapping) -> Detector:
     return lambda df: detect_anomaly(df, _fields(cfg), n_trees=cfg.get("n_trees", 10), height=cfg.get("height", 8),
                                      window_size=cfg.get("window_size", 100), threshold=cfg.get("threshold", 0.95),
-                                     seed=cfg.get("seed", 0), detector=name)
+                                     seed=cfg.get("seed", 0), detector=name, **_rows(cfg))
 
 
 def _cluster(name: str, cfg: Mapping) -> Detector:
     return lambda df: detect_cluster_change(df, _fields(cfg), n_clusters=cfg.get("n_clusters", 4),
                                             window_size=cfg.get("window_size", 50),
                                             threshold=cfg.get("threshold", 0.3), centroids=cfg.get("centroids"),
-                                            detector=name, seed=cfg.get("seed", 0))
+                                            detector=name, seed=cfg.get("seed", 0), **_rows(cfg))
 
 
 DETECTORS: dict[str, Callable[[str, Mapping], Detector]] = {

@@ -17,29 +17,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.payload import numeric_field
-from ..plans.rolling import Frame, over_rows, rows_index
+from ..plans.rolling import Frame, over_rows
 from .common import ORDER, equal_contributors, to_patterns
 
 
 def nearest(xs: Sequence[Column], centroids: Sequence[Sequence[float]]) -> Column:
-    """Index of the nearest centroid (squared Euclidean; ties -> lowest index)."""
+    """Index of the nearest centroid (squared Euclidean over the fields the row has;
+    ties -> lowest index)."""
     dists = []
     for k, c in enumerate(centroids):
-        d = sum(((x - F.lit(float(cv))) ** 2 for x, cv in zip(xs, c)), F.lit(0.0))
+        d = sum((F.coalesce((x - F.lit(float(cv))) ** 2, F.lit(0.0)) for x, cv in zip(xs, c)), F.lit(0.0))
         dists.append(F.struct(d.alias("d"), F.lit(k).alias("k")))
     return F.least(*dists)["k"]
 
 
-def fit_centroids(df: DataFrame, fields: Sequence[str], n_clusters: int, window_size: int,
-                  key: Sequence[str], order: Sequence[str], seed: int = 0) -> list[list[float]]:
-    """k-means (Spark ML) on the warm-up slice: the first ``window_size - 1``
-    rows of every key, the rows the reference only learns from."""
+def fit_centroids(df: DataFrame, fields: Sequence[str], n_clusters: int, seed: int = 0) -> list[list[float]]:
+    """k-means (Spark ML) over all rows with at least one of the fields; a missing field
+    counts as the field's mean."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    x = df.select(*key, *order, *[numeric_field(df, f).alias(f) for f in fields]).na.drop(subset=list(fields))
-    warm = rows_index(x, key, order, name="_rn").filter(F.col("_rn") < window_size)
-    vec = VectorAssembler(inputCols=list(fields), outputCol="features").transform(warm)
+    x = df.select(*[numeric_field(df, f).alias(f"_x{i}") for i, f in enumerate(fields)]).na.drop("all")
+    names = x.columns
+    mean = x.agg(*[F.avg(n).alias(n) for n in names]).first()
+    x = x.na.fill({n: mean[n] for n in names if mean[n] is not None})
+    vec = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(x)
     model = KMeans(k=n_clusters, seed=seed).fit(vec)
     return [list(map(float, c)) for c in model.clusterCenters()]
 
@@ -60,7 +62,7 @@ def cluster_windows(
     k = len(centroids)
     xs = [numeric_field(df, f) for f in fields]
     rows = df.select("*", *[x.alias(f"_x{i}") for i, x in enumerate(xs)]).na.drop(
-        subset=[f"_x{i}" for i in range(len(xs))])
+        "all", subset=[f"_x{i}" for i in range(len(xs))])
     pred_all = nearest([F.col(f"_x{i}") for i in range(len(xs))], centroids)
     full = 2 * window_size - 1
 
@@ -106,10 +108,10 @@ def detect_cluster_change(
     split: bool = True,
 ) -> DataFrame:
     """Cluster-change patterns (details: prev_cluster, new_cluster, confidence =
-    dominant ratio). Without ``centroids`` they are fitted by k-means on the
-    warm-up rows."""
+    dominant ratio). Without ``centroids`` they are fitted by k-means on all
+    rows of ``df``."""
     if centroids is None:
-        centroids = fit_centroids(df, fields, n_clusters, window_size, key, order, seed)
+        centroids = fit_centroids(df, fields, n_clusters, seed)
     ch = cluster_windows(df, fields, centroids, window_size, threshold, key, order, split)
     details = F.struct(F.lit(detector).alias("detector"), F.col("prev_cluster").alias("prev_cluster"),
                        F.col("dominant").alias("new_cluster"), F.col("ratio").alias("confidence"))

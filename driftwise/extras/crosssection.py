@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.rolling import null_safe_join
+
 
 def cs_rank(df: DataFrame, col: str, ts: str = "ts", method: str = "dense") -> DataFrame:
     """``dense``: dense rank of ``col`` within its time point; ``minmax``:
@@ -26,7 +28,7 @@ def cs_rank(df: DataFrame, col: str, ts: str = "ts", method: str = "dense") -> D
 def cs_zscore(df: DataFrame, col: str, ts: str = "ts") -> DataFrame:
     """(x - mean) / sample std within the time point (null when std is 0 or undefined)."""
     st = df.groupBy(ts).agg(F.avg(col).alias("_m"), F.stddev_samp(col).alias("_s"))
-    j = df.join(st, ts)
+    j = null_safe_join(df, st, [ts])
     return j.withColumn(f"{col}_z", F.when(F.col("_s") > 0, (F.col(col) - F.col("_m")) / F.col("_s"))).drop("_m", "_s")
 
 
@@ -39,14 +41,14 @@ def cs_winsorize(df: DataFrame, col: str, lower: float = 0.05, upper: float = 0.
     else:
         q = F.percentile_approx(col, [lower, upper], 10000)
     st = df.groupBy(ts).agg(q.alias("_q"))
-    j = df.join(st, ts)
+    j = null_safe_join(df, st, [ts])
     return j.withColumn(f"{col}_w", F.least(F.greatest(F.col(col), F.col("_q")[0]), F.col("_q")[1])).drop("_q")
 
 
 def neutralize(df: DataFrame, col: str, group: str, ts: str = "ts") -> DataFrame:
     """``col`` minus its mean within (time point, group)."""
     st = df.groupBy(ts, group).agg(F.avg(col).alias("_m"))
-    return df.join(st, [ts, group]).withColumn(f"{col}_neutral", F.col(col) - F.col("_m")).drop("_m")
+    return null_safe_join(df, st, [ts, group]).withColumn(f"{col}_neutral", F.col(col) - F.col("_m")).drop("_m")
 
 
 def topn_overlap(a: DataFrame, b: DataFrame, col_a: str, col_b: str, n: int, ts: str = "ts",

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.rolling import null_safe_join
+
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -18,7 +20,7 @@ def text_clean(col: str = "text"):
 
 
 def keyword_topk(docs: DataFrame, k: int = 20, by: Sequence[str] = ("lang",), text: str = "text",
-                 min_len: int = 2) -> DataFrame:
+                 min_len: int = 1) -> DataFrame:
     """Top-``k`` tokens (count desc, token asc) per group over whole texts.
 
     Tokens are counted with a ``groupBy`` (partial aggregation, so a hot group
@@ -34,7 +36,7 @@ def keyword_topk(docs: DataFrame, k: int = 20, by: Sequence[str] = ("lang",), te
 def zscore_filter(df: DataFrame, col: str, key: Sequence[str], z: float = 3.0) -> DataFrame:
     """Keep rows with |x - mean| <= z * population std of their key (std 0 keeps all)."""
     st = df.groupBy(*key).agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"))
-    j = df.join(st, list(key))
+    j = null_safe_join(df, st, list(key))
     keep = (F.col("_s") == 0) | (F.abs(F.col(col) - F.col("_m")) <= z * F.col("_s"))
     return j.filter(keep).drop("_m", "_s")
 
@@ -43,7 +45,7 @@ def iqr_filter(df: DataFrame, col: str, key: Sequence[str], k: float = 1.5, exac
     """Box-plot fences: keep Q1 - k*IQR <= x <= Q3 + k*IQR per key."""
     q = F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.75))) if exact else F.percentile_approx(col, [0.25, 0.75], 10000)
     st = df.groupBy(*key).agg(q.alias("_q"))
-    j = df.join(st, list(key))
+    j = null_safe_join(df, st, list(key))
     iqr = F.col("_q")[1] - F.col("_q")[0]
     return j.filter((F.col(col) >= F.col("_q")[0] - k * iqr) & (F.col(col) <= F.col("_q")[1] + k * iqr)).drop("_q")
 

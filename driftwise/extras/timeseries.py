@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.features import ema_weights
-from ..plans.rolling import Frame, index_within_key, over_rows
+from ..plans.rolling import Frame, index_within_key, null_safe_join, over_rows
 
 ORDER = ("timestamp", "event_id")
 
@@ -208,7 +208,7 @@ def return_stats(prices: DataFrame, price: str = "close", key: Sequence[str] = (
         F.count("ret").alias("n"), F.min_by(price, "_n").alias("_first"), F.max_by(price, "_n").alias("_last"),
         F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("vol"), F.min("_dd").alias("max_drawdown"),
         q05.alias("_q05"))
-    es = r.join(stats.select(*key, "_q05"), key).filter(F.col("ret") <= F.col("_q05")).groupBy(*key).agg(
+    es = null_safe_join(r, stats.select(*key, "_q05"), key).filter(F.col("ret") <= F.col("_q05")).groupBy(*key).agg(
         F.avg("ret").alias("_es"))
     out = stats.join(es, key, "left")
     total = F.try_divide(F.col("_last"), F.col("_first")) - 1

@@ -22,12 +22,15 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a scratch folder is made and
-    registered, so lineage cuts and stream checkpoints still have a home.
+    Only when the setting is absent and the master is ``local`` (tests) a scratch
+    folder is made and registered; on a cluster its absence is an error, as executors
+    would write to their own disks.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
+    if not path and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="driftwise-ckpt-", dir=os.environ.get("DRIFTWISE_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)

@@ -13,7 +13,7 @@ from ..plans.monitor import (event_counters, feedback_labels, last_gauge, latenc
 from ..plans.query import (accept_feedback, get_events, get_pattern, get_pattern_types, get_patterns,
                            get_sources, overview, short_view)
 from ..sources.tables import events_envelope, lineitem_envelope, table
-from .common import EV, finish, r6
+from .common import EV, finish, r6, sql_fill
 from .detect import CENTROIDS, CLUSTER_THRESHOLD, CLUSTER_WINDOW, HST, cluster_body, hst_body
 
 EVENTS_FILTER = dict(source="events", event_type="click", start_time="2024-01-10 00:00:00",
@@ -148,32 +148,17 @@ def q_short_view(spark, sf):
 
 # ---------------------------------------------------------------- oracle SQL
 
-def _sql_fill(template: str, **parts: str) -> str:
-    out, rest = [], template
-    while rest:
-        i = rest.find("{")
-        if i < 0:
-            out.append("'" + rest.replace("'", "''") + "'")
-            break
-        if i:
-            out.append("'" + rest[:i].replace("'", "''") + "'")
-        j = rest.index("}", i)
-        out.append(f"({parts[rest[i + 1:j]]})")
-        rest = rest[j + 1:]
-    return " || ".join(out)
-
-
 _T = TEMPLATES["zh"]
 _TIME = "strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S')"
 _EXPLAIN = f"""CASE type
-  WHEN 'cluster_change' THEN {_sql_fill(_T['cluster_change'], time=_TIME, source='source')}
-       || {_sql_fill(_T['cluster_move'], prev='CAST(prev_cluster AS VARCHAR)', new='CAST(new_cluster AS VARCHAR)')}
-       || {_sql_fill(_T['contributors'], contributors="'price (0.50), quantity (0.50)'")}
-       || {_sql_fill(_T['confidence'], confidence="printf('%.2f', confidence)")}
-  WHEN 'anomaly' THEN {_sql_fill(_T['anomaly'], time=_TIME, source='source')}
-       || {_sql_fill(_T['anomaly_score'], score="printf('%.2f', score)", threshold="printf('%.2f', threshold)")}
-       || {_sql_fill(_T['contributors'], contributors="'price (1.00)'")}
-       || {_sql_fill(_T['confidence'], confidence="printf('%.2f', confidence)")}
+  WHEN 'cluster_change' THEN {sql_fill(_T['cluster_change'], time=_TIME, source='source')}
+       || {sql_fill(_T['cluster_move'], prev='CAST(prev_cluster AS VARCHAR)', new='CAST(new_cluster AS VARCHAR)')}
+       || {sql_fill(_T['contributors'], contributors="'price (0.50), quantity (0.50)'")}
+       || {sql_fill(_T['confidence'], confidence="printf('%.2f', confidence)")}
+  WHEN 'anomaly' THEN {sql_fill(_T['anomaly'], time=_TIME, source='source')}
+       || {sql_fill(_T['anomaly_score'], score="printf('%.2f', score)", threshold="printf('%.2f', threshold)")}
+       || {sql_fill(_T['contributors'], contributors="'price (1.00)'")}
+       || {sql_fill(_T['confidence'], confidence="printf('%.2f', confidence)")}
 END"""
 
 _TW = 'PARTITION BY source ORDER BY "timestamp", event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW'

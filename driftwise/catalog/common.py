@@ -31,6 +31,14 @@ EV = """ev AS (
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS quantity, user_id
   FROM events)"""
 
+# The shifted events of sources.tables.events_shifted.
+EVS = """ev AS (
+  SELECT CAST(event_id AS VARCHAR) AS event_id, 'events' AS source, event_type AS type, ts AS "timestamp",
+         value + CASE WHEN ts >= TIMESTAMP '2024-01-16 00:00:00' THEN 300 ELSE 0 END AS price,
+         CAST(json_extract_string(props, '$.k') AS BIGINT)
+           + CASE WHEN ts >= TIMESTAMP '2024-01-16 00:00:00' THEN 200 ELSE 0 END AS quantity, user_id
+  FROM events)"""
+
 LI = """li AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS event_id,
          'lineitem' AS source, l_returnflag AS type, l_shipdate AS "timestamp",
@@ -41,3 +49,19 @@ LI = """li AS (
 
 def r6(expr: str) -> str:
     return f"round({expr}, {DIGITS})"
+
+
+def sql_fill(template: str, **parts: str) -> str:
+    """SQL text for a template with ``{name}`` slots."""
+    out, rest = [], template
+    while rest:
+        i = rest.find("{")
+        if i < 0:
+            out.append("'" + rest.replace("'", "''") + "'")
+            break
+        if i:
+            out.append("'" + rest[:i].replace("'", "''") + "'")
+        j = rest.index("}", i)
+        out.append(f"({parts[rest[i + 1:j]]})")
+        rest = rest[j + 1:]
+    return " || ".join(out)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..detectors.adwin import adwin_flags
 from ..detectors.cluster import cluster_windows
 from ..detectors.common import adaptive_threshold
-from ..detectors.drift import adwin_epsilon, drift_flags
+from ..detectors.drift import adwin_epsilon, detect_drift_adjacent, drift_flags
+from ..detectors.explain import TEMPLATES, explain
 from ..detectors.hst import build_trees, hst_scores, scale_by_key
-from ..sources.tables import events_envelope
-from .common import EV, finish, r6
+from ..sources.tables import events_envelope, events_shifted
+from .common import EV, EVS, finish, r6, sql_fill
 
 # Query parameters (fixed per query; the operators take them as arguments).
 CENTROIDS = [[25.0, 25.0], [25.0, 75.0], [100.0, 25.0], [100.0, 75.0]]
@@ -29,8 +30,16 @@ def q_adaptive_threshold(spark, sf):
 
 
 def q_drift_adjacent(spark, sf):
-    fl = drift_flags(events_envelope(spark, sf), "price", DRIFT_FRAME, DRIFT_DELTA, DRIFT_GRACE)
-    return finish(fl.filter("drift").select("event_id", "timestamp", "prev_mean", "new_mean", "change_pct"))
+    """Both means and the flag of every event, over a series with a level shift."""
+    fl = drift_flags(events_shifted(spark, sf), "price", DRIFT_FRAME, DRIFT_DELTA, DRIFT_GRACE)
+    return finish(fl.select("event_id", "timestamp", "prev_mean", "new_mean", "change_pct", "drift"))
+
+
+def q_explain_drift(spark, sf):
+    """Drift patterns of two fields over the shifted series, explained."""
+    pats = detect_drift_adjacent(events_shifted(spark, sf), ["price", "quantity"], "drift", DRIFT_FRAME, DRIFT_DELTA,
+                                 DRIFT_GRACE)
+    return finish(explain(pats).select("pattern_id", "type", "detector_type", "timestamp", "explanation"))
 
 
 def q_cluster_change(spark, sf):
@@ -48,20 +57,41 @@ def q_hst_scores(spark, sf):
 _W = 'PARTITION BY source ORDER BY "timestamp", event_id'
 
 
-def _drift_sql() -> str:
+def drift_body(field: str = "price") -> str:
+    """Rows of ``ev`` with both means, change and flag (unrounded)."""
     a, b = adwin_epsilon(DRIFT_FRAME, DRIFT_FRAME, DRIFT_DELTA)
     n = DRIFT_FRAME
     start = max(2 * n, DRIFT_GRACE)
-    old = f"avg(price) OVER ({_W} ROWS BETWEEN {2 * n - 1} PRECEDING AND {n} PRECEDING)"
-    new = f"avg(price) OVER ({_W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    var = f"var_pop(price) OVER ({_W} ROWS BETWEEN {2 * n - 1} PRECEDING AND CURRENT ROW)"
-    return f"""WITH {EV},
+    old = f"avg({field}) OVER ({_W} ROWS BETWEEN {2 * n - 1} PRECEDING AND {n} PRECEDING)"
+    new = f"avg({field}) OVER ({_W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    var = f"var_pop({field}) OVER ({_W} ROWS BETWEEN {2 * n - 1} PRECEDING AND CURRENT ROW)"
+    return f"""WITH {EVS},
 f AS (SELECT *, row_number() OVER ({_W}) AS rn, {old} AS prev_mean, {new} AS new_mean, {var} AS v FROM ev),
 c AS (SELECT *, coalesce(rn >= {start} AND abs(new_mean - prev_mean) > sqrt({a!r} * v) + {b!r}, false) AS cut FROM f),
 d AS (SELECT *, cut AND NOT coalesce(lag(cut) OVER ({_W}), false) AS drift FROM c)
-SELECT event_id, "timestamp", {r6('prev_mean')} AS prev_mean, {r6('new_mean')} AS new_mean,
-       {r6('CASE WHEN prev_mean <> 0 THEN (new_mean - prev_mean) / abs(prev_mean) * 100 ELSE 0.0 END')} AS change_pct
-FROM d WHERE drift"""
+SELECT event_id, "timestamp", source, prev_mean, new_mean,
+       CASE WHEN prev_mean <> 0 THEN (new_mean - prev_mean) / abs(prev_mean) * 100 ELSE 0.0 END AS change_pct, drift
+FROM d"""
+
+
+def explain_drift_sql() -> str:
+    """Patterns and their text: the field with the largest change is named, all are contributors."""
+    t = TEMPLATES["zh"]
+    fields = ("price", "quantity")
+    parts = " UNION ALL ".join(f"SELECT '{f}' AS field, * FROM ({drift_body(f)}) WHERE drift" for f in fields)
+    best = "arg_max({}, (abs(change_pct), field = 'price'))"
+    change = sql_fill(t["drift_change"], field="field", prev="printf('%.2f', prev_mean)",
+                      direction=f"CASE WHEN change_pct > 0 THEN '{t['up']}' ELSE '{t['down']}' END",
+                      new="printf('%.2f', new_mean)", pct="printf('%.2f', abs(change_pct))")
+    return f"""WITH f AS ({parts}),
+g AS (SELECT event_id, source, "timestamp", {", ".join(best.format(c) + f" AS {c}" for c in ("prev_mean", "new_mean", "change_pct"))},
+             {best.format("field")} AS field,
+             string_agg(field || ' (' || printf('%.2f', 1.0 / n) || ')', ', ' ORDER BY field) AS who
+      FROM (SELECT *, count(*) OVER (PARTITION BY event_id) AS n FROM f) GROUP BY ALL)
+SELECT md5(concat_ws('|', source, 'drift', event_id)) AS pattern_id, 'drift' AS type, 'adwin' AS detector_type, "timestamp",
+       {sql_fill(t["drift"], time="strftime(timestamp, '%Y-%m-%d %H:%M:%S')", source="source")} || {change}
+       || {sql_fill(t["contributors"], contributors="who")} || {sql_fill(t["confidence"], confidence="'0.90'")} AS explanation
+FROM g"""
 
 
 def cluster_body() -> str:
@@ -124,9 +154,9 @@ SELECT source, event_id, "timestamp", 1.0 - sum(v) / {norm} AS score FROM t GROU
 
 
 def q_adwin_drift(spark, sf):
-    """Exact sequential ADWIN on events.price per source (no SQL oracle:
-    rows-only check here; tests compare it with a plain-Python run)."""
-    fl = adwin_flags(events_envelope(spark, sf), ["price"], DRIFT_DELTA, DRIFT_GRACE)
+    """Exact sequential ADWIN on the shifted price, a sequence per event type (no SQL
+    oracle: rows-only check here; tests compare it with a plain-Python run)."""
+    fl = adwin_flags(events_shifted(spark, sf), ["price"], DRIFT_DELTA, DRIFT_GRACE, key=("source", "type"))
     return finish(fl.select("event_id", "timestamp", "field", "prev_mean", "new_mean", "change_pct", "width"))
 
 
@@ -134,6 +164,7 @@ QUERIES = {
     "adwin_drift": q_adwin_drift,
     "adaptive_threshold": q_adaptive_threshold,
     "drift_adjacent": q_drift_adjacent,
+    "explain_drift": q_explain_drift,
     "cluster_change": q_cluster_change,
     "hst_scores": q_hst_scores,
 }
@@ -144,7 +175,9 @@ SELECT event_id, {r6('price')} AS score,
        {r6(f'CASE WHEN count(price) OVER ({_W} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) > 10 THEN quantile_cont(price, 0.95) OVER ({_W} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) ELSE 0.5 END')} AS threshold,
        price > CASE WHEN count(price) OVER ({_W} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) > 10 THEN quantile_cont(price, 0.95) OVER ({_W} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) ELSE 0.5 END AS alert
 FROM ev WHERE price IS NOT NULL""",
-    "drift_adjacent": _drift_sql(),
+    "drift_adjacent": f"""SELECT event_id, "timestamp", {r6('prev_mean')} AS prev_mean, {r6('new_mean')} AS new_mean,
+       {r6('change_pct')} AS change_pct, drift FROM ({drift_body()})""",
+    "explain_drift": explain_drift_sql(),
     "cluster_change": f"""SELECT event_id, "timestamp", cluster, dominant, {r6('ratio')} AS ratio, prev_cluster
 FROM ({cluster_body()})""",
     "hst_scores": f"SELECT event_id, {r6('score')} AS score FROM ({hst_body()})",

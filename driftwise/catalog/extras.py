@@ -303,7 +303,7 @@ b AS (SELECT ts, symbol FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER
 SELECT a.ts, {r6('count(b.symbol) / count(*)')} AS overlap FROM a LEFT JOIN b ON a.ts = b.ts AND a.symbol = b.symbol
 GROUP BY a.ts""",
     "keywords_topk": r"""WITH t AS (SELECT lang, unnest(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS token FROM documents),
-c AS (SELECT lang, token, count(*) AS n FROM t WHERE length(token) >= 2 GROUP BY 1, 2)
+c AS (SELECT lang, token, count(*) AS n FROM t WHERE length(token) >= 1 GROUP BY 1, 2)
 SELECT * FROM (SELECT lang, token, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS rank FROM c) WHERE rank <= 20""",
     "return_stats": f"""WITH {EV},
 d AS (SELECT type || '_aggregated' AS symbol, date_trunc('day', "timestamp") + INTERVAL 1 DAY AS ts,
@@ -345,6 +345,22 @@ SELECT type, source, min("timestamp") AS first_seen, max("timestamp") AS last_se
 per AS (SELECT pattern_id, avg(rating) AS r, count(*) AS n FROM acc GROUP BY pattern_id)
 SELECT type, count(*) AS patterns, sum(n) AS ratings, {r6('sum(r * n) / sum(n)')} AS mean_rating
 FROM per JOIN (SELECT DISTINCT pattern_id, type FROM pt) USING (pattern_id) GROUP BY type""",
+    "psi": f"""WITH {EV},
+e AS (SELECT quantile_cont(price, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM ev
+      WHERE "timestamp" < TIMESTAMP '2024-01-16 00:00:00'),
+b AS (SELECT "timestamp" < TIMESTAMP '2024-01-16 00:00:00' AS base,
+             len(list_filter(list_distinct(q), lambda x: price >= x)) AS bin FROM ev, e),
+s AS (SELECT bin, count(*) FILTER (WHERE base) / (SELECT count(*) FROM b WHERE base) AS x,
+             count(*) FILTER (WHERE NOT base) / (SELECT count(*) FROM b WHERE NOT base) AS y FROM b GROUP BY bin)
+SELECT {r6('sum((greatest(x, 1e-6) - greatest(y, 1e-6)) * ln(greatest(x, 1e-6) / greatest(y, 1e-6)))')} AS psi,
+       count(*) AS bins FROM s""",
+    "snapshot_id": """SELECT count(*) AS rows, CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus,
+       CAST(o_totalprice AS DECIMAL(38,6)), epoch_us(o_orderdate), o_orderpriority)), 1, 15))::BIGINT AS HUGEINT)) AS VARCHAR) AS hash_sum
+FROM orders""",
+    "frequent_itemsets": """WITH RECURSIVE b AS (SELECT DISTINCT l_orderkey AS o, p_type AS i FROM lineitem JOIN part ON l_partkey = p_partkey),
+r AS (SELECT o, i AS last, i AS itemset FROM b
+      UNION ALL SELECT r.o, b.i, r.itemset || '|' || b.i FROM r JOIN b ON r.o = b.o AND b.i > r.last)
+SELECT itemset, count(*) AS freq FROM r GROUP BY itemset HAVING count(*) >= (SELECT ceil(0.01 * count(DISTINCT o)) FROM b)""",
     "business_days": """SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series(min(CAST(o_orderdate AS DATE)),
        max(CAST(o_orderdate AS DATE)), INTERVAL 1 DAY)) AS d FROM orders) WHERE dayofweek(d) NOT IN (0, 6)""",
     "dead_letter": """SELECT CAST(event_id AS VARCHAR) AS event_id,

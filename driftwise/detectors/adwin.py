@@ -23,12 +23,14 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.payload import numeric_field
+from ..plans.rolling import rows_index
 from .common import ORDER, to_patterns
 from .drift import DRIFT_CONFIDENCE
 
@@ -145,7 +147,6 @@ def _change_pct(old: float, new: float) -> float:
 def _run_partition(delta: float, grace_period: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         det: dict[tuple, Adwin] = {}
-        seen: dict[tuple, int] = {}
         for pdf in batches:
             out = []
             keys = pdf["_k"].tolist()
@@ -154,11 +155,9 @@ def _run_partition(delta: float, grace_period: int):
             ids = pdf["event_id"].tolist()
             tss = pdf["timestamp"].tolist()
             srcs = pdf["source"].tolist()
-            for k, f, x, eid, ts, src in zip(keys, fields, xs, ids, tss, srcs):
+            for k, f, x, eid, ts, src, n in zip(keys, fields, xs, ids, tss, srcs, pdf["_n"].tolist()):
                 kk = (k, f)
-                c = seen.get(kk, 0) + 1
-                seen[kk] = c
-                if c < grace_period:  # grace period: the detector is not fed yet
+                if n < grace_period:  # the detector's n-th event: it is not fed yet
                     continue
                 a = det.get(kk)
                 if a is None:
@@ -184,9 +183,12 @@ def adwin_flags(
     """One row per (event, field) where ADWIN cut its window."""
     key = list(key)
     kcol = F.to_json(F.array(*[F.col(c).cast("string") for c in key]))
+    # events of the detector: rows with at least one of its fields, numbered per key
+    any_field = reduce(lambda a, b: a | b, [numeric_field(df, f).isNotNull() for f in fields])
+    df = rows_index(df.filter(any_field), key, order, name="_n")
     longs = None
     for f in fields:
-        part = df.select(kcol.alias("_k"), F.lit(f).alias("_f"), numeric_field(df, f).alias("_x"),
+        part = df.select("_n", kcol.alias("_k"), F.lit(f).alias("_f"), numeric_field(df, f).alias("_x"),
                          F.col("event_id").cast("string").alias("event_id"), "timestamp", "source",
                          *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
         part = part.filter(F.col("_x").isNotNull())
@@ -194,7 +196,7 @@ def adwin_flags(
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ordered = longs.repartition(n, "_k", "_f").sortWithinPartitions(
         "_k", "_f", *[f"_o{i}" for i in range(len(order))])
-    return ordered.select("_k", "_f", "_x", "event_id", "timestamp", "source").mapInPandas(
+    return ordered.select("_k", "_f", "_x", "event_id", "timestamp", "source", "_n").mapInPandas(
         _run_partition(delta, grace_period), OUT_SCHEMA)
 
 
@@ -213,7 +215,7 @@ def detect_drift_adwin(
         F.sort_array(F.collect_list(F.struct("field", "prev_mean", "new_mean", "change_pct"))).alias("fx"))
     detail_fields = []
     for f in fields:
-        item = F.filter("fx", lambda x, _f=f: x["field"] == F.lit(_f))[0]
+        item = F.get(F.filter("fx", lambda x: x["field"] == F.lit(f)), F.lit(0))
         detail_fields += [item["prev_mean"].alias(f"{f}_prev_mean"), item["new_mean"].alias(f"{f}_new_mean"),
                           item["change_pct"].alias(f"{f}_change_pct")]
     details = F.struct(F.lit(detector).alias("detector"), *detail_fields, F.lit(DRIFT_CONFIDENCE).alias("confidence"))

@@ -100,7 +100,7 @@ def detect_drift_adjacent(
         F.sort_array(F.collect_list(F.struct("field", "prev_mean", "new_mean", "change_pct"))).alias("fx"))
     detail_fields = []
     for f in fields:
-        item = F.filter("fx", lambda x, _f=f: x["field"] == F.lit(_f))[0]
+        item = F.get(F.filter("fx", lambda x: x["field"] == F.lit(f)), F.lit(0))
         detail_fields += [item["prev_mean"].alias(f"{f}_prev_mean"), item["new_mean"].alias(f"{f}_new_mean"),
                           item["change_pct"].alias(f"{f}_change_pct")]
     details = F.struct(F.lit(detector).alias("detector"), *detail_fields,

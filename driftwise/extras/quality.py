@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..plans.rolling import null_safe_join
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
@@ -43,25 +44,28 @@ def zscore_filter(df: DataFrame, col: str, key: Sequence[str], z: float = 3.0) -
 
 def iqr_filter(df: DataFrame, col: str, key: Sequence[str], k: float = 1.5, exact: bool = True) -> DataFrame:
     """Box-plot fences: keep Q1 - k*IQR <= x <= Q3 + k*IQR per key."""
-    q = F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.75))) if exact else F.percentile_approx(col, [0.25, 0.75], 10000)
-    st = df.groupBy(*key).agg(q.alias("_q"))
+    if exact:
+        st = exact_quantiles(df, key, col, [0.25, 0.75])
+    else:
+        st = df.groupBy(*key).agg(F.percentile_approx(col, [0.25, 0.75], 10000).alias("_q"))
     j = null_safe_join(df, st, list(key))
     iqr = F.col("_q")[1] - F.col("_q")[0]
     return j.filter((F.col(col) >= F.col("_q")[0] - k * iqr) & (F.col(col) <= F.col("_q")[1] + k * iqr)).drop("_q")
 
 
 def psi(base: DataFrame, current: DataFrame, col: str, bins: int = 10, eps: float = 1e-6) -> DataFrame:
-    """Population stability index of ``col``: decile edges of the base period
-    (approximate quantiles, one pass), shares per bin in both periods,
-    sum((a - b) * ln(a / b)) with empty bins floored at ``eps``."""
-    edges = sorted(set(base.approxQuantile(col, [i / bins for i in range(1, bins)], 1e-4)))
+    """Population stability index of ``col``: exact decile edges of the base period,
+    shares per bin in both periods, sum((a - b) * ln(a / b)) with empty bins floored at
+    ``eps``."""
+    found = exact_quantiles(base, [], col, [i / bins for i in range(1, bins)]).first()
+    edges = sorted(set(found["_q"] or [])) if found else []
 
     def binned(df, name):
         b = F.lit(0)
         for e in edges:
             b = b + F.when(F.col(col) >= F.lit(e), 1).otherwise(0)
-        tot = df.count()
-        return df.groupBy(b.alias("bin")).agg((F.count(F.lit(1)) / F.lit(float(max(tot, 1)))).alias(name))
+        counts = df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("_c"))  # at most ``bins`` rows
+        return counts.select("bin", (F.col("_c") / F.sum("_c").over(Window.partitionBy(F.lit(0)))).alias(name))
 
     j = binned(base, "a").join(binned(current, "b"), "bin", "full_outer").fillna(0.0, ["a", "b"])
     a, b = F.greatest(F.col("a"), F.lit(eps)), F.greatest(F.col("b"), F.lit(eps))
@@ -85,10 +89,20 @@ def feedback_stats(feedback: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def snapshot_id(df: DataFrame) -> DataFrame:
-    """Order-free content id of a table: row count and the sum of 64-bit row hashes."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
-    return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"))
+    """Order-free content id of a table: row count and the sum of 60-bit row hashes. A
+    row's hash is md5 over its values as text, in an engine-neutral form: numbers with a
+    fraction to six places, times as microseconds, null as ``\\N``."""
+    def text(name: str, kind: str):
+        c = F.col(f"`{name}`")
+        if kind in ("double", "float") or kind.startswith("decimal"):
+            c = c.cast("decimal(38,6)")
+        elif kind.startswith("timestamp"):
+            c = F.unix_micros(c.cast("timestamp"))
+        return F.coalesce(c.cast("string"), F.lit("\\N"))
+
+    digest = F.md5(F.concat_ws("|", *[text(n, k) for n, k in df.dtypes]))
+    h = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("hash_sum"))
 
 
 def business_days(df: DataFrame, col: str) -> DataFrame:

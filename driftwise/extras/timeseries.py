@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..operators.features import ema_weights
 from ..plans.rolling import Frame, index_within_key, null_safe_join, over_rows
 
@@ -203,14 +204,16 @@ def return_stats(prices: DataFrame, price: str = "close", key: Sequence[str] = (
                                                             fr.rn.alias("_n")])
     r = lagged.withColumn("ret", F.try_divide(F.col(price), F.col("_prev")) - 1)
     dd = running(r, price, key, order, "max", "_peak").withColumn("_dd", F.try_divide(F.col(price), F.col("_peak")) - 1)
-    q05 = F.percentile(F.col("ret"), F.lit(0.05))
     stats = dd.groupBy(*key).agg(
         F.count("ret").alias("n"), F.min_by(price, "_n").alias("_first"), F.max_by(price, "_n").alias("_last"),
-        F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("vol"), F.min("_dd").alias("max_drawdown"),
-        q05.alias("_q05"))
+        F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("vol"), F.min("_dd").alias("max_drawdown"))
+    q05 = exact_quantiles(dd, key, "ret", [0.05], "_q05")
+    stats = null_safe_join(stats, q05.withColumn("_q05", F.col("_q05")[0]), key)
     es = null_safe_join(r, stats.select(*key, "_q05"), key).filter(F.col("ret") <= F.col("_q05")).groupBy(*key).agg(
         F.avg("ret").alias("_es"))
-    out = stats.join(es, key, "left")
+    es = es.select(*[F.col(k).alias(f"_e_{k}") for k in key], "_es")
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in key])
+    out = stats.join(es, match, "left")
     total = F.try_divide(F.col("_last"), F.col("_first")) - 1
     return out.select(
         *key, "n", total.alias("total_return"),

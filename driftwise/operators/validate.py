@@ -81,6 +81,19 @@ def parse_json_events(df: DataFrame, col: str = "value", strict: bool = True) ->
     return out.select("event_id", "source", "type", "timestamp", "payload", "meta")
 
 
+def reject_json_events(df: DataFrame, col: str = "value") -> DataFrame:
+    """Complement of ``parse_json_events(strict=True)``: the input rows that give no
+    event, with ``reason`` = ``bad_json``, ``not_an_object`` or ``missing:<field>`` (first
+    that is absent)."""
+    v = f"try_parse_json(`{col}`)"
+    reason = F.lit(None).cast("string")
+    for f in reversed(REQUIRED):
+        reason = F.when(F.expr(f"variant_get({v}, '$.{f}')").isNull(), F.lit(f"missing:{f}")).otherwise(reason)
+    kind = F.expr(f"schema_of_variant({v})")
+    reason = F.when(F.expr(v).isNull(), "bad_json").when(~kind.startswith("OBJECT"), "not_an_object").otherwise(reason)
+    return df.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def drop_malformed(df: DataFrame, required_payload_fields: Sequence[str] = ()) -> DataFrame:
     """Keep events whose payload has every listed key (null values count as present)."""
     if not required_payload_fields:

@@ -9,6 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
+from .rolling import null_safe_join
+
 DEFAULT_BUCKETS = (0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1, 5)
 # ---- fixed values: rating labels ----
 RATING_LABELS = {-1: "negative", 0: "neutral"}  # any other rating -> "positive"
@@ -36,16 +39,17 @@ def latency_stats(df: DataFrame, latency: str, labels: Sequence[str] = (), appro
     default; ``approx=True`` uses ``percentile_approx`` for very large groups)
     and throughput = count / seconds spanned by ``time_span`` (if given)."""
     lat = F.col(latency)
+    probs = [0.5, 0.95, 0.99]
+    aggs = [F.count(lat).alias("count"), F.min(lat).alias("min"), F.max(lat).alias("max"), F.avg(lat).alias("mean")]
     if approx:
-        qs = F.percentile_approx(lat, [0.5, 0.95, 0.99], accuracy)
-    else:
-        qs = F.percentile(lat, [0.5, 0.95, 0.99])
-    aggs = [F.count(lat).alias("count"), F.min(lat).alias("min"), F.max(lat).alias("max"),
-            F.avg(lat).alias("mean"), qs.alias("_q")]
+        aggs.append(F.percentile_approx(lat, probs, accuracy).alias("_q"))
     if time_span:
         span = F.unix_micros(F.max(time_span).cast("timestamp")) - F.unix_micros(F.min(time_span).cast("timestamp"))
         aggs.append(F.try_divide(F.count(lat), span / 1e6).alias("throughput"))
     out = df.groupBy(*labels).agg(*aggs)
+    if not approx:  # bounded state, whatever the size of a group
+        out = null_safe_join(out, exact_quantiles(df, labels, latency, probs), list(labels)) if labels else out.crossJoin(
+            exact_quantiles(df, [], latency, probs))
     return out.select(*labels, *[c for c in out.columns if c not in labels and c != "_q"],
                       F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p95"), F.col("_q")[2].alias("p99"))
 

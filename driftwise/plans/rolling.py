@@ -91,7 +91,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], broad
     r = right.select(*[F.col(c).alias(f"_r_{c}") for c in cols], *[c for c in right.columns if c not in cols])
     if broadcast:
         r = F.broadcast(r)
-    cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(r[f"_r_{c}"]) for c in cols])
+    cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(r[f"_r_{c}"]) for c in cols], F.lit(True))
     out = left.join(r, cond, "inner")
     return out.drop(*[f"_r_{c}" for c in cols])
 

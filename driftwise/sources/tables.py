@@ -76,3 +76,36 @@ def lineitem_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(ADAPTER_META).alias("meta"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
     )
+
+
+SHIFT_AT = "2024-01-16 00:00:00"
+SHIFT = {"price": 300.0, "quantity": 200}
+
+
+def events_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events_envelope`` with a level shift from ``SHIFT_AT`` on: input for drift detectors."""
+    ev = events_envelope(spark, sf_dir)
+    late = F.col("timestamp") >= F.lit(SHIFT_AT).cast("timestamp")
+    payload = F.col("payload")
+    for name, step in SHIFT.items():
+        payload = payload.withField(name, F.col(f"payload.{name}") + F.when(late, F.lit(step)).otherwise(F.lit(step * 0)))
+    return ev.withColumn("payload", payload)
+
+
+def events_faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event JSON text with faults by id: cut-off text, an absent key, a null value and
+    values of other types, as a feed may send them."""
+    ev = table(spark, sf_dir, "events")
+    ident = F.col("event_id")
+    member = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    parts = [
+        F.when(ident % 7 != 1, member("event_id", quoted(ident.cast("string")))),
+        member("source", F.lit('"feed"')),
+        F.when(ident % 7 != 2, member("type", F.when(ident % 11 == 0, F.lit("null")).otherwise(quoted(F.col("event_type"))))),
+        F.when(ident % 7 != 3, member("timestamp", quoted(F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")))),
+        F.when(ident % 7 != 4, member("payload", F.col("props"))),
+    ]
+    text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    cut = F.substring(text, 1, 20)
+    return ev.select(ident.alias("row"), F.when(ident % 13 == 5, cut).otherwise(text).alias("value"))

@@ -12,6 +12,10 @@ from .schema import TABLES, conform, event_date
 from .functions.payload import payload_json
 
 
+# Partition column that keeps a stream's batches apart.
+BATCH = "batch_id"
+
+
 def to_table_layout(df: DataFrame, name: str) -> DataFrame:
     """Conform a DataFrame to a table's schema (JSON text payloads, timestamps),
     set ``ingest_time`` / ``processing_time`` when absent, add ``event_date``."""
@@ -32,48 +36,71 @@ def to_table_layout(df: DataFrame, name: str) -> DataFrame:
     return out.sortWithinPartitions(*sort_keys)
 
 
-def write_table(df: DataFrame, name: str, base_path: str, mode: str = "append") -> str:
-    """Append to ``<base_path>/<name>`` (Parquet, partitioned by event_date,
-    rows sorted by the table's sort keys inside each file for row-group skipping)."""
+def write_table(df: DataFrame, name: str, base_path: str, mode: str = "append", batch_id: int | None = None,
+                files_per_day: int | None = None) -> str:
+    """Write to ``<base_path>/<name>`` (Parquet, partitioned by event_date, rows sorted
+    by the table's sort keys inside each file for row-group skipping).
+
+    With ``batch_id`` the rows go to partitions of that batch, and those are replaced:
+    writing a batch a second time changes nothing. ``files_per_day`` deals the rows of a
+    day to that many files first; by default a task writes a file for every day it has."""
     path = f"{base_path.rstrip('/')}/{name}"
     out = to_table_layout(df, name)
-    w = out.write.mode(mode)
-    if TABLES[name][2]:
-        w = w.partitionBy("event_date")
-    w.parquet(path)
+    _, sort_keys, partitioned = TABLES[name]
+    parts = ["event_date"] if partitioned else []
+    if files_per_day:
+        deal = F.pmod(F.xxhash64(*sort_keys), F.lit(files_per_day))
+        out = out.repartition(*parts, deal).sortWithinPartitions(*parts, *sort_keys)
+    if batch_id is not None:
+        out, parts, mode = out.withColumn(BATCH, F.lit(batch_id).cast("long")), [BATCH, *parts], "overwrite"
+    w = out.write.mode(mode).option("partitionOverwriteMode", "dynamic" if batch_id is not None else "static")
+    (w.partitionBy(*parts) if parts else w).parquet(path)
     return path
 
 
 def read_table(spark, name: str, base_path: str) -> DataFrame:
-    return spark.read.parquet(f"{base_path.rstrip('/')}/{name}")
+    """The table's columns and its day; batches are an inner matter of the writer."""
+    return spark.read.parquet(f"{base_path.rstrip('/')}/{name}").drop(BATCH)
+
+
+def detect_table(spark, base_path: str, detect: Callable[[DataFrame], DataFrame | None]) -> None:
+    """Run detectors over the whole clean table and replace the pattern table. Pattern
+    ids depend on the events only, so a rerun writes the same rows."""
+    found = detect(read_table(spark, "clean_events", base_path).drop("event_date"))
+    if found is not None:
+        write_table(found, "pattern_events", base_path, mode="overwrite")
 
 
 def batch_router(base_path: str, clean: Callable[[DataFrame], DataFrame] | None = None,
-                 detect: Callable[[DataFrame], DataFrame] | None = None):
+                 detect: Callable[[DataFrame], DataFrame | None] | None = None, detect_every: int = 1,
+                 files_per_day: int = 1):
     """``foreachBatch`` function: raw -> clean -> patterns per micro-batch.
 
-    The batch is persisted once and fanned out to the three tables; writes are
-    appends keyed by the batch, so a retried batch after a failure is the only
-    replay (idempotent sinks need a table format with transactions)."""
+    The batch and its cleaned form are computed once, and both tables are written under
+    the batch's id, so a batch that is retried replaces itself. Detectors need rows from
+    before the batch (windows, grace periods, blocks, clusters): every ``detect_every``
+    batches they run over the clean table, so patterns are those of one run over all
+    events, however they were cut into batches."""
 
     def route(batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist()
+        cleaned = clean(batch).persist() if clean else batch
         try:
-            write_table(batch, "raw_events", base_path)
-            cleaned = clean(batch) if clean else batch
-            write_table(cleaned, "clean_events", base_path)
-            if detect is not None:
-                write_table(detect(cleaned), "pattern_events", base_path)
+            write_table(batch, "raw_events", base_path, batch_id=epoch_id, files_per_day=files_per_day)
+            write_table(cleaned, "clean_events", base_path, batch_id=epoch_id, files_per_day=files_per_day)
+            if detect is not None and epoch_id % detect_every == detect_every - 1:
+                detect_table(batch.sparkSession, base_path, detect)
         finally:
+            cleaned.unpersist()
             batch.unpersist()
 
     return route
 
 
 def start_sinks(stream_df: DataFrame, base_path: str, checkpoint: str, clean=None, detect=None,
-                trigger: dict | None = None):
+                trigger: dict | None = None, detect_every: int = 1, files_per_day: int = 1):
     """Start the raw / clean / pattern stream (one query, foreachBatch router)."""
-    w = stream_df.writeStream.foreachBatch(batch_router(base_path, clean, detect)).option(
+    w = stream_df.writeStream.foreachBatch(batch_router(base_path, clean, detect, detect_every, files_per_day)).option(
         "checkpointLocation", checkpoint)
     if trigger:
         w = w.trigger(**trigger)
@@ -94,7 +121,7 @@ def export(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite")
     elif fmt == "csv":
         flat = df.select(*[F.to_json(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("struct", "array", "map")
                            else F.col(f.name) for f in df.schema.fields])
-        flat.write.mode(mode).option("header", True).csv(path)
+        flat.write.mode(mode).option("header", True).option("escape", "\"").csv(path)  # RFC 4180 quotes
     else:
         raise ValueError(f"unknown export format {fmt!r}")
     return path

@@ -35,10 +35,31 @@ def _sort(pdf: pd.DataFrame, order: Sequence[str]) -> pd.DataFrame:
     return pdf.sort_values(cols, kind="mergesort")
 
 
+def feature_values(xs: np.ndarray, last: int, kind: str, p: int) -> np.ndarray:
+    """The feature for the ``last`` rows of a value sequence, NaN where it needs more rows
+    than there are; all rows at once over a strided window."""
+    out = np.full(last, np.nan)
+    need = p + 1 if kind == "rsi" else p
+    if len(xs) < need:
+        return out
+    frames = np.lib.stride_tricks.sliding_window_view(xs, need)[-last:]
+    if kind == "sma":
+        vals = frames.mean(axis=1)
+    elif kind == "ema":
+        vals = frames[:, ::-1] @ np.array(ema_weights(p))
+    else:
+        d = np.diff(frames, axis=1)
+        gain, loss = d.clip(min=0).sum(axis=1) / p, (-d).clip(min=0).sum(axis=1) / p
+        with np.errstate(divide="ignore", invalid="ignore"):
+            vals = np.where(loss == 0, 100.0, 100.0 - 100.0 / (1.0 + gain / loss))
+    out[last - len(vals):] = vals
+    return out
+
+
 def stream_features(df: DataFrame, features: Sequence[str], window_size: int = 20, value: str = "close",
                     key: Sequence[str] = ("source", "type"), order: Sequence[str] = ORDER) -> DataFrame:
     """Streaming SMA / EMA / RSI (same definitions as ``extract_features``)."""
-    specs = [(n, k, p) for (n, k, p) in parse_features(features) if (p + 1 if k == "rsi" else p) <= 2 * window_size]
+    specs = parse_features(features)
     keep = max([p + 1 if k == "rsi" else p for _, k, p in specs] + [1])
     key = list(key)
     src = _prep(df, key, order, {"_x": F.coalesce(numeric_field(df, value), F.lit(0.0)), "_has": numeric_field(df, value).isNotNull()})
@@ -49,23 +70,10 @@ def stream_features(df: DataFrame, features: Sequence[str], window_size: int = 2
         buf, seen = (json.loads(state.get[0]) if state.exists else ([], 0))
         pdf = _sort(pd.concat(list(batches), ignore_index=True), order)
         xs = np.array(buf + pdf["_x"].astype(float).tolist())
-        off = len(buf)
-        res = {n: [] for n, _, _ in specs}
-        for j in range(len(pdf)):
-            pos = off + j  # index in xs
-            rn = seen + j + 1
-            for n, kind, p in specs:
-                val = None
-                if kind == "sma" and rn >= p:
-                    val = float(np.mean(xs[pos - p + 1:pos + 1]))
-                elif kind == "ema" and rn >= p:
-                    w = ema_weights(p)
-                    val = float(sum(w[i] * xs[pos - i] for i in range(p)))
-                elif kind == "rsi" and rn >= p + 1:
-                    d = np.diff(xs[pos - p:pos + 1])
-                    gain, loss = d.clip(min=0).sum() / p, (-d).clip(min=0).sum() / p
-                    val = 100.0 if loss == 0 else 100.0 - 100.0 / (1.0 + gain / loss)
-                res[n].append(val if bool(pdf["_has"].iloc[j]) else None)
+        has = pdf["_has"].to_numpy(dtype=bool)
+        res = {n: feature_values(xs, len(pdf), kind, p) for n, kind, p in specs}
+        res = {n: [v if ok and v == v else None for v, ok in zip(vals.tolist(), has, strict=True)]
+               for n, vals in res.items()}
         state.update((json.dumps([xs[-keep:].tolist(), seen + len(pdf)]),))
         out = pd.DataFrame({**{kc: [str(v) for v in [k[i]] * len(pdf)] for i, kc in enumerate(key)},
                             "event_id": pdf["event_id"].astype(str).values, "timestamp": pdf["timestamp"].values,

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..extras.crosssection import cs_rank, cs_winsorize, cs_zscore, neutralize, topn_overlap
-from ..extras.quality import (business_days, feedback_stats, iqr_filter, keyword_topk, pattern_report, psi,
+from ..extras.quality import (business_days, feedback_by_pattern, feedback_stats, iqr_filter, keyword_topk, pattern_report, psi,
                               snapshot_id, zscore_filter, frequent_itemsets)
 from ..extras.timeseries import (align_on_ts, indicators, lagged_features, microstructure, pattern_context,
-                                 return_stats, rollup_bars, rolling_stats, sessions, sliding_counts, trend)
+                                 realised_volatility, return_stats, rollup_bars, rolling_stats, sessions, sliding_counts, trend)
+from ..detectors.drift import drift_flags
+from ..extras.screening import (POISSON1_CDF, agreement, bootstrap_mean, ddm_flags, factor_screen, obv, replay_window,
+                                retain)
 from ..operators.bars import aggregate, flatten_bars
+from ..operators.features import ema_weights
 from ..operators.validate import dead_letter
 from ..sources.messages import parse_trades
-from ..sources.tables import events_envelope, events_raw_json, table
+from ..sources.tables import events_envelope, events_raw_json, events_shifted, table
 from .api import FB_IDS, FEEDBACK, PATTERNS, feedback_table, patterns_table
-from .common import EV, finish, r6
+from .common import EV, EVS, finish, r6
+from .detect import DRIFT_DELTA, DRIFT_FRAME, DRIFT_GRACE, drift_body
 from .io import trade_messages
 
 
@@ -25,14 +31,14 @@ def flat_events(spark, sf):
 
 
 def q_lagged_features(spark, sf):
-    out = lagged_features(flat_events(spark, sf), "price", lags=(1, 3), windows=(5,), key=("user_id",))
-    return finish(out.select("event_id", "price_lag1", "price_lag3", "price_ma5", "price_std5"))
+    out = lagged_features(flat_events(spark, sf), "price", lags=(1, 3), windows=(5,), key=("user_id",), emas=(4,), rsis=(5,))
+    return finish(out.select("event_id", "price_lag1", "price_lag3", "price_ma5", "price_std5", "price_ema4", "price_rsi5"))
 
 
 def q_rolling_stats(spark, sf):
-    out = rolling_stats(flat_events(spark, sf), "price", 20, key=("type",))
+    out = rolling_stats(flat_events(spark, sf), "price", 20, key=("type",), quantiles=(0.9,))
     return finish(out.select("event_id", "price_mean20", "price_std20", "price_min20", "price_max20",
-                             "price_median20", "price_rank20", "price_pctrank20"))
+                             "price_median20", "price_q90", "price_rank20", "price_pctrank20"))
 
 
 def _flat_bars(spark, sf, window="1h"):
@@ -57,7 +63,7 @@ def q_session_window(spark, sf):
 
 
 def q_pattern_context(spark, sf):
-    pats = patterns_table(spark, sf).filter(F.col("type") == "cluster_change")
+    pats = patterns_table(spark, sf)
     out = pattern_context(pats, flat_events(spark, sf), 5)
     return finish(out.select("pattern_id", F.col("event_id").alias("r_event_id"), "offset_sec"))
 
@@ -125,7 +131,7 @@ def q_trend(spark, sf):
 
 
 def q_microstructure(spark, sf):
-    tr = parse_trades(trade_messages(spark, sf))
+    tr = parse_trades(trade_messages(spark, sf, faults=False))
     flat = tr.select("timestamp", "payload.*")
     return finish(microstructure(flat, "24 hours", ("symbol",)))
 
@@ -156,6 +162,61 @@ def q_feedback_stats(spark, sf):
     return finish(feedback_stats(acc, pats))
 
 
+def q_feedback_by_pattern(spark, sf):
+    from ..plans.query import accept_feedback
+
+    pats = patterns_table(spark, sf)
+    acc, _ = accept_feedback(feedback_table(spark, sf), pats, id_cols=FB_IDS)
+    return finish(feedback_by_pattern(acc, pats))
+
+
+def q_ddm_levels(spark, sf):
+    """Error = a price above 100 in the shifted series, per event type."""
+    ev = events_shifted(spark, sf).withColumn("error", (F.col("payload.price") > 100).cast("int"))
+    out = ddm_flags(ev, "error", key=("type",))
+    return finish(out.select("event_id", "type", "error_rate", "level"))
+
+
+def q_detector_agreement(spark, sf):
+    """Drift of the shifted price against drift of its quantity, within an hour."""
+    ev = events_shifted(spark, sf)
+    a, b = (drift_flags(ev, f, DRIFT_FRAME, DRIFT_DELTA, DRIFT_GRACE).filter("drift") for f in ("price", "quantity"))
+    return finish(agreement(a, b, 3600))
+
+
+def q_factor_screen(spark, sf):
+    """Revenue and quantity of a supplier's day against its revenue of the next day it sells."""
+    d = supplier_day(spark, sf)
+    nxt = Window.partitionBy("symbol").orderBy("ts")
+    d = d.withColumn("forward", F.lead("revenue").over(nxt)).withColumn("qty", F.when(F.col("qty") > 10, F.col("qty")))
+    return finish(factor_screen(d, ["revenue", "qty"], "forward"))
+
+
+def q_bootstrap_mean(spark, sf):
+    return finish(bootstrap_mean(flat_events(spark, sf), "price", "event_id", ["type"], draws=50))
+
+
+def q_retention(spark, sf):
+    ev = retain(flat_events(spark, sf), 7, "2024-01-20 10:00:00")
+    return finish(ev.select("event_id", "timestamp"))
+
+
+def q_replay_window(spark, sf):
+    ev = events_envelope(spark, sf).select("event_id", "source", "timestamp")
+    out = replay_window(ev, "2024-01-05 00:00:00", "2024-01-07 00:00:00", "events", epoch=0)
+    return out.select("event_id", "source", "type", F.get_json_object("payload", "$.event_id").alias("original"))
+
+
+def q_obv(spark, sf):
+    out = obv(_flat_bars(spark, sf), key=("source", "type"))
+    return finish(out.select("event_id", "type", "obv"))
+
+
+def q_realised_volatility(spark, sf):
+    ev = flat_events(spark, sf).withColumn("level", F.col("price") + 100)
+    return finish(realised_volatility(ev, "level", "24 hours", key=("type",)))
+
+
 def q_snapshot_id(spark, sf):
     return snapshot_id(table(spark, sf, "orders"))
 
@@ -205,6 +266,15 @@ QUERIES = {
     "business_days": q_business_days,
     "frequent_itemsets": q_frequent_itemsets,
     "dead_letter": q_dead_letter,
+    "feedback_by_pattern": q_feedback_by_pattern,
+    "ddm_levels": q_ddm_levels,
+    "detector_agreement": q_detector_agreement,
+    "factor_screen": q_factor_screen,
+    "bootstrap_mean": q_bootstrap_mean,
+    "retention": q_retention,
+    "replay_window": q_replay_window,
+    "obv": q_obv,
+    "realised_volatility": q_realised_volatility,
 }
 
 _UW = 'PARTITION BY user_id ORDER BY "timestamp", event_id'
@@ -213,7 +283,6 @@ _BW = 'PARTITION BY source, type ORDER BY "timestamp", event_id'
 
 
 def _ema(p: int) -> str:
-    from ..operators.features import ema_weights
     return " + ".join(f"{w!r} * " + ("close" if j == 0 else f"lag(close, {j}) OVER ({_BW})")
                       for j, w in enumerate(ema_weights(p)))
 
@@ -231,11 +300,15 @@ _SD = """sd AS (SELECT CAST(l_shipdate AS DATE) AS ts, l_suppkey AS symbol, sum(
             FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
 
 ORACLE = {
-    "lagged_features": f"""WITH {EV}, r AS (SELECT *, row_number() OVER ({_UW}) AS rn FROM ev)
+    "lagged_features": f"""WITH {EV}, r AS (SELECT *, row_number() OVER ({_UW}) AS rn, price - lag(price) OVER ({_UW}) AS d FROM ev),
+gl AS (SELECT *, sum(greatest(d, 0)) OVER ({_UW} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) / 5 AS gain,
+              sum(greatest(-d, 0)) OVER ({_UW} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) / 5 AS loss FROM r)
 SELECT event_id, {r6(f'lag(price, 1) OVER ({_UW})')} AS price_lag1, {r6(f'lag(price, 3) OVER ({_UW})')} AS price_lag3,
        CASE WHEN rn > 5 THEN {r6(f'avg(price) OVER ({_UW} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)')} END AS price_ma5,
-       CASE WHEN rn > 5 THEN {r6(f'stddev_pop(price) OVER ({_UW} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)')} END AS price_std5
-FROM r""",
+       CASE WHEN rn > 5 THEN {r6(f'stddev_pop(price) OVER ({_UW} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)')} END AS price_std5,
+       CASE WHEN rn > 4 THEN {r6(" + ".join(f"{w!r} * lag(price, {j + 1}) OVER ({_UW})" for j, w in enumerate(ema_weights(4))))} END AS price_ema4,
+       CASE WHEN rn > 6 THEN {r6('CASE WHEN loss = 0 THEN 100.0 ELSE 100.0 - 100.0 / (1.0 + gain / loss) END')} END AS price_rsi5
+FROM gl""",
     "rolling_stats": f"""WITH {EV}, r AS (SELECT *, row_number() OVER ({_TW}) AS rn,
        list(price) OVER ({_TW} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS win FROM ev)
 SELECT event_id,
@@ -244,6 +317,7 @@ SELECT event_id,
   CASE WHEN rn >= 20 THEN {r6(f'min(price) OVER ({_TW} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)')} END AS price_min20,
   CASE WHEN rn >= 20 THEN {r6(f'max(price) OVER ({_TW} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)')} END AS price_max20,
   CASE WHEN rn >= 20 THEN {r6(f'quantile_cont(price, 0.5) OVER ({_TW} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)')} END AS price_median20,
+  CASE WHEN rn >= 20 THEN {r6(f'quantile_cont(price, 0.9) OVER ({_TW} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)')} END AS price_q90,
   CASE WHEN rn >= 20 THEN len(list_filter(win, lambda v: v < price)) + 1 END AS price_rank20,
   CASE WHEN rn >= 20 THEN {r6('len(list_filter(win, lambda v: v < price)) / 19.0')} END AS price_pctrank20
 FROM r""",
@@ -280,8 +354,7 @@ FROM s GROUP BY user_id, sid""",
 SELECT p.pattern_id, e.event_id AS r_event_id,
        {r6('(epoch_us(e."timestamp") - epoch_us(p."timestamp")) / 1e6')} AS offset_sec
 FROM pt p JOIN ev e ON e.source = p.source
- AND e."timestamp" BETWEEN p."timestamp" - INTERVAL 5 MINUTE AND p."timestamp" + INTERVAL 5 MINUTE
-WHERE p.type = 'cluster_change'""",
+ AND e."timestamp" BETWEEN p."timestamp" - INTERVAL 5 MINUTE AND p."timestamp" + INTERVAL 5 MINUTE""",
     "align_on_ts": """WITH a AS (SELECT CAST(l_shipdate AS DATE) AS ts, sum(l_extendedprice) AS r FROM lineitem GROUP BY 1),
 b AS (SELECT CAST(o_orderdate AS DATE) AS ts, count(*) AS n FROM orders GROUP BY 1)
 SELECT coalesce(a.ts, b.ts) AS ts, round(a.r, 6) AS ship__revenue, b.n AS order__orders
@@ -324,13 +397,14 @@ SELECT event_id,
   CASE WHEN x > 20 THEN price > max(price) OVER ({_TW} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS breakout
 FROM r""",
     "microstructure": """WITH t AS (SELECT l_returnflag || l_linestatus AS symbol, l_shipdate AS ts, l_extendedprice AS price, l_quantity AS quantity,
-                  CASE WHEN l_linenumber % 2 = 0 THEN 'buy' ELSE 'sell' END AS side FROM lineitem WHERE l_tax <> 0),
+                  CASE WHEN l_linenumber % 2 = 0 THEN 'buy' ELSE 'sell' END AS side FROM lineitem),
 g AS (SELECT symbol, date_trunc('day', ts) AS window_start, sum(price * quantity) / sum(quantity) AS vwap,
              sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) / sum(quantity) AS imbalance,
              max(price) AS h, min(price) AS l, arg_min(price, (ts, price, quantity)) AS o, arg_max(price, (ts, price, quantity)) AS c,
              sum(price * quantity) AS dollar_volume, count(DISTINCT ts) AS nts FROM t GROUP BY 1, 2)
 SELECT symbol, window_start, round(vwap, 6) AS vwap, round(imbalance, 6) AS imbalance,
        round(sqrt(pow(ln(h / l), 2) / (4 * ln(2))), 6) AS parkinson,
+       round(sqrt(greatest(pow(ln(h / l), 2) / 2 - (2 * ln(2) - 1) * pow(ln(c / o), 2), 0)), 6) AS garman_klass,
        round(abs(c / o - 1) / dollar_volume, 6) AS amihud, round(dollar_volume, 6) AS dollar_volume
 FROM g""",
     "outliers_zscore": f"""WITH {EV}, s AS (SELECT type, avg(price) AS m, stddev_pop(price) AS sd FROM ev GROUP BY type)
@@ -339,7 +413,8 @@ SELECT event_id, type, {r6('price')} AS price FROM ev JOIN s USING (type) WHERE
 SELECT event_id, type, {r6('price')} AS price FROM ev JOIN s USING (type)
 WHERE price >= q1 - 1.5 * (q3 - q1) AND price <= q3 + 1.5 * (q3 - q1)""",
     "pattern_report": f"""WITH {PATTERNS}
-SELECT type, source, min("timestamp") AS first_seen, max("timestamp") AS last_seen, count(*) AS support,
+SELECT type, source, min("timestamp") AS first_seen, max("timestamp") AS last_seen,
+       {r6('(epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) / 1e6')} AS lifetime_sec, count(*) AS support,
        {r6('avg(confidence)')} AS mean_confidence FROM pt GROUP BY type, source""",
     "feedback_stats": f"""WITH {PATTERNS}, {FEEDBACK},
 per AS (SELECT pattern_id, avg(rating) AS r, count(*) AS n FROM acc GROUP BY pattern_id)
@@ -361,6 +436,52 @@ FROM orders""",
 r AS (SELECT o, i AS last, i AS itemset FROM b
       UNION ALL SELECT r.o, b.i, r.itemset || '|' || b.i FROM r JOIN b ON r.o = b.o AND b.i > r.last)
 SELECT itemset, count(*) AS freq FROM r GROUP BY itemset HAVING count(*) >= (SELECT ceil(0.01 * count(DISTINCT o)) FROM b)""",
+    "feedback_by_pattern": f"""WITH {PATTERNS}, {FEEDBACK}
+SELECT pattern_id, type, count(*) AS ratings, {r6('avg(rating)')} AS mean_rating, count(*) FILTER (WHERE rating > 0) AS positive,
+       count(*) FILTER (WHERE rating < 0) AS negative
+FROM acc JOIN (SELECT DISTINCT pattern_id, type FROM pt) USING (pattern_id) GROUP BY pattern_id, type""",
+    "ddm_levels": f"""WITH {EVS},
+e AS (SELECT *, row_number() OVER ({_TW}) AS n, (price > 100)::INT AS error FROM ev WHERE price IS NOT NULL),
+p AS (SELECT *, sum(error) OVER ({_TW}) / n AS p FROM e),
+s AS (SELECT *, sqrt(p * (1 - p) / n) AS s FROM p),
+m AS (SELECT *, min(CASE WHEN n >= 30 THEN (p + s, p, s) END) OVER ({_TW}) AS low FROM s)
+SELECT event_id, type, {r6('p')} AS error_rate,
+       CASE WHEN n >= 30 AND p + s > low[2] + 3.0 * low[3] THEN 'drift' WHEN n >= 30 AND p + s > low[2] + 2.0 * low[3] THEN 'warning'
+            ELSE 'normal' END AS level FROM m""",
+    "detector_agreement": f"""WITH a AS (SELECT * FROM ({drift_body('price')}) WHERE drift), b AS (SELECT * FROM ({drift_body('quantity')}) WHERE drift),
+m AS (SELECT source, count(*) AS n FROM a WHERE EXISTS (SELECT 1 FROM b WHERE abs(epoch_us(a."timestamp") - epoch_us(b."timestamp")) <= 3600000000)
+      GROUP BY source)
+SELECT 'events' AS source, (SELECT count(*) FROM a) AS a, (SELECT count(*) FROM b) AS b, coalesce((SELECT n FROM m), 0) AS matched,
+       {r6('coalesce((SELECT n FROM m), 0) / (SELECT count(*) FROM a)')} AS agreement""",
+    "factor_screen": f"""WITH {_SD},
+f AS (SELECT ts, revenue, CASE WHEN qty > 10 THEN qty END AS qty, lead(revenue) OVER (PARTITION BY symbol ORDER BY ts) AS fwd FROM sd),
+l AS (SELECT ts, 'revenue' AS factor, revenue AS x, fwd FROM f UNION ALL SELECT ts, 'qty', qty, fwd FROM f),
+r AS (SELECT *, rank() OVER (PARTITION BY factor, ts ORDER BY x) AS ra, rank() OVER (PARTITION BY factor, ts ORDER BY fwd) AS rb
+      FROM l WHERE x IS NOT NULL AND fwd IS NOT NULL),
+i AS (SELECT factor, ts, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) END AS ic FROM r GROUP BY ALL)
+SELECT factor, {r6('avg(ic)')} AS ic, {r6('avg(ic) / stddev_samp(ic)')} AS ic_ir,
+       {r6('(SELECT avg((x IS NULL)::INT) FROM l WHERE l.factor = i.factor)')} AS missing, count(ic) AS points FROM i GROUP BY factor""",
+    "bootstrap_mean": f"""WITH {EV},
+d AS (SELECT type, price, k, ('0x' || substr(md5(event_id || '|' || k), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+      FROM ev, (SELECT unnest(range(1, 51)) AS k) WHERE price IS NOT NULL),
+m AS (SELECT type, k, sum(price * w) / sum(w) AS m FROM (
+        SELECT type, k, price, len(list_filter({POISSON1_CDF!r}::DOUBLE[], lambda c: u >= c)) AS w FROM d) GROUP BY ALL)
+SELECT type, {r6('avg(m)')} AS mean, {r6('quantile_cont(m, 0.025)')} AS low, {r6('quantile_cont(m, 0.975)')} AS high FROM m GROUP BY type""",
+    "retention": f"""WITH {EV} SELECT event_id, "timestamp" FROM ev WHERE "timestamp" >= TIMESTAMP '2024-01-14 00:00:00'""",
+    "replay_window": f"""WITH {EV},
+w AS (SELECT event_id, row_number() OVER (ORDER BY "timestamp", event_id) - 1 AS i FROM ev
+      WHERE "timestamp" >= TIMESTAMP '2024-01-05 00:00:00' AND "timestamp" < TIMESTAMP '2024-01-07 00:00:00')
+SELECT 'replay-' || i || '-0' AS event_id, 'events_replay' AS source, 'replay' AS type, event_id AS original FROM w""",
+    "obv": f"""WITH {EV},
+hb AS (SELECT source, type || '_aggregated' AS type, date_trunc('hour', "timestamp") + INTERVAL 1 HOUR AS "timestamp",
+              first(event_id ORDER BY "timestamp" DESC, event_id DESC) AS event_id,
+              first(price ORDER BY "timestamp" DESC, event_id DESC) AS close, CAST(sum(quantity) AS DOUBLE) AS volume
+       FROM ev GROUP BY 1, 2, 3),
+d AS (SELECT *, coalesce(sign(close - lag(close) OVER ({_BW})) * volume, 0) AS v FROM hb)
+SELECT event_id, type, {r6(f'sum(v) OVER ({_BW})')} AS obv FROM d""",
+    "realised_volatility": f"""WITH {EV},
+r AS (SELECT type, "timestamp", ln((price + 100) / lag(price + 100) OVER ({_TW})) AS r FROM ev)
+SELECT type, date_trunc('day', "timestamp") AS window_start, {r6('sqrt(sum(r * r))')} AS realised_vol, count(r) AS n FROM r GROUP BY ALL""",
     "business_days": """SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series(min(CAST(o_orderdate AS DATE)),
        max(CAST(o_orderdate AS DATE)), INTERVAL 1 DAY)) AS d FROM orders) WHERE dayofweek(d) NOT IN (0, 6)""",
     "dead_letter": """SELECT CAST(event_id AS VARCHAR) AS event_id,

@@ -16,13 +16,14 @@ from ..sources.tables import events_envelope, lineitem_envelope, table
 from .common import EV, finish, r6
 
 
-def trade_messages(spark, sf):
-    """lineitem rows as trade-tick JSON text; rows with l_tax = 0 lack the ``q`` key."""
+def trade_messages(spark, sf, faults=True):
+    """lineitem rows as trade-tick JSON text; with ``faults``, rows with l_tax = 0 lack the
+    ``q`` key."""
     li = table(spark, sf, "lineitem")
     msg = F.to_json(F.struct(
         F.concat(F.col("l_returnflag"), F.col("l_linestatus")).alias("s"),
         F.col("l_extendedprice").cast("string").alias("p"),
-        F.when(F.col("l_tax") != 0, F.col("l_quantity").cast("string")).alias("q"),
+        F.when((F.col("l_tax") != 0) | F.lit(not faults), F.col("l_quantity").cast("string")).alias("q"),
         F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("T"),
         (F.col("l_linenumber") % 2 == 0).alias("m"),
     ))

@@ -73,10 +73,12 @@ def psi(base: DataFrame, current: DataFrame, col: str, bins: int = 10, eps: floa
 
 
 def pattern_report(patterns: DataFrame) -> DataFrame:
-    """Per (type, source): first / last time, count (support), mean confidence."""
+    """Per (type, source): first / last time, seconds between them, count (support), mean
+    confidence."""
     conf = F.get_json_object("details", "$.confidence").try_cast("double")
     return patterns.groupBy("type", "source").agg(
         F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
+        ((F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))) / 1e6).alias("lifetime_sec"),
         F.count(F.lit(1)).alias("support"), F.avg(conf).alias("mean_confidence"))
 
 
@@ -88,6 +90,14 @@ def feedback_stats(feedback: DataFrame, patterns: DataFrame) -> DataFrame:
                                  (F.sum(F.col("_r") * F.col("_n")) / F.sum("_n")).alias("mean_rating"))
 
 
+def feedback_by_pattern(feedback: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Per rated pattern: its type, ratings, mean rating, and ratings by label."""
+    per = feedback.groupBy("pattern_id").agg(
+        F.count(F.lit(1)).alias("ratings"), F.avg("rating").alias("mean_rating"),
+        F.count_if(F.col("rating") > 0).alias("positive"), F.count_if(F.col("rating") < 0).alias("negative"))
+    return per.join(patterns.select("pattern_id", "type").distinct(), "pattern_id")
+
+
 def snapshot_id(df: DataFrame) -> DataFrame:
     """Order-free content id of a table: row count and the sum of 60-bit row hashes. A
     row's hash is md5 over its values as text, in an engine-neutral form: numbers with a

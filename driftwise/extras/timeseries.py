@@ -23,10 +23,12 @@ ORDER = ("timestamp", "event_id")
 
 
 def lagged_features(df: DataFrame, col: str, lags: Sequence[int] = (1,), windows: Sequence[int] = (5,),
-                    key: Sequence[str] = ("symbol",), order: Sequence[str] = ORDER, split: bool = True) -> DataFrame:
-    """``{col}_lag{k}`` and left-closed ``{col}_ma{w}`` / ``{col}_std{w}``: the
-    previous w rows, not the current one (no look-ahead); null until w exist."""
-    look = max(list(lags) + list(windows) + [1])
+                    key: Sequence[str] = ("symbol",), order: Sequence[str] = ORDER, split: bool = True,
+                    emas: Sequence[int] = (), rsis: Sequence[int] = ()) -> DataFrame:
+    """``{col}_lag{k}`` and left-closed ``{col}_ma{w}`` / ``{col}_std{w}`` / ``{col}_ema{p}`` /
+    ``{col}_rsi{p}``: over the previous rows, not the current one (no look-ahead); null
+    until enough exist (w, p and p + 1)."""
+    look = max(list(lags) + list(windows) + list(emas) + [p + 1 for p in rsis] + [1])
 
     def build(fr: Frame):
         cols = [F.lag(col, k).over(fr.w).alias(f"{col}_lag{k}") for k in lags]
@@ -34,15 +36,28 @@ def lagged_features(df: DataFrame, col: str, lags: Sequence[int] = (1,), windows
             frame = fr.w.rowsBetween(-w, -1)
             cols.append(F.when(fr.rn > w, F.avg(col).over(frame)).alias(f"{col}_ma{w}"))
             cols.append(F.when(fr.rn > w, F.stddev_pop(col).over(frame)).alias(f"{col}_std{w}"))
-        return cols
-
-    return over_rows(df, key, order, look, build, split=split)
+        for p in emas:
+            terms = [F.lit(wt) * F.lag(col, j + 1).over(fr.w) for j, wt in enumerate(ema_weights(p))]
+            cols.append(F.when(fr.rn > p, sum(terms[1:], terms[0])).alias(f"{col}_ema{p}"))
+        if not rsis:
+            return cols
+        first = [(F.col(col) - F.lag(col, 1).over(fr.w)).alias("_d")]
+        for p in rsis:
+            frame = fr.w.rowsBetween(-p, -1)
+            gain = F.sum(F.greatest(F.col("_d"), F.lit(0.0))).over(frame) / p
+            loss = F.sum(F.greatest(-F.col("_d"), F.lit(0.0))).over(frame) / p
+            cols.append(F.when(fr.rn > p + 1, F.when(loss == 0, F.lit(100.0)).otherwise(
+                F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + gain / loss))).alias(f"{col}_rsi{p}"))
+        return [first, cols]
+
+    return over_rows(df, key, order, look, build, split=split).drop("_d")
 
 
 def rolling_stats(df: DataFrame, col: str, window: int = 20, key: Sequence[str] = ("symbol",),
-                  order: Sequence[str] = ORDER, split: bool = True) -> DataFrame:
+                  order: Sequence[str] = ORDER, split: bool = True, quantiles: Sequence[float] = ()) -> DataFrame:
     """Rolling mean / std (population) / min / max / median / rank / pct_rank of
-    the current value inside the last ``window`` rows (full windows only)."""
+    the current value inside the last ``window`` rows (full windows only), and
+    ``{col}_q<percent>`` per entry of ``quantiles``."""
     def build(fr: Frame):
         w = fr.rows(window)
         full = fr.rn >= window
@@ -53,6 +68,8 @@ def rolling_stats(df: DataFrame, col: str, window: int = 20, key: Sequence[str]
                  F.when(full, F.min(col).over(w)).alias(f"{col}_min{window}"),
                  F.when(full, F.max(col).over(w)).alias(f"{col}_max{window}"),
                  F.when(full, F.percentile(F.col(col), F.lit(0.5)).over(w)).alias(f"{col}_median{window}"),
+                 *[F.when(full, F.percentile(F.col(col), F.lit(q)).over(w)).alias(f"{col}_q{round(q * 100)}")
+                   for q in quantiles],
                  F.when(full, F.collect_list(col).over(w)).alias("_win")]] + [[
             F.when(full, F.size(F.filter("_win", lambda v: v < cur)) + 1).alias(f"{col}_rank{window}"),
             F.when(full, F.size(F.filter("_win", lambda v: v < cur)) / F.lit(float(window - 1)))
@@ -183,7 +200,7 @@ def running(df: DataFrame, col: str, key: Sequence[str], order: Sequence[str], h
     chunk = idx.groupBy(*key, "_chunk").agg(agg(col).alias("_c"))
     wk = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunk = chunk.withColumn("_p", agg("_c").over(wk)).drop("_c")
-    j = idx.join(chunk, list(key) + ["_chunk"], "left")
+    j = null_safe_join(idx, chunk, list(key) + ["_chunk"])
     wc = Window.partitionBy(*key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inner = agg(col).over(wc)
     if how == "sum":
@@ -246,7 +263,8 @@ def trend(df: DataFrame, col: str, window: int = 20, key: Sequence[str] = ("symb
 
 def microstructure(trades: DataFrame, window: str = "1h", key: Sequence[str] = ("symbol",)) -> DataFrame:
     """Per key and window: VWAP, order imbalance (buy - sell) / (buy + sell) volume,
-    Parkinson volatility sqrt(ln(h/l)^2 / (4 ln 2)) and Amihud |ret| / dollar volume."""
+    Parkinson volatility sqrt(ln(h/l)^2 / (4 ln 2)), Garman-Klass volatility
+    sqrt(ln(h/l)^2 / 2 - (2 ln 2 - 1) ln(c/o)^2) and Amihud |ret| / dollar volume."""
     w = F.window("timestamp", window)
     pq = F.col("price") * F.col("quantity")
     g = trades.groupBy(*key, w.alias("w")).agg(
@@ -259,5 +277,20 @@ def microstructure(trades: DataFrame, window: str = "1h", key: Sequence[str] = (
     return g.select(*key, F.col("w.start").alias("window_start"), "vwap",
                     F.try_divide(F.col("_imb"), F.col("_vol")).alias("imbalance"),
                     F.sqrt(F.pow(F.log(F.try_divide(F.col("_h"), F.col("_l"))), 2) / (4 * math.log(2))).alias("parkinson"),
+                    F.sqrt(F.greatest(F.pow(F.log(F.try_divide(F.col("_h"), F.col("_l"))), 2) / 2 - (2 * math.log(2) - 1)
+                           * F.pow(F.log(F.try_divide(F.col("_c"), F.col("_o"))), 2), F.lit(0.0))).alias("garman_klass"),
                     F.try_divide(F.abs(F.try_divide(F.col("_c"), F.col("_o")) - 1), F.col("dollar_volume")).alias("amihud"),
                     "dollar_volume")
+
+
+def realised_volatility(df: DataFrame, price: str, window: str, key: Sequence[str] = ("symbol",),
+                        order: Sequence[str] = ORDER) -> DataFrame:
+    """Per key and time window: ``realised_vol``, the root of the sum of squared log
+    returns from row to row (a window's first return starts in the window before)."""
+    def build(fr: Frame):
+        return [F.log(F.try_divide(F.col(price), F.lag(price, 1).over(fr.w))).alias("_r")]
+
+    r = over_rows(df, key, order, 1, build)
+    return r.groupBy(*key, F.window("timestamp", window).alias("w")).agg(
+        F.sqrt(F.sum(F.col("_r") * F.col("_r"))).alias("realised_vol"), F.count("_r").alias("n")).select(
+        *key, F.col("w.start").alias("window_start"), "realised_vol", "n")

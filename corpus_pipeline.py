@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftwise.llm.common import table
 from driftwise.llm.decontaminate import decontaminate
-from driftwise.llm.mix import expand, mix
+from driftwise.llm.mix import take
 from driftwise.llm.quality import reject
 from driftwise.llm.shard import shard
 from driftwise.llm.simhash import near_dedup
@@ -40,7 +40,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return expand(mix(docs), docs.columns)
+    return take(docs)
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,6 +92,22 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), cap: int =
     ``copies`` (times the mix takes the document, 0 to ``cap``). ``weights`` are dealt
     to the sources in code point order, again from the first when they run out;
     ``total`` is the words to share, by default all of them."""
+    rows = _planned(docs, weights, cap, total, id_col, text_col, source_col, odds_col)
+    return rows.select(*with_columns(docs, {"size": F.col("__n"), "source_size": F.col("__size"),
+                                            "target": F.col("__target"), "copies": F.col("__copies")}))
+
+
+def take(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), cap: int = 3, total: float | None = None,
+         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+         odds_col: str | None = None) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as the mix takes it."""
+    rows = _planned(docs, weights, cap, total, id_col, text_col, source_col, odds_col)
+    times = F.array_repeat(F.lit(0), F.col("__copies").cast("int"))
+    return rows.select("__row", F.explode(times).alias("__copy")).select("__row.*")
+
+
+def _planned(docs, weights, cap, total, id_col, text_col, source_col, odds_col) -> DataFrame:
+    """``__row`` with ``__n``, ``__size``, ``__target`` and ``__copies``."""
     text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     u, tie = draw(ident, text)
     tilt = F.lit(1.0) if odds_col is None else F.col(f"`{odds_col}`").cast("double")
@@ -161,11 +177,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), cap: int =
     chosen = F.when(F.col("__q").isNull(), False).when(F.col("__eq").isNull(), True).otherwise(
         under | F.coalesce(fits, F.lit(False)))
     copies = F.least(F.col("__whole") + chosen.cast("long"), F.lit(cap).cast("long"))
-    return rows.select(*with_columns(docs, {"size": F.col("__n"), "source_size": F.col("__size"),
-                                            "target": F.col("__target"), "copies": copies}))
-
-
-def expand(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mix itself: every row as often as ``copies`` says, with ``columns``."""
-    return mixed.select(*[f"`{c}`" for c in columns], F.explode(
-        F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    return rows.withColumn("__copies", copies)

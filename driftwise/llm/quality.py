@@ -230,6 +230,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``docs`` with the statistics, ``base_failed``, ``distance2`` and ``kept``.
 
     ``keep_columns=False`` returns id and verdict columns only, from the slim table."""
+    out = _judged(docs, id_col, text_col, lang_col, source_col, min_rows, limit)
+    if not keep_columns:
+        return out.select(F.col("__id").alias(id_col), *[F.col(c).alias(n) for n, c in OUTPUT.items()])
+    joined = _with_rows(docs, out, id_col, text_col, lang_col, source_col)
+    return joined.select(*with_columns(docs, {n: F.col(c) for n, c in OUTPUT.items()}))
+
+
+OUTPUT = {"n_words": "__n", "word_chars": "__word_chars", "n_symbols": "__symbols", "n_dup_lines": "__dup_lines",
+          "n_repeat_words": "__repeat", "base_failed": "__failed", "distance2": "__d2", "kept": "__kept"}
+
+
+def _judged(docs, id_col, text_col, lang_col, source_col, min_rows, limit) -> DataFrame:
+    """Statistics and verdict per row, without the text."""
     text, ident = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`")
     k1, k2 = row_key(ident, text)
     own = docs.select(ident.alias("__id"), k1.alias("__k1"), k2.alias("__k2"), text.alias("__text"),
@@ -246,22 +259,24 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                            "__dup_lines", "__repeat", "__failed", "__d2")
     out = judged.unionByName(slim.filter("__failed").select(*[c for c in judged.columns if c != "__d2"]),
                              allowMissingColumns=True)
-    new = {"n_words": F.col("__n"), "word_chars": F.col("__word_chars"), "n_symbols": F.col("__symbols"),
-           "n_dup_lines": F.col("__dup_lines"), "n_repeat_words": F.col("__repeat"), "base_failed": F.col("__failed"),
-           "distance2": F.col("__d2"), "kept": ~F.col("__failed") & (F.coalesce(F.col("__d2"), F.lit(0.0)) <= limit)}
-    if not keep_columns:
-        return out.select(F.col("__id").alias(id_col), *[c.alias(n) for n, c in new.items()])
+    fine = ~F.col("__failed") & (F.coalesce(F.col("__d2"), F.lit(0.0)) <= limit)
+    return out.withColumn("__kept", fine)
+
+
+def _with_rows(docs, judged, id_col, text_col, lang_col, source_col) -> DataFrame:
+    """``__row`` with the columns of its verdict. Equal keys have equal statistics; the
+    verdict may differ by language and source."""
+    text, ident = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`")
+    k1, k2 = row_key(ident, text)
     keyed = docs.select(packed(docs), k1.alias("__k1"), k2.alias("__k2"),
                         F.col(f"`{lang_col}`").cast("string").alias("__lang"),
                         F.col(f"`{source_col}`").cast("string").alias("__src"))
-    # equal keys have equal statistics; the verdict may differ by language and source
-    verdicts = out.dropDuplicates(["__k1", "__k2", "__lang", "__src"]).drop("__id")
-    joined = null_safe_join(keyed, verdicts, ["__k1", "__k2", "__lang", "__src"])
-    return joined.select(*with_columns(docs, new))
+    verdicts = judged.dropDuplicates(["__k1", "__k2", "__lang", "__src"]).drop("__id")
+    return null_safe_join(keyed, verdicts, ["__k1", "__k2", "__lang", "__src"])
 
 
-def reject(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def reject(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+           source_col: str = "source", min_rows: int = MIN_ROWS, limit: float = LIMIT) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
-    text, ident = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`")
-    judged = quality_rules(docs, id_col, text_col, **options)
-    return judged.filter("kept").select(*docs.columns)
+    judged = _judged(docs, id_col, text_col, lang_col, source_col, min_rows, limit).filter("__kept")
+    return _with_rows(docs, judged, id_col, text_col, lang_col, source_col).select("__row.*")

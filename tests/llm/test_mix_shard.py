@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from driftwise.llm.mix import expand, mix, source_targets
+from driftwise.llm.mix import mix, source_targets, take
 from driftwise.llm.shard import hilbert_index, shard
 
 
@@ -66,7 +66,7 @@ def test_mix_comes_near_and_expands(spark):
     for r in got:
         assert abs(r.n - r.t) <= 2 and r.hi - r.lo <= 1
     mixed = mix(df)
-    assert expand(mixed, df.columns).count() == mixed.agg(F.sum("copies")).first()[0]
+    assert take(df).count() == mixed.agg(F.sum("copies")).first()[0] and take(df).columns == df.columns
     odds = df.withColumn("odds", F.when(F.col("doc_id") % 8 < 4, 9.0).otherwise(1.0))
     by = {r[0]: r[1] for r in mix(odds, weights=(1, 1, 1, 1, 1), total=20_000, odds_col="odds").groupBy(
         (F.col("doc_id") % 8 < 4)).agg(F.avg("copies")).collect()}

@@ -4,14 +4,16 @@ import corpus_pipeline
 from driftwise.llm import QUERIES
 
 
-def test_stages_take_edge_rows(spark, docs, empty, tmp_path):
+def test_stages_take_edge_rows(spark, docs, empty, clashing, tmp_path):
     items = spark.createDataFrame([(1, docs.filter("doc_id = 5").first().text)], "item_id long, text string")
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
-    for df in (docs, empty):
+    for df in (docs, empty, clashing):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             out = stage(spark, df, str(tmp_path))
-            assert out.columns[:len(docs.columns)] == docs.columns
-            assert k == 4 or out.columns == docs.columns
+            assert out.columns[:5] == docs.columns
+            assert k == 4 or out.columns == df.columns
+            if df is clashing and k < 4:  # columns of the input keep their values
+                assert {r.kept for r in out.collect()} <= {"x"} and {r.copies for r in out.collect()} <= {"x"}
             assert out.count() <= 3 * max(df.count(), 0)
         out.collect()
 

@@ -12,7 +12,7 @@ from ..plans.monitor import (event_counters, feedback_labels, last_gauge, latenc
                              status_rollup)
 from ..plans.query import (accept_feedback, get_events, get_pattern, get_pattern_types, get_patterns,
                            get_sources, overview, short_view)
-from ..sources.tables import events_envelope, lineitem_envelope, table
+from ..sources.tables import events_envelope, events_raw_json, lineitem_envelope, table
 from .common import EV, finish, r6, sql_fill
 from .detect import CENTROIDS, CLUSTER_THRESHOLD, CLUSTER_WINDOW, HST, cluster_body, hst_body
 
@@ -59,6 +59,12 @@ def q_events_query(spark, sf):
     return finish(out.select("event_id", "type", "timestamp", F.col("payload.price").alias("price")))
 
 
+def q_events_decoded(spark, sf):
+    """The newest events of the raw feed as decoded records."""
+    out = get_events(events_raw_json(spark, sf), event_type="click", limit=200, decoded=True)
+    return finish(out.select("event_id", F.col("timestamp").alias("time"), F.expr("variant_get(payload, '$.k', 'bigint')").alias("k")))
+
+
 def q_patterns_query(spark, sf):
     out = get_patterns(patterns_table(spark, sf), pattern_type="anomaly", limit=50)
     return finish(out.select("pattern_id", "type", "timestamp", "explanation"))
@@ -197,6 +203,7 @@ _HIST = ", ".join(f"sum(CASE WHEN latency_days <= {b} THEN 1 ELSE 0 END) AS \"le
 
 QUERIES = {
     "explain_patterns": q_explain_patterns,
+    "events_decoded": q_events_decoded,
     "events_query": q_events_query,
     "patterns_query": q_patterns_query,
     "pattern_by_id": q_pattern_by_id,
@@ -215,6 +222,10 @@ QUERIES = {
 }
 
 ORACLE = {
+    "events_decoded": """SELECT CAST(event_id AS VARCHAR) AS event_id,
+       CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS time,
+       CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+FROM events WHERE event_type = 'click' ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC LIMIT 200""",
     "explain_patterns": f"WITH {PATTERNS} SELECT pattern_id, type, \"timestamp\", explanation FROM px",
     "events_query": f"""WITH {EV}
 SELECT event_id, type, "timestamp", {r6('price')} AS price FROM ev

@@ -78,7 +78,7 @@ def _daily(spark, sf):
 
 def q_align_on_ts(spark, sf):
     li, od = _daily(spark, sf)
-    return finish(align_on_ts({"ship": li, "order": od}, ["ts"]))
+    return finish(align_on_ts({"ship": li, "order": od}, ["ts"], how="outer"))
 
 
 def supplier_day(spark, sf):
@@ -100,11 +100,11 @@ def q_cs_zscore(spark, sf):
 
 
 def q_winsorize(spark, sf):
-    return finish(cs_winsorize(supplier_day(spark, sf), "revenue", 0.1, 0.9).select("ts", "symbol", "revenue_w"))
+    return finish(cs_winsorize(supplier_day(spark, sf), "revenue", 0.1, 0.9).select("ts", "symbol", "revenue_wins"))
 
 
 def q_neutralize(spark, sf):
-    return finish(neutralize(supplier_day(spark, sf), "revenue", "s_nationkey").select("ts", "symbol", "revenue_neutral"))
+    return finish(neutralize(supplier_day(spark, sf), "revenue", "s_nationkey").select("ts", "symbol", "revenue_neu"))
 
 
 def q_topn_overlap(spark, sf):
@@ -217,6 +217,12 @@ def q_realised_volatility(spark, sf):
     return finish(realised_volatility(ev, "level", "24 hours", key=("type",)))
 
 
+def q_align_common(spark, sf):
+    """Only the days that both series have, the documented default."""
+    li, od = _daily(spark, sf)
+    return finish(align_on_ts({"ship": li, "order": od}))
+
+
 def q_snapshot_id(spark, sf):
     return snapshot_id(table(spark, sf, "orders"))
 
@@ -274,6 +280,7 @@ QUERIES = {
     "retention": q_retention,
     "replay_window": q_replay_window,
     "obv": q_obv,
+    "align_common": q_align_common,
     "realised_volatility": q_realised_volatility,
 }
 
@@ -367,9 +374,9 @@ FROM sd""",
 SELECT ts, symbol, {r6('CASE WHEN stddev_samp(revenue) OVER (PARTITION BY ts) > 0 THEN (revenue - avg(revenue) OVER (PARTITION BY ts)) / stddev_samp(revenue) OVER (PARTITION BY ts) END')} AS revenue_z
 FROM sd""",
     "winsorize": f"""WITH {_SD}, q AS (SELECT ts, quantile_cont(revenue, 0.1) AS lo, quantile_cont(revenue, 0.9) AS hi FROM sd GROUP BY ts)
-SELECT ts, symbol, {r6('least(greatest(revenue, lo), hi)')} AS revenue_w FROM sd JOIN q USING (ts)""",
+SELECT ts, symbol, {r6('least(greatest(revenue, lo), hi)')} AS revenue_wins FROM sd JOIN q USING (ts)""",
     "neutralize": f"""WITH {_SD}
-SELECT ts, symbol, {r6('revenue - avg(revenue) OVER (PARTITION BY ts, s_nationkey)')} AS revenue_neutral FROM sd""",
+SELECT ts, symbol, {r6('revenue - avg(revenue) OVER (PARTITION BY ts, s_nationkey)')} AS revenue_neu FROM sd""",
     "topn_overlap": f"""WITH {_SD},
 a AS (SELECT ts, symbol FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY revenue DESC, symbol) AS r FROM sd) WHERE r <= 5),
 b AS (SELECT ts, symbol FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY qty DESC, symbol) AS r FROM sd) WHERE r <= 5)
@@ -472,6 +479,9 @@ SELECT type, {r6('avg(m)')} AS mean, {r6('quantile_cont(m, 0.025)')} AS low, {r6
 w AS (SELECT event_id, row_number() OVER (ORDER BY "timestamp", event_id) - 1 AS i FROM ev
       WHERE "timestamp" >= TIMESTAMP '2024-01-05 00:00:00' AND "timestamp" < TIMESTAMP '2024-01-07 00:00:00')
 SELECT 'replay-' || i || '-0' AS event_id, 'events_replay' AS source, 'replay' AS type, event_id AS original FROM w""",
+    "align_common": """WITH a AS (SELECT CAST(l_shipdate AS DATE) AS ts, sum(l_extendedprice) AS r FROM lineitem GROUP BY 1),
+b AS (SELECT CAST(o_orderdate AS DATE) AS ts, count(*) AS n FROM orders GROUP BY 1)
+SELECT ts, round(a.r, 6) AS ship__revenue, b.n AS order__orders FROM a JOIN b USING (ts)""",
     "obv": f"""WITH {EV},
 hb AS (SELECT source, type || '_aggregated' AS type, date_trunc('hour', "timestamp") + INTERVAL 1 HOUR AS "timestamp",
               first(event_id ORDER BY "timestamp" DESC, event_id DESC) AS event_id,

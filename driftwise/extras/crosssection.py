@@ -32,9 +32,9 @@ def cs_zscore(df: DataFrame, col: str, ts: str = "ts") -> DataFrame:
     return j.withColumn(f"{col}_z", F.when(F.col("_s") > 0, (F.col(col) - F.col("_m")) / F.col("_s"))).drop("_m", "_s")
 
 
-def cs_winsorize(df: DataFrame, col: str, lower: float = 0.05, upper: float = 0.95, ts: str = "ts",
+def cs_winsorize(df: DataFrame, col: str, lower: float = 0.01, upper: float = 0.99, ts: str = "ts",
                  exact: bool = True) -> DataFrame:
-    """Clip ``col`` to its [lower, upper] quantiles (linear) within the time point;
+    """``{col}_wins``: ``col`` clipped to its [lower, upper] quantiles (linear) within the time point;
     ``exact=False`` uses the mergeable approximate percentile sketch."""
     if exact:
         q = F.percentile(F.col(col), F.array(F.lit(lower), F.lit(upper)))
@@ -42,13 +42,13 @@ def cs_winsorize(df: DataFrame, col: str, lower: float = 0.05, upper: float = 0.
         q = F.percentile_approx(col, [lower, upper], 10000)
     st = df.groupBy(ts).agg(q.alias("_q"))
     j = null_safe_join(df, st, [ts])
-    return j.withColumn(f"{col}_w", F.least(F.greatest(F.col(col), F.col("_q")[0]), F.col("_q")[1])).drop("_q")
+    return j.withColumn(f"{col}_wins", F.least(F.greatest(F.col(col), F.col("_q")[0]), F.col("_q")[1])).drop("_q")
 
 
 def neutralize(df: DataFrame, col: str, group: str, ts: str = "ts") -> DataFrame:
-    """``col`` minus its mean within (time point, group)."""
+    """``{col}_neu``: ``col`` minus its mean within (time point, group)."""
     st = df.groupBy(ts, group).agg(F.avg(col).alias("_m"))
-    return null_safe_join(df, st, [ts, group]).withColumn(f"{col}_neutral", F.col(col) - F.col("_m")).drop("_m")
+    return null_safe_join(df, st, [ts, group]).withColumn(f"{col}_neu", F.col(col) - F.col("_m")).drop("_m")
 
 
 def topn_overlap(a: DataFrame, b: DataFrame, col_a: str, col_b: str, n: int, ts: str = "ts",

@@ -179,7 +179,7 @@ def fuse(frames: Mapping[str, DataFrame], window: str, value: str, keys: Sequenc
     return reduce(lambda a, b: a.join(b, list(keys) + ["window_start"]), parts)
 
 
-def align_on_ts(frames: Mapping[str, DataFrame], on: Sequence[str] = ("ts",), how: str = "outer") -> DataFrame:
+def align_on_ts(frames: Mapping[str, DataFrame], on: Sequence[str] = ("ts",), how: str = "inner") -> DataFrame:
     """n-way join on the time (and symbol) columns; other columns are prefixed
     ``name__col``; outer = union of time points."""
     out = None

@@ -1,11 +1,11 @@
 """Column-expression helpers (JVM-side; no Python UDFs)."""
 
 from .ids import fresh_id, stable_id
-from .payload import any_field, as_variant, has_field, numeric_field, payload_json, payload_keys
-from .timefmt import display_text, duration_seconds, iso_text, parse_duration, parse_iso, to_ntz, window_id
+from .payload import has_field, numeric_field, payload_json
+from .timefmt import display_text, iso_text, parse_duration, parse_iso
 
 __all__ = [
-    "any_field", "as_variant", "display_text", "duration_seconds", "fresh_id", "has_field",
-    "iso_text", "numeric_field", "parse_duration", "parse_iso", "payload_json", "payload_keys",
-    "stable_id", "to_ntz", "window_id",
+    "display_text", "fresh_id", "has_field",
+    "iso_text", "numeric_field", "parse_duration", "parse_iso", "payload_json",
+    "stable_id",
 ]

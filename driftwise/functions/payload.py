@@ -45,14 +45,6 @@ def payload_kind(df: DataFrame, col: str = "payload") -> str:
     raise TypeError(f"unsupported payload type {dt.simpleString()}")
 
 
-def as_variant(df: DataFrame, col: str = "payload") -> DataFrame:
-    """JSON-text payload -> VARIANT once, so later field tests do not re-parse."""
-    kind = payload_kind(df, col)
-    if kind == "json":
-        return df.withColumn(col, F.expr(f"try_parse_json(`{col}`)"))
-    return df
-
-
 def _variant_item(df: DataFrame, field: str, col: str) -> Column:
     src = f"try_parse_json(`{col}`)" if payload_kind(df, col) == "json" else f"`{col}`"
     return F.expr(f"variant_get({src}, '{_path(field)}')")
@@ -93,33 +85,6 @@ def numeric_field(df: DataFrame, field: str, col: str = "payload") -> Column:
     return F.when(item.isNotNull() & is_num, value)
 
 
-def any_field(df: DataFrame, field: str, col: str = "payload", dtype: str = "string") -> Column:
-    """The field cast to ``dtype`` regardless of JSON type (for text fields)."""
-    kind = payload_kind(df, col)
-    if kind == "struct":
-        st = df.schema[col].dataType
-        if field not in st.fieldNames():
-            return F.lit(None).cast(dtype)
-        return F.col(f"{col}.`{field}`").cast(dtype)
-    if kind == "map":
-        return F.col(col).getItem(field).cast(dtype)
-    src = f"try_parse_json(`{col}`)" if kind == "json" else f"`{col}`"
-    return F.expr(f"try_variant_get({src}, '{_path(field)}', '{dtype}')")
-
-
-def payload_keys(df: DataFrame, col: str = "payload") -> Column:
-    """Array of top-level keys present in the payload."""
-    kind = payload_kind(df, col)
-    if kind == "struct":
-        names = df.schema[col].dataType.fieldNames()
-        return F.when(F.col(col).isNotNull(), F.array(*[F.lit(n) for n in names]))
-    if kind == "map":
-        return F.map_keys(F.col(col))
-    if kind == "json":
-        return F.json_object_keys(F.col(col))
-    return F.json_object_keys(F.to_json(F.col(col)))
-
-
 def payload_json(df: DataFrame, col: str = "payload") -> Column:
     """Payload rendered as JSON text (the at-rest form)."""
     kind = payload_kind(df, col)

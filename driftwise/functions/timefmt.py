@@ -24,23 +24,6 @@ def parse_duration(text: str) -> int:
     return _DEFAULT_SECONDS
 
 
-def duration_seconds(col: Column) -> Column:
-    """Expression form of :func:`parse_duration` for a column of duration text."""
-    n = F.regexp_extract(col, r"^(\d+)", 1).try_cast("long")
-    unit = F.lower(F.regexp_extract(col, r"([A-Za-z])$", 1))
-    return (
-        F.when(unit == "s", n)
-        .when(unit == "m", n * 60)
-        .when(unit == "h", n * 3600)
-        .otherwise(F.lit(_DEFAULT_SECONDS))
-    )
-
-
-def window_id(ts: Column, seconds: int) -> Column:
-    """Tumbling window id ``floor(epoch / w) * w`` in epoch seconds."""
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)) * F.lit(seconds)
-
-
 def iso_text(ts: Column) -> Column:
     """Timestamp -> ISO-8601 text with milliseconds."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS")
@@ -72,8 +55,3 @@ def strftime_to_spark(fmt: str) -> str:
     for py, sp in _PY_TO_SPARK:
         out = out.replace(py, sp)
     return out
-
-
-def to_ntz(col: Column) -> Column:
-    """TIMESTAMP (UTC session) -> TIMESTAMP_NTZ for zone-free outputs."""
-    return col.cast("timestamp_ntz")

@@ -90,15 +90,18 @@ def decode(df: DataFrame, json_cols=("payload", "meta", "details"), arrays=("con
 
 
 def get_events(clean: DataFrame, source=None, event_type=None, start_time=None, end_time=None,
-               limit: int = DEFAULT_LIMIT) -> DataFrame:
-    return query_events(clean, source=source, type=event_type, start=start_time, end=end_time, limit=limit)
+               limit: int = DEFAULT_LIMIT, decoded: bool = False) -> DataFrame:
+    """Events newest first; ``decoded`` turns JSON text into values and times into ISO text."""
+    out = query_events(clean, source=source, type=event_type, start=start_time, end=end_time, limit=limit)
+    return decode(out) if decoded else out
 
 
 def get_patterns(patterns: DataFrame, source=None, pattern_type=None, start_time=None, end_time=None,
-                 limit: int = DEFAULT_LIMIT, lang: str = "zh") -> DataFrame:
-    """Patterns newest first with their explanation text."""
-    return explain(query_events(patterns, source=source, type=pattern_type, start=start_time, end=end_time,
-                                limit=limit), lang=lang)
+                 limit: int = DEFAULT_LIMIT, lang: str = "zh", decoded: bool = False) -> DataFrame:
+    """Patterns newest first with their explanation text; ``decoded`` as in ``get_events``."""
+    out = explain(query_events(patterns, source=source, type=pattern_type, start=start_time, end=end_time,
+                               limit=limit), lang=lang)
+    return decode(out) if decoded else out
 
 
 def get_pattern(patterns: DataFrame, pattern_id: str, lang: str = "zh", check: bool = False) -> DataFrame:

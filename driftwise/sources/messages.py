@@ -13,17 +13,19 @@ from .envelope import to_envelope
 
 
 def _get(col: str, path: str, dtype: str):
-    return F.expr(f"try_variant_get(try_parse_json(`{col}`), '{path}', '{dtype}')")
+    return F.expr(f"try_variant_get(`{col}`, '{path}', '{dtype}')")
 
 
 def _has(col: str, path: str):
-    return F.expr(f"variant_get(try_parse_json(`{col}`), '{path}')").isNotNull()
+    return F.expr(f"variant_get(`{col}`, '{path}')").isNotNull()
 
 
 def parse_trades(df: DataFrame, value_col: str = "value", source: str = "trades") -> DataFrame:
     """Trade tick ``{s, p, q, T (ms), m}`` -> event type ``trade`` with payload
     {symbol, price, quantity, side = buy if m else sell}; a message missing any
     key, or with a price / quantity that is not a number, is dropped."""
+    df = df.withColumn("_message", F.try_parse_json(F.col(value_col)))  # parsed once
+    value_col = "_message"
     keys = ["s", "p", "q", "T", "m"]
     present = F.lit(True)
     for k in keys:

@@ -223,7 +223,7 @@ QUERIES = {
 
 ORACLE = {
     "events_decoded": """SELECT CAST(event_id AS VARCHAR) AS event_id,
-       CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS time,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS time,
        CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
 FROM events WHERE event_type = 'click' ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC LIMIT 200""",
     "explain_patterns": f"WITH {PATTERNS} SELECT pattern_id, type, \"timestamp\", explanation FROM px",

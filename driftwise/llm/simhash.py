@@ -250,8 +250,9 @@ def components(edges: DataFrame, x: str = "__x", y: str = "__y") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
-    """``(doc_id, __k1, __k2, __fp, component_id)`` per row of ``docs``; the component's
-    name is the smallest id in it."""
+    """``(doc_id, __k1, __k2, __fp, component_id, __root)`` per row of ``docs``; the
+    component's name is the smallest id in it, and ``__root`` its smallest fingerprint:
+    names repeat where ids do or are all null, roots do not."""
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
     k1, k2 = row_key(ident, text)
     own = docs.select(ident.alias("__id"), k1.alias("__k1"), k2.alias("__k2"), text.alias("__text"))
@@ -259,10 +260,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = materialize(slim.groupBy("__fp").agg(F.min("__id").alias("__min")))
     nodes = materialize(components(links(each, max_bits)))
     named = each.join(nodes, each["__fp"] == nodes["__node"]).groupBy("__root").agg(F.min("__min").alias("__cid"))
-    linked = nodes.join(named, "__root").select(F.col("__node").alias("__fp"), "__cid")
-    names = each.join(linked, "__fp", "left").select("__fp", F.coalesce("__cid", "__min").alias("component_id"))
+    linked = nodes.join(named, "__root").select(F.col("__node").alias("__fp"), "__cid", "__root")
+    names = each.join(linked, "__fp", "left").select(
+        "__fp", F.coalesce("__cid", "__min").alias("component_id"), F.coalesce("__root", "__fp").alias("__root"))
     names = materialize(names)
-    return slim.join(names, "__fp").select(F.col("__id").alias(id_col), "__k1", "__k2", "__fp", "component_id")
+    return slim.join(names, "__fp").select(F.col("__id").alias(id_col), "__k1", "__k2", "__fp", "component_id", "__root")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -271,8 +273,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with the smallest key (of rows equal in id and text any one)."""
     found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
     lead = found.filter(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))
-    best = materialize(lead.groupBy("component_id").agg(F.min(F.struct("__k1", "__k2")).alias("__b"),
-                                                        F.count(F.lit(1)).alias("__c")))
+    best = materialize(lead.groupBy("__root").agg(F.min(F.struct("__k1", "__k2")).alias("__b"),
+                                                  F.count(F.lit(1)).alias("__c")))
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
     k1, k2 = row_key(ident, text)
     rows = docs.select(packed(docs), k1.alias("__k1"), k2.alias("__k2"))

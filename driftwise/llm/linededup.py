@@ -43,6 +43,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``removed_spans``, the removed lines as ranges ``(first, last)`` of their numbers
     among the lines with content, from 0."""
     def runs(units):
-        return [window] * max(0, len(units) - window + 1)
+        return [(p, window, 0, 0) for p in range(len(units) - window + 1)]
 
     return dedup_units(docs, lines, stripped, runs, "\n", "lines", id_col, text_col)

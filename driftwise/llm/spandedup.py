@@ -1,11 +1,23 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences behind ``. ! ?`` and blanks, and at line ends. From every
-sentence a span starts: the shortest run of at least ``SENTENCES`` consecutive sentences
-with at least ``WORDS`` words. Spans are hashed to 128 bits (A-Z case and blanks do not count) and
-joined over all documents. Of all places of a span the first is the one with the
-smallest (document id, key, position); every sentence covered by another place is removed.
-A passage that sits inside other prose is found from its first whole sentence on.
+A text is cut into sentences behind ``. ! ?`` and blanks, and at line ends; sentences of
+more than ``LONG`` words are cut on at content-defined places, behind the word with the
+smallest hash of every ``LONG`` in a row, so the same words are cut alike wherever they
+stand. A span is a run of consecutive sentences with at least ``WORDS`` words, of at least
+``SENTENCES`` sentences or with one that has as many words alone. Of all places of a span
+the first is the one with the smallest (document id, key, position); every sentence covered
+by another place of any span, however long, is removed. Spans are hashed to 128 bits
+(A-Z case and blanks do not count) and joined over all documents.
+
+Not every run is hashed. A sentence of a repeated span lies in a repeated shortest span
+from its start on or back from its end: the shortest span from the last start that has one
+inside the repeat is the one back from its end. Each of these holds one span that has no
+shorter one inside, and repeats only if that does; so those are joined first, and carry the
+hashes of what the others add to them.
+
+Of any passage, wherever it sits, at most ``LONG`` words at each end belong to sentences
+that reach into other text; so every repeat of ``2 * LONG + WORDS`` = 48 words is met,
+and up to ``LONG`` words at its ends stay.
 
 Scale: see ``spans``: slim rows per span, a first place by partial aggregation, an
 equi-join of the spans that repeat with their places, and one join by the document key.
@@ -21,6 +33,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from zlib import crc32
 
 from pyspark.sql import DataFrame
 
@@ -28,13 +41,39 @@ from .spans import dedup_units
 
 SENTENCES = 2
 WORDS = 16
+LONG = 16  # words of a sentence that is not cut on, and of the window that cuts longer ones
+
+
+def _cuts(hashes: Sequence[int]) -> list[int]:
+    """The smallest of every ``LONG`` hashes in a row, of equal ones the last."""
+    out, c = [], -1
+    for j in range(LONG - 1, len(hashes)):
+        if c <= j - LONG:
+            window = hashes[j - LONG + 1:j + 1][::-1]
+            c = j - window.index(min(window))
+            out.append(c)
+        elif hashes[j] <= hashes[c]:
+            c = j
+            out.append(c)
+    return out
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences with the blanks behind them; joined they are the text."""
+    """Sentences with the blanks behind them, long ones in pieces; joined they are the text."""
     cuts = [m.end() for m in re.finditer(r"[.!?]+[\"')\]]*[ \t\r\f\v]+|[ \t\r\f\v]*\n\s*", text)]
     ends = [c for c in cuts if c < len(text)] + [len(text)]
-    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    out = []
+    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+        sentence = text[a:b]
+        words = sentence.split() if b - a > 2 * LONG else []
+        if len(words) <= LONG:
+            out.append(sentence)
+            continue
+        starts = [m.start() for m in re.finditer(r"\S+", sentence)] + [len(sentence)]
+        behind = _cuts([*map(crc32, " ".join(words).lower().encode("utf-8", "surrogatepass").split(b" "))])
+        at = [0, *[starts[c + 1] for c in behind if c + 1 < len(words)], len(sentence)]
+        out += [sentence[x:y] for x, y in zip(at, at[1:], strict=False)]
+    return out
 
 
 def plain(sentence: str) -> str:
@@ -44,16 +83,28 @@ def plain(sentence: str) -> str:
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = SENTENCES,
                 min_words: int = WORDS) -> DataFrame:
     """``docs`` with the text cleaned, ``n_sentences``, ``n_removed`` and
-    ``removed_spans``, the removed sentences as ranges ``(first, last)`` from 0."""
-    def runs(units: Sequence[str]) -> list[int]:
+    ``removed_spans``, the removed sentences as ranges ``(first, last)`` from 0; the
+    pieces of a long sentence count as sentences."""
+    def runs(units: Sequence[str]) -> list[tuple[int, int, int, int]]:
         counts = [u.count(" ") + 1 for u in units]
-        out, end, have = [], 0, 0
+        worth = [min_sentences if c >= min_words else 1 for c in counts]
+        shortest, end, have, size = [], 0, 0, 0  # ends of the shortest spans from each start on
         for p in range(len(units)):
-            while end < len(units) and (end - p < min_sentences or have < min_words):
+            while end < len(units) and (size < min_sentences or have < min_words):
                 have += counts[end]
+                size += worth[end]
                 end += 1
-            out.append(end - p if end - p >= min_sentences and have >= min_words else 0)
+            if size < min_sentences or have < min_words:
+                break
+            shortest.append(end)
             have -= counts[p]
+            size -= worth[p]
+        ends = [*shortest, len(units) + 1]
+        out, low = [], 0
+        for p, end in enumerate(shortest):
+            if ends[p + 1] != end:  # no shorter span inside
+                out.append((p, end - p, p - low, ends[p + 1] - 1 - end))
+                low = p + 1
         return out
 
-    return dedup_units(docs, sentences, plain, runs, "", "sentences", id_col, text_col)
+    return dedup_units(docs, sentences, plain, runs, "", "sentences", id_col, text_col, wider=True)

@@ -4,13 +4,14 @@ nearest ancestor directory.
 1. Units. Every line and every block between blank lines of a file is a header
    candidate, wherever it stands; of a licence file (by its name) the whole text is one
    too. Words are lower-case runs of letters and digits.
-2. Weights are (1 + ln tf) * idf with idf = ln((1 + N) / (1 + df)) + 1 over all N files. Document
-   frequencies are counted for the templates' words; a word of no template weighs like
-   one that a single file has (it adds to a unit's length only).
+2. Weights are (1 + ln tf) * idf with idf = ln((1 + N) / (1 + df)) + 1 over all N files, for the
+   templates' words and for those of no template, which add to a unit's length only.
 3. Search. A unit whose cosine with a template reaches the threshold must hold one of
    the template's rarest words: those that must be taken away until the rest of the
    template is shorter than threshold * length. Only files and units holding such a
-   word are expanded, which loses no match; their cosines are exact.
+   word are expanded, which loses no match. A word of no template has an idf of 1 at
+   least, which bounds a unit's cosine from above; document frequencies of such words are
+   counted for the units whose bound reaches the threshold, and their cosines are exact.
 4. A file has the licence of its best unit (highest cosine, then the licence's name). A
    licence file gives its licence to its directory; a file without one of its own
    takes that of the nearest ancestor directory that has one, found by joining the
@@ -18,7 +19,8 @@ nearest ancestor directory.
 
 Scale: the templates are a parameter, and their vocabulary a checked small table. Document
 frequencies are partially aggregated; whole texts are not shuffled, only the words of
-units with a candidate word. Prefixes are expanded for distinct directories, not for files.
+units with a candidate word, and for the second count those of units within the bound, or
+counts of all words if those are too many to broadcast. Prefixes are expanded for distinct directories, not for files.
 
 Cases: null or empty texts have no units; null paths have no directory, inherit nothing
 and are no licence files; repeated rows get a row each; of several licence files in a
@@ -35,7 +37,7 @@ from math import log, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, materialize, row_key
+from .common import is_small, materialize, row_key, written
 from .decontaminate import plain_words
 
 THRESHOLD = 0.6
@@ -110,6 +112,14 @@ def _holds(terms: Sequence[str]) -> Column:
     return F.arrays_overlap("__w", F.array(*[F.lit(t) for t in terms]))
 
 
+def _frequencies(files: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(__term, __df)``: the number of files that hold each of the distinct ``terms``."""
+    seen = files.select(F.explode(F.array_distinct(plain_words(F.col("__text")))).alias("__term"))
+    if is_small(terms):
+        return seen.join(F.broadcast(terms), "__term").groupBy("__term").agg(F.count(F.lit(1)).alias("__df"))
+    return seen.groupBy("__term").agg(F.count(F.lit(1)).alias("__df")).join(terms, "__term", "left_semi")
+
+
 def own_licences(files: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
     """``(__k1, __k2, __best)`` for files ``(__k1, __k2, __path, __text)`` in which a unit
     reaches the threshold; ``__best`` is (cosine, licence)."""
@@ -119,11 +129,9 @@ def own_licences(files: DataFrame, templates: Sequence[tuple[str, str]], thresho
     if not terms:
         return none
     vocabulary = spark.createDataFrame([(t,) for t in sorted({r[2] for r in terms})], "__term string")
-    seen = files.select(F.explode(F.array_distinct(plain_words(F.col("__text")))).alias("__term"))
-    df = {r[0]: r[1] for r in seen.join(F.broadcast(vocabulary), "__term").groupBy("__term").count().collect()}
+    df = {r[0]: r[1] for r in _frequencies(files, vocabulary).collect()}
     n = files.count()
     idf = {t: log((1 + n) / (1 + df.get(t, 0))) + 1 for t in {r[2] for r in terms}}
-    other = log((1 + n) / 2) + 1
     weights: dict[int, dict[str, float]] = {}
     names: dict[int, str] = {}
     for t, licence, term, tf in terms:
@@ -135,17 +143,27 @@ def own_licences(files: DataFrame, templates: Sequence[tuple[str, str]], thresho
     near = files.withColumn("__w", plain_words(F.col("__text"))).filter(_holds(needed)).drop("__w")
     units = _units(near).filter(_holds(needed))
     words = units.select("__k1", "__k2", "__unit", F.explode("__w").alias("__term"))
-    tf = words.groupBy("__k1", "__k2", "__unit", "__term").agg(F.count(F.lit(1)).alias("__tf"))
-    idfs = spark.createDataFrame(list(idf.items()), "__term string, __idf double")
-    tf = tf.join(F.broadcast(idfs), "__term", "left").withColumn("__idf", F.coalesce("__idf", F.lit(other)))
-    x = (1 + F.log(F.col("__tf").cast("double"))) * F.col("__idf")
+    unit = ["__k1", "__k2", "__unit"]
+    tf = written(words.groupBy(*unit, "__term").agg(F.count(F.lit(1)).alias("__tf")))
     order = sorted(weights)
     by_term = spark.createDataFrame(
-        [(term, [float(weights[t].get(term, 0.0)) / length[t] for t in order]) for term in idf],
-        "__term string, __v array<double>")
-    tf = tf.join(F.broadcast(by_term), "__term", "left")
+        [(term, idf[term], [float(weights[t].get(term, 0.0)) / length[t] for t in order]) for term in idf],
+        "__term string, __idf double, __v array<double>")
+    x = (1 + F.log(F.col("__tf").cast("double"))) * F.coalesce("__idf", F.lit(1.0))
     dots = [F.sum(F.coalesce(x * F.get("__v", F.lit(i)), F.lit(0.0))).alias(f"__d{i}") for i in range(len(order))]
-    sums = tf.groupBy("__k1", "__k2", "__unit").agg(F.sum(x * x).alias("__norm"), *dots)
+    sums = tf.join(F.broadcast(by_term), "__term", "left").groupBy(*unit).agg(
+        F.sum(x * x).alias("__least"), F.sum(F.when(F.col("__idf").isNotNull(), x * x)).alias("__known"), *dots)
+    top = F.greatest(*[f"__d{i}" for i in range(len(order))]) if len(order) > 1 else F.col("__d0")
+    close = materialize(sums.filter(top / F.sqrt("__least") >= threshold - 1e-12).drop("__least"))
+    keys = close.select(*unit)
+    others = tf.join(F.broadcast(vocabulary), "__term", "left_anti").join(
+        F.broadcast(keys) if is_small(close) else keys, unit, "left_semi")
+    others = materialize(others)
+    counts = materialize(_frequencies(files, materialize(others.select("__term").distinct())))
+    x = (1 + F.log(F.col("__tf").cast("double"))) * (F.log(F.lit(float(1 + n)) / (1 + F.col("__df"))) + 1)
+    rest = others.join(F.broadcast(counts) if is_small(counts) else counts, "__term").groupBy(*unit).agg(
+        F.sum(x * x).alias("__rest"))
+    sums = close.join(rest, unit, "left").withColumn("__norm", F.col("__known") + F.coalesce("__rest", F.lit(0.0)))
     best = F.greatest(*[F.struct((F.col(f"__d{i}") / F.sqrt("__norm")).alias("cosine"), F.lit(names[t]).alias("licence"))
                         for i, t in enumerate(order)]) if len(order) > 1 else F.struct(
         (F.col("__d0") / F.sqrt("__norm")).alias("cosine"), F.lit(names[order[0]]).alias("licence"))

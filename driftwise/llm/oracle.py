@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, mix, quality
+from . import decontaminate, linededup, mix, phrases, quality, topk
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -215,10 +215,82 @@ FROM b LEFT JOIN fin ON b.doc_id = fin.doc_id
 
 OP7 = _op7()
 
+# CRC-32 of the decimal id: bytes in turn, eight bit steps a byte.
+CRC = ("xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], [ascii(ch)::BIGINT for ch in string_split(c::VARCHAR, '')]), "
+       "lambda acc, b: list_reduce(list_concat([xor(acc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), "
+       "lambda x, y: xor(x >> 1, (x & 1) * 3988292384::BIGINT))))")
+
+OP11 = rf"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS x
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(x ORDER BY i) AS xs FROM t GROUP BY c),
+h AS (SELECT c, xs, c - c % 20 AS b, {CRC} % 4 AS h FROM o),
+r AS (
+  SELECT h.c, list_concat(coalesce(o.xs[1:h.h], []), CASE WHEN len(h.xs) > h.h THEN h.xs[h.h + 1:] ELSE [] END) AS xs
+  FROM h LEFT JOIN o ON o.c = h.b),
+p AS (SELECT c, d, xs[1:d] AS k, d = len(xs) AS ends FROM (SELECT c, xs, unnest(range(0, len(xs) + 1)) AS d FROM r)),
+n AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM p GROUP BY k, d),
+m AS (
+  SELECT *, CASE WHEN d > 0 THEN k[1:d - 1] END AS up,
+         (n_convs - 1) * CASE WHEN d > 0 THEN len(regexp_extract_all(k[d].text, '{WORD}')) ELSE 0 END AS tokens FROM n),
+f AS (SELECT m.*, (SELECT count(*) FROM m AS q WHERE q.d = m.d + 1 AND q.up = m.k) AS n_children FROM m)
+SELECT u.conv_id, u.d::BIGINT AS depth, any_value(w.conv_id) AS parent_conv_id, u.n_convs, u.n_children,
+       count(*) FILTER (WHERE v.n_children = 0) AS n_leaves, sum(v.tokens)::BIGINT AS saved_tokens, u.ends_sha256
+FROM f AS u JOIN f AS v ON v.d >= u.d AND v.k[1:u.d] = u.k LEFT JOIN f AS w ON w.d = u.d - 1 AND w.k = u.up
+GROUP BY u.k, u.conv_id, u.d, u.n_convs, u.n_children, u.ends_sha256
+"""
+
+OP12 = rf"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
+s AS (SELECT lang, w, unnest(range(1, {phrases.MAX_WORDS + 1})) AS m FROM p),
+g AS (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM s WHERE len(w) >= m),
+f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE m = 1 GROUP BY lang),
+q AS (SELECT * FROM f WHERE f >= {phrases.MIN_COUNT}),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM q WHERE m > 1),
+k AS (SELECT *, unnest(range(1, len(w))) AS k FROM c),
+x AS (
+  SELECT k.lang, k.phrase, k.a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * k.a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM k JOIN n ON k.lang = n.lang
+  JOIN q AS l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:k.k], ' ')
+  JOIN q AS r ON r.lang = k.lang AND r.phrase = array_to_string(w[k.k + 1:], ' ')),
+y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+z AS (
+  SELECT y.* FROM y WHERE NOT EXISTS (
+    SELECT 1 FROM c WHERE c.lang = y.lang AND c.phrase <> y.phrase AND c.a * 100 >= y.a * {phrases.INSIDE}
+    AND contains(' ' || c.phrase || ' ', ' ' || y.phrase || ' ')))
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM z
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY rank <= {phrases.TOP}
+"""
+
+OP13 = f"""
+WITH v AS (
+  SELECT vec_id AS id, row_number() OVER () AS line, [floor({topk.SCALE}.0::DOUBLE * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.id AS query_id, q.line, c.id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v AS q JOIN v AS c ON c.line <> q.line WHERE q.id % 100 = 0)
+SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id, line ORDER BY score DESC, vec_id NULLS LAST)
+QUALIFY rank <= {topk.K}
+"""
+
 ORACLE: dict[str, str] = {
     "op1_mix": _op1(),
     "op2_line_dedup": OP2,
     "op4_decontaminate": OP4,
     "op7_quality_rules": OP7,
     "op10_url_filter": OP10,
+    "op11_prefix_trie": OP11,
+    "op12_phrases": OP12,
+    "op13_topk": OP13,
 }

@@ -13,10 +13,13 @@ from .license_scan import scan_licences
 from .linededup import dedup_lines
 from .mix import mix
 from .oracle import ORACLE
+from .phrases import mine_phrases
 from .quality import quality_rules
 from .shard import shard
 from .simhash import near_duplicates
 from .spandedup import dedup_spans
+from .topk import top_k
+from .trie import prefix_trie
 from .url_filter import filter_urls
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -112,6 +115,22 @@ def op10_url_filter(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_prefix_trie(spark, sf_dir):
+    """Trie of all conversations, their heads taken from the first of each twenty."""
+    return prefix_trie(table(spark, sf_dir, "conversations"), base=lambda c: c - c % 20,
+                       head=lambda c: F.crc32(F.encode(c.cast("string"), "UTF-8")) % 4)
+
+
+def op12_phrases(spark, sf_dir):
+    """The 2,000 strongest phrases of every language of all documents."""
+    return mine_phrases(documents(spark, sf_dir))
+
+
+def op13_topk(spark, sf_dir):
+    """The ten best rows for every hundredth vector, against all vectors."""
+    return top_k(table(spark, sf_dir, "embeddings"), is_query=F.col("id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix, op2_line_dedup, op3_license_scan, op4_decontaminate, op5_span_dedup, op6_quality_score, op7_quality_rules,
-    op8_simhash, op9_hilbert_shards, op10_url_filter)}
+    op8_simhash, op9_hilbert_shards, op10_url_filter, op11_prefix_trie, op12_phrases, op13_topk)}

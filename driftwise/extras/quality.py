@@ -56,7 +56,8 @@ def iqr_filter(df: DataFrame, col: str, key: Sequence[str], k: float = 1.5, exac
 def psi(base: DataFrame, current: DataFrame, col: str, bins: int = 10, eps: float = 1e-6) -> DataFrame:
     """Population stability index of ``col``: exact decile edges of the base period,
     shares per bin in both periods, sum((a - b) * ln(a / b)) with empty bins floored at
-    ``eps``."""
+    ``eps``. Rows without a value count in neither period; NaN falls in the last bin."""
+    base, current = base.filter(F.col(col).isNotNull()), current.filter(F.col(col).isNotNull())
     found = exact_quantiles(base, [], col, [i / bins for i in range(1, bins)]).first()
     edges = sorted(set(found["_q"] or [])) if found else []
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..operators.features import ema_weights
-from ..plans.rolling import Frame, index_within_key, null_safe_join, over_rows
+from ..plans.rolling import Frame, null_safe_join, over_rows, running_rows
 
 ORDER = ("timestamp", "event_id")
 
@@ -192,24 +192,18 @@ def align_on_ts(frames: Mapping[str, DataFrame], on: Sequence[str] = ("ts",), ho
 def running(df: DataFrame, col: str, key: Sequence[str], order: Sequence[str], how: str = "sum",
             name: str | None = None) -> DataFrame:
     """Running sum / max / min of ``col`` per key in order, without one task per key:
-    per (key, time chunk) totals are prefixed over chunks (a small table) and
-    added to the running value inside each chunk."""
+    the totals of a key's earlier blocks (a row a block) are added to the running value
+    inside each block."""
     name = name or f"running_{how}"
     agg = {"sum": F.sum, "max": F.max, "min": F.min}[how]
-    idx = index_within_key(df, key, order)
-    chunk = idx.groupBy(*key, "_chunk").agg(agg(col).alias("_c"))
-    wk = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunk = chunk.withColumn("_p", agg("_c").over(wk)).drop("_c")
-    j = null_safe_join(idx, chunk, list(key) + ["_chunk"])
-    wc = Window.partitionBy(*key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = agg(col).over(wc)
-    if how == "sum":
-        val = F.coalesce(F.col("_p"), F.lit(0)) + inner
-    elif how == "max":
-        val = F.greatest(F.col("_p"), inner)
-    else:
-        val = F.least(F.col("_p"), inner)
-    return j.withColumn(name, val).drop("_p", "_chunk", "_rn")
+
+    def value(w):
+        inner = agg(col).over(w)
+        if how == "sum":
+            return [F.coalesce(F.col("_p") + inner, inner, F.col("_p")).alias(name)]
+        return [(F.greatest if how == "max" else F.least)(F.col("_p"), inner).alias(name)]
+
+    return running_rows(df, key, order, value, [agg(col).alias("_c")], lambda w: [agg("_c").over(w).alias("_p")])
 
 
 def return_stats(prices: DataFrame, price: str = "close", key: Sequence[str] = ("symbol",),

@@ -2,29 +2,27 @@
 
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task; with
 the reference's per-source state one key is a whole source. Here a key is cut
-into balanced row blocks instead, and each block also receives a *halo* - the
-``lookback`` rows that precede it - so any frame reaching at most ``lookback``
-rows back is computed exactly inside the block:
-
-0. The rows are counted. Up to ``TARGET_ROWS`` rows in all, no key can be larger than
-   one block may be, and a plain window (one shuffle) is used.
-1. Otherwise bounds from a sample of the leading order column (any orderable type; the
-   sample grows with the number of chunks) give ``rows / TARGET_ROWS`` chunks; a
-   balanced binary CASE maps every row to its chunk.
-2. Per (key, chunk) row counts (at most keys x chunks rows) and a running
-   sum over chunks give each chunk's offset inside its key; the counts table is
-   broadcast only when its measured row count is under a bound, else joined
-   by shuffle.
-3. ``row_number`` inside (key, chunk) + offset = exact 1-based index ``rn``
-   of each row within its key.
-4. Blocks of ``B = max(lookback, rows / n_chunks)`` consecutive rows; rows in
-   the last ``lookback`` positions of a block are copied to the next block as
-   halo. The caller's window expressions run over ``partitionBy(key, block)``
-   and halo copies are dropped afterwards.
-
-So no task ever holds more than ~B + lookback rows of one key, and results are
-identical to the single-partition window. Order columns must form a unique,
-deterministic order (e.g. ``(timestamp, event_id)``).
+into blocks of consecutive rows, and a block also receives a *halo* - at least the
+``lookback`` rows that precede it - so any frame reaching at most ``lookback`` rows
+back is computed exactly inside the block:
+
+1. Bounds from a sample of (key, order columns), sorted, cut the rows into chunks, about
+   ``CHUNKS`` a block. The whole order tuple counts, so rows with one time (or no time)
+   are cut too. A row finds its chunk by a search over the bounds, 15 comparisons a level.
+2. Rows are counted per (key, chunk) (partial aggregation over the key and order columns
+   alone). Running sums over a key's chunks give each chunk's place in the key: its block,
+   the later blocks it is halo for, and where the block's row numbers start. Only keys
+   of more than a block need this, so the table has at most as many rows as there are
+   chunks and blocks; that table, not the counts, is broadcast.
+3. Rows go to (key, block), halo chunks to the next blocks as well: the one shuffle of the
+   rows. The caller's window expressions run there and halo copies are dropped.
+
+A window group holds about ``TARGET_ROWS`` at most, less where that gives all cores a
+block; the law is the same for any size (``block_rows``), and results are
+identical to the single-partition window. Past ``MAX_CHUNKS`` chunks (6.5 * 10^10 rows)
+blocks grow with the table, and Spark's windows spill. Order columns must form a unique,
+deterministic order (e.g. ``(timestamp, event_id)``); rows equal in all of them stay
+together in one chunk.
 """
 
 from __future__ import annotations
@@ -40,12 +38,15 @@ from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
 
-# Broadcast the per-(key, chunk) counts only below this many rows.
-BROADCAST_STATS_ROWS = 2_000_000
-# Rows a window group may hold; chunks and blocks are cut to about this size.
+# Rows a window group may hold, and below which cutting a key further gains nothing.
 TARGET_ROWS = 1_000_000
-MAX_CHUNKS = 4096
-SAMPLE_PER_CHUNK = 100
+LEAST_ROWS = 4_096
+# Chunks a block is made of, chunks in all, and sampled rows a chunk and in all.
+CHUNKS = 16
+MAX_CHUNKS = 1 << 18
+SAMPLE_PER_CHUNK = 8
+MAX_SAMPLE = 1 << 20
+FANOUT = 16
 
 
 @dataclass
@@ -60,39 +61,20 @@ class Frame:
         return self.w.rowsBetween(-(n - 1), 0)
 
 
-def _chunks_for(rows: int) -> int:
-    return min(MAX_CHUNKS, max(1, -(-rows // TARGET_ROWS)))
+def block_rows_for(rows: int, cores: int) -> int:
+    """Rows meant for a block: a core's share, within LEAST_ROWS .. TARGET_ROWS. Blocks are
+    cut at four fifths of that, so that whole chunks and the halo fit in."""
+    share = min(TARGET_ROWS, max(LEAST_ROWS, -(-rows // max(cores, 1))))
+    return max(1, share * 4 // 5)
 
 
-def _bounds(df: DataFrame, col: str, n: int, rows: int) -> list:
-    """Ascending distinct values that cut the column into about ``n`` equal parts, from a
-    sample of at most about ``n * SAMPLE_PER_CHUNK`` values."""
-    share = min(1.0, n * SAMPLE_PER_CHUNK / max(rows, 1))
-    some = df.select(F.col(col).alias("_q")).filter("_q IS NOT NULL")
-    some = (some.sample(share, seed=11) if share < 1 else some).orderBy("_q")
-    values = [r[0] for r in some.collect()]
-    return sorted({values[i * len(values) // n] for i in range(1, n)}) if values else []
-
-
-def _bucket_expr(q: Column, bounds: list) -> Column:
-    """Index of the chunk holding ``q``: chunk i covers [bounds[i-1], bounds[i])."""
-
-    def build(lo: int, hi: int) -> Column:  # chunks lo..hi
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2  # first chunk of the upper half starts at bounds[mid-1]
-        return F.when(q < F.lit(bounds[mid - 1]), build(lo, mid - 1)).otherwise(build(mid, hi))
-
-    return build(0, len(bounds))
-
-
-def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], broadcast: bool = False) -> DataFrame:
-    """Inner equi-join in which null keys meet; the right side's keys are dropped."""
+def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], broadcast: bool = False, how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet; the right side's keys are dropped."""
     r = right.select(*[F.col(c).alias(f"_r_{c}") for c in cols], *[c for c in right.columns if c not in cols])
     if broadcast:
         r = F.broadcast(r)
     cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(r[f"_r_{c}"]) for c in cols], F.lit(True))
-    out = left.join(r, cond, "inner")
+    out = left.join(r, cond, how)
     return out.drop(*[f"_r_{c}" for c in cols])
 
 
@@ -115,37 +97,83 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def index_within_key(
-    df: DataFrame,
-    key: Sequence[str],
-    order: Sequence[str],
-    n_chunks: int | None = None,
-    with_stats: bool = False,
-    cut: bool | None = None,
-):
-    """Add ``_rn`` (1-based row index within key, in ``order``) without ever
-    putting a whole key into one task. Returns the DataFrame (and, when
-    ``with_stats``, the total row count).
-
-    The bounds and counts are two small jobs over ``df``; when ``df`` is itself
-    the result of shuffles (``cut=None`` -> detected) it is checkpointed first."""
+def _bounds(df: DataFrame, cols: Sequence[str], n: int, rows: int) -> list:
+    """At most ``n - 1`` ascending distinct tuples that cut the rows into about ``n`` equal
+    parts, from a sample of a bounded number of tuples (as Spark's range partitioning takes)."""
+    want = min(n * SAMPLE_PER_CHUNK, MAX_SAMPLE)
+    share = min(1.0, want / max(rows, 1))
+    some = df.select(F.struct(*cols).alias("q"))
+    some = (some.sample(share, seed=11) if share < 1 else some).orderBy("q").select("q.*")
+    values = some.collect()
+    cut = [values[i * len(values) // n] for i in range(1, n)] if values else []
+    return [q for i, q in enumerate(cut) if i == 0 or q != cut[i - 1]]
+
+
+def _locate(df: DataFrame, cols: Sequence[str], bounds: list) -> DataFrame:
+    """Add ``_chunk``: how many bounds are at or below the row's tuple. Every
+    ``FANOUT``-th bound forms the level above, so a level takes a slice of 15."""
+    spark = df.sparkSession
+    schema = df.select(*cols).schema
+    levels, stride = [], 1
+    while stride == 1 or stride <= len(bounds):
+        levels.append(bounds[stride - 1::stride])
+        stride *= FANOUT
+    kind = T.ArrayType(T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)]))
+    held = spark.createDataFrame([tuple([tuple(q) for q in level] for level in reversed(levels))],
+                                 T.StructType([T.StructField(f"l{i}", kind) for i in range(len(levels))]))
+    out = df.withColumn("_q", F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])).withColumn("_chunk", F.lit(0))
+    for i in range(len(levels)):
+        some = F.slice("_level", F.col("_chunk") * FANOUT + 1, F.lit(FANOUT - 1))
+        out = out.withColumn("_level", held.select(f"l{i}").scalar()).withColumn(
+            "_chunk", F.col("_chunk") * FANOUT + F.size(F.filter(some, lambda b: b <= F.col("_q"))))
+    return out.drop("_q", "_level")
+
+
+def place(df: DataFrame, key: Sequence[str], order: Sequence[str], lookback: int = 0, block_rows: int | None = None,
+          n_chunks: int | None = None) -> DataFrame:
+    """Rows with ``_blk`` (block within the key), ``_h`` (1: halo copy) and ``_off`` (row
+    number of the block's first row, halo included, less one), not yet shuffled.
+
+    ``block_rows`` or ``n_chunks`` (rows / n_chunks) replace the law for a block's size."""
     key, order = list(key), list(order)
-    if cut or (cut is None and has_shuffle(df)):
+    cols = list(dict.fromkeys([*key, *order]))
+    lookback = max(int(lookback), 0)
+    if has_shuffle(df):
         df = materialize(df)
-    n = n_chunks or _chunks_for(df.count())
-    bounds = _bounds(df, order[0], n, df.count()) if n > 1 else []
-    chunk = F.when(F.col(order[0]).isNull(), F.lit(0)).otherwise(_bucket_expr(F.col(order[0]), bounds)) if bounds else F.lit(0)
-    chunked = df.withColumn("_chunk", chunk)
-    counts = chunked.groupBy(*key, "_chunk").agg(F.count(F.lit(1)).alias("_cn"))
-    wk = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    stats = counts.withColumn("_before", F.coalesce(F.sum("_cn").over(wk), F.lit(0)))
-    summary = counts.agg(F.count(F.lit(1)).alias("n"), F.sum("_cn").alias("rows")).first()
-    n_stats, total = int(summary["n"] or 0), int(summary["rows"] or 0)
-    joined = null_safe_join(chunked, stats.select(*key, "_chunk", "_before"), key + ["_chunk"],
-                             broadcast=n_stats <= BROADCAST_STATS_ROWS)
-    wc = Window.partitionBy(*key, "_chunk").orderBy(*order)
-    out = joined.withColumn("_rn", F.col("_before") + F.row_number().over(wc)).drop("_before")
-    return (out, total, n) if with_stats else out
+    rows = df.count()
+    b = block_rows or (max(1, rows // n_chunks) if n_chunks else block_rows_for(rows, df.sparkSession.sparkContext.defaultParallelism))
+    b = max(b, -(-rows * CHUNKS // MAX_CHUNKS // 4))
+    n = min(MAX_CHUNKS, -(-rows * CHUNKS // b))
+    zero = F.lit(0)
+    if rows <= b:
+        return df.select("*", zero.cast("long").alias("_blk"), zero.alias("_h"), zero.cast("long").alias("_off"))
+    located = _locate(df, cols, _bounds(df, cols, n, rows))
+    counts = located.groupBy(*key, "_chunk").agg(F.count(F.lit(1)).alias("_cn"))
+    whole = Window.partitionBy(*key)
+    c = counts.select(*key, "_chunk", "_cn", F.sum("_cn").over(whole).alias("_total"),
+                      (F.sum("_cn").over(whole.orderBy("_chunk")) - F.col("_cn")).alias("_before"))
+    c = c.filter(F.col("_total") > b).withColumn("_blk", F.floor(F.col("_before") / F.lit(b)).cast("long"))
+    own = c.select(*key, "_chunk", "_cn", "_blk", zero.alias("_h"), "_before")
+    entries = own
+    if lookback:
+        last = F.floor((F.col("_before") + F.col("_cn") + F.lit(lookback - 1)) / F.lit(b)).cast("long")
+        halo = c.filter(last > F.col("_blk")).select(*key, "_chunk", "_cn", (F.col("_before") + F.col("_cn")).alias("_end"),
+                                                     F.explode(F.sequence(F.col("_blk") + 1, last)).alias("_blk"))
+        starts = c.groupBy(*key, "_blk").agg(F.min("_before").alias("_s"))
+        halo = null_safe_join(halo, starts, [*key, "_blk"]).filter(F.col("_s") < F.col("_end") + F.lit(lookback))
+        entries = own.unionByName(halo.select(*key, "_chunk", "_cn", "_blk", F.lit(1).alias("_h"), F.lit(None).cast("long").alias("_before")))
+    w = Window.partitionBy(*key, "_blk")
+    off = F.min("_before").over(w) - F.sum(F.when(F.col("_h") == 1, F.col("_cn")).otherwise(0)).over(w)
+    to = entries.withColumn("_off", off).groupBy(*key, "_chunk").agg(F.collect_list(F.struct("_blk", "_h", "_off")).alias("_to"))
+    # at most a row a chunk and block, whatever the number of rows and keys
+    placed = null_safe_join(located, to, [*key, "_chunk"], broadcast=True, how="left")
+    first = F.array(F.struct(zero.cast("long").alias("_blk"), zero.alias("_h"), zero.cast("long").alias("_off")))
+    return placed.withColumn("_to", F.explode(F.coalesce("_to", first))).select(*df.columns, "_to._blk", "_to._h", "_to._off")
+
+
+def _block_frame(key: Sequence[str], order: Sequence[str]) -> Frame:
+    w = Window.partitionBy(*key, "_blk").orderBy(*order)
+    return Frame(w=w, rn=F.col("_rn"))
 
 
 def over_rows(
@@ -168,27 +196,10 @@ def over_rows(
         w = Window.partitionBy(*key).orderBy(*order)
         fr = Frame(w=w, rn=F.row_number().over(w))
         return _apply(df, build(fr))
-    if n_chunks is None and block_rows is None:
-        if has_shuffle(df):
-            df = materialize(df)
-        if df.count() <= TARGET_ROWS:  # no group can exceed the target
-            return over_rows(df, key, order, lookback, build, split=False)
-    indexed, total, n = index_within_key(df, key, order, n_chunks, with_stats=True)
-    lookback = max(int(lookback), 0)
-    b = block_rows or max(lookback, 1, -(-total // max(n, 1)))
-    b = max(b, lookback, 1)
-    g = F.col("_rn") - 1
-    blk = F.floor(g / F.lit(b)).cast("long")
-    if lookback > 0:
-        halo = (g % F.lit(b)) >= F.lit(b - lookback)
-        copies = F.when(halo, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    else:
-        copies = F.array(F.lit(0))
-    blocked = indexed.withColumn("_h", F.explode(copies)).withColumn("_blk", blk + F.col("_h"))
-    w = Window.partitionBy(*key, "_blk").orderBy(*order)
-    fr = Frame(w=w, rn=F.col("_rn"))
-    out = _apply(blocked, build(fr)).filter(F.col("_h") == 0)
-    return out.drop("_h", "_blk", "_chunk", "_rn")
+    placed = place(df, key, order, lookback, block_rows, n_chunks)
+    fr = _block_frame(key, order)
+    numbered = placed.withColumn("_rn", F.col("_off") + F.row_number().over(fr.w))
+    return _apply(numbered, build(fr)).filter(F.col("_h") == 0).drop("_h", "_blk", "_off", "_rn")
 
 
 def _apply(df: DataFrame, cols) -> DataFrame:
@@ -201,15 +212,36 @@ def _apply(df: DataFrame, cols) -> DataFrame:
     return df
 
 
+def index_within_key(df: DataFrame, key: Sequence[str], order: Sequence[str], n_chunks: int | None = None) -> DataFrame:
+    """Add ``_rn`` (1-based row index within key, in ``order``) and ``_chunk`` (the block of
+    the key that the row was numbered in)."""
+    placed = place(df, key, order, n_chunks=n_chunks)
+    numbered = placed.withColumn("_rn", F.col("_off") + F.row_number().over(_block_frame(key, order).w))
+    return numbered.withColumnRenamed("_blk", "_chunk").drop("_h", "_off")
+
+
 def rows_index(df: DataFrame, key: Sequence[str], order: Sequence[str], split: bool = True,
                name: str = "rn", n_chunks: int | None = None) -> DataFrame:
     """Public form of the row index: adds ``name`` = 1-based position within key."""
-    if split and n_chunks is None:
-        if has_shuffle(df):
-            df = materialize(df)
-        split = df.count() > TARGET_ROWS
     if not split:
         w = Window.partitionBy(*key).orderBy(*order)
         return df.withColumn(name, F.row_number().over(w))
-    out = index_within_key(df, key, order, n_chunks)
-    return out.withColumnRenamed("_rn", name).drop("_chunk")
+    return index_within_key(df, key, order, n_chunks).withColumnRenamed("_rn", name).drop("_chunk")
+
+
+def running_rows(df: DataFrame, key: Sequence[str], order: Sequence[str], build: Callable[[WindowSpec], Sequence[Column]],
+                 totals: Sequence[Column], merge: Callable[[WindowSpec], Sequence[Column]]) -> DataFrame:
+    """Cumulative values per key, block by block: ``totals`` (named aggregates of a block) are
+    prefixed over a key's earlier blocks by ``merge`` (named columns over a window of blocks)
+    and joined to the rows of the later blocks, null in a key's first; ``build`` then
+    gives the row's columns from these and the running window of its block."""
+    key = list(key)
+    placed = place(df, key, order)
+    blocks = placed.groupBy(*key, "_blk").agg(*totals)
+    earlier = Window.partitionBy(*key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    merged = list(merge(earlier))
+    carried = blocks.select(*key, "_blk", *merged).filter("_blk > 0")  # at most a row a block
+    joined = null_safe_join(placed, carried, [*key, "_blk"], broadcast=True, how="left")
+    names = [c for c in carried.columns if c not in (*key, "_blk")]
+    inner = Window.partitionBy(*key, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.select("*", *build(inner)).drop("_blk", "_h", "_off", *names)

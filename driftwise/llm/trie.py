@@ -125,7 +125,8 @@ def prefix_products(turns: DataFrame, attempt: int) -> DataFrame:
     b1..b3 of those before."""
     spark = turns.sparkSession
     order = ["conv", "turn", "role", "k1", "k2"]
-    ordered = turns.select(*order, "words").repartitionByRange(*order).sortWithinPartitions(*order)
+    slim = written(turns.select(*order, "words"))  # else finding the ranges reads all texts once more
+    ordered = slim.repartitionByRange(*order).sortWithinPartitions(*order)
     local = written(local_products(ordered.select(F.spark_partition_id().alias("part"), "conv", "k1", "k2", "words"), attempt))
     last = local.groupBy("part").agg(F.min("conv").alias("first"), F.max("conv").alias("last"),
                                      F.max(F.struct("conv", "at", "g1", "g2", "g3")).alias("piece"))

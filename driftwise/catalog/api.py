@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..detectors.cluster import detect_cluster_change
 from ..detectors.explain import TEMPLATES, explain
-from ..detectors.hst import detect_anomaly
 from ..functions.ids import stable_id
+from ..plans.engine import PatternEngine
 from ..plans.monitor import (event_counters, feedback_labels, last_gauge, latency_histogram, latency_stats,
                              status_rollup)
 from ..plans.query import (accept_feedback, get_events, get_pattern, get_pattern_types, get_patterns,
@@ -21,15 +20,18 @@ EVENTS_FILTER = dict(source="events", event_type="click", start_time="2024-01-10
 LATENCY_BUCKETS = (1.0, 7.0, 30.0, 60.0, 90.0, 120.0)
 
 
+PATTERN_CONFIG = {"detectors": [
+    {"name": "cluster", "type": "cluster_detector", "source": "events",
+     "config": {"features": ["price", "quantity"], "window_size": CLUSTER_WINDOW, "threshold": CLUSTER_THRESHOLD, "centroids": CENTROIDS}},
+    {"name": "anomaly", "type": "half_space_trees", "source": "events",
+     "config": {"features": ["price"], "n_trees": HST["n_trees"], "height": HST["height"], "window_size": HST["window_size"],
+                "seed": HST["seed"], "scale": "all"}}]}
+
+
 def patterns_table(spark, sf):
     """Patterns found on the events table: cluster-regime changes (price,
     quantity) and HST anomalies (price) with the adaptive threshold."""
-    ev = events_envelope(spark, sf)
-    cl = detect_cluster_change(ev, ["price", "quantity"], window_size=CLUSTER_WINDOW, threshold=CLUSTER_THRESHOLD,
-                               centroids=CENTROIDS, detector="cluster")
-    an = detect_anomaly(ev, ["price"], n_trees=HST["n_trees"], height=HST["height"],
-                        window_size=HST["window_size"], seed=HST["seed"], detector="anomaly")
-    return cl.unionByName(an)
+    return PatternEngine(PATTERN_CONFIG).detect(events_envelope(spark, sf))
 
 
 def feedback_table(spark, sf):

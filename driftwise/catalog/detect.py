@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..detectors.adwin import adwin_flags
-from ..detectors.cluster import cluster_windows
-from ..detectors.common import adaptive_threshold
+from ..detectors.cluster import cluster_changes, cluster_windows
+from ..detectors.common import ORDER, adaptive_threshold
 from ..detectors.drift import adwin_epsilon, detect_drift_adjacent, drift_flags
 from ..detectors.explain import TEMPLATES, explain
 from ..detectors.hst import build_trees, hst_scores, scale_by_key
@@ -17,6 +17,7 @@ from .common import EV, EVS, finish, r6, sql_fill
 CENTROIDS = [[25.0, 25.0], [25.0, 75.0], [100.0, 25.0], [100.0, 75.0]]
 CLUSTER_WINDOW = 50
 CLUSTER_THRESHOLD = 0.3
+LEARNED = 4
 DRIFT_FRAME = 50
 DRIFT_DELTA = 0.002
 DRIFT_GRACE = 100
@@ -48,6 +49,13 @@ def q_cluster_change(spark, sf):
     return finish(ch.select("event_id", "timestamp", "cluster", "dominant", "ratio", "prev_cluster"))
 
 
+def q_cluster_learned(spark, sf):
+    """Regime changes of clusters that are learned block by block from earlier rows."""
+    ch, _ = cluster_changes(events_envelope(spark, sf), {}, ["price", "quantity"], LEARNED, CLUSTER_WINDOW, CLUSTER_THRESHOLD,
+                            ["source"], list(ORDER))
+    return finish(ch.select("event_id", "timestamp", "cluster", "dominant", "ratio", "prev_cluster"))
+
+
 def q_hst_scores(spark, sf):
     ev = scale_by_key(events_envelope(spark, sf), ["price"])
     s = hst_scores(ev, ["price_scaled"], **HST)
@@ -94,33 +102,66 @@ SELECT md5(concat_ws('|', source, 'drift', event_id)) AS pattern_id, 'drift' AS
 FROM g"""
 
 
-def cluster_body() -> str:
-    """Cluster-change rows (unrounded): event_id, timestamp, cluster, dominant, ratio, prev_cluster."""
+def nearest_sql(points) -> str:
+    """Index of the nearest of ``points`` (pairs of SQL terms); ties -> lowest index."""
+    d = [f"((price - {x}) * (price - {x}) + (quantity - {y}) * (quantity - {y}))" for x, y in points]
+    return "CASE " + " ".join(f"WHEN {t} = least({', '.join(d)}) THEN {k}" for k, t in enumerate(d)) + " END"
+
+
+def regime_sql(k: int, first: int) -> str:
+    """From ``p`` (rows with rn and cluster, predicted from row ``first`` on) to the changes."""
     w = CLUSTER_WINDOW
-    # nearest centroid, ties -> lowest index
-    best = " , ".join(f"(price - {cx}) * (price - {cx}) + (quantity - {cy}) * (quantity - {cy})" for cx, cy in CENTROIDS)
-    pred_case = "CASE " + " ".join(
-        f"WHEN (price - {cx}) * (price - {cx}) + (quantity - {cy}) * (quantity - {cy}) = least({best}) THEN {k}"
-        for k, (cx, cy) in enumerate(CENTROIDS)) + " END"
+    full = first + w - 1
     fr = f"{_W} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW"
-    cnts = ", ".join(f"sum(CASE WHEN cluster = {k} THEN 1 ELSE 0 END) OVER ({fr}) AS n{k}, "
-                     f"min(CASE WHEN cluster = {k} THEN rn END) OVER ({fr}) AS f{k}" for k in range(len(CENTROIDS)))
+    cnts = ", ".join(f"sum(CASE WHEN cluster = {c} THEN 1 ELSE 0 END) OVER ({fr}) AS n{c}, "
+                     f"min(CASE WHEN cluster = {c} THEN rn END) OVER ({fr}) AS f{c}" for c in range(k))
     # dominant: max count, ties -> smallest first position in the window
-    cand = ", ".join(f"CASE WHEN n{k} > 0 THEN (n{k}, -f{k}, {k}) END" for k in range(len(CENTROIDS)))
-    return f"""WITH {EV},
-r AS (SELECT *, row_number() OVER ({_W}) AS rn FROM ev WHERE price IS NOT NULL AND quantity IS NOT NULL),
-p AS (SELECT *, CASE WHEN rn >= {w} THEN {pred_case} END AS cluster FROM r),
-c AS (SELECT *, {cnts} FROM p),
+    cand = ", ".join(f"CASE WHEN n{c} > 0 THEN (n{c}, -f{c}, {c}) END" for c in range(k))
+    return f"""c AS (SELECT *, {cnts} FROM p),
 g AS (SELECT *, greatest({cand}) AS dom FROM c),
-h AS (SELECT *, CASE WHEN rn >= {2 * w - 1} THEN dom[3] END AS dominant,
-             CASE WHEN rn >= {2 * w - 1} THEN dom[1] / {float(w)} END AS ratio FROM g),
-e AS (SELECT *, CASE WHEN rn = {w} THEN cluster ELSE dominant END AS reg FROM h
-      WHERE rn = {w} OR ratio >= {CLUSTER_THRESHOLD}),
+h AS (SELECT *, CASE WHEN rn >= {full} THEN dom[3] END AS dominant,
+             CASE WHEN rn >= {full} THEN dom[1] / {float(w)} END AS ratio FROM g),
+e AS (SELECT *, CASE WHEN rn = {first} THEN cluster ELSE dominant END AS reg FROM h
+      WHERE rn = {first} OR ratio >= {CLUSTER_THRESHOLD}),
 l AS (SELECT *, lag(reg) OVER ({_W}) AS prev_cluster FROM e)
 SELECT event_id, "timestamp", cluster, dominant, ratio, prev_cluster
 FROM l WHERE ratio >= {CLUSTER_THRESHOLD} AND dominant <> prev_cluster"""
 
 
+def cluster_body() -> str:
+    """Cluster-change rows (unrounded): event_id, timestamp, cluster, dominant, ratio, prev_cluster."""
+    w = CLUSTER_WINDOW
+    return f"""WITH {EV},
+r AS (SELECT *, row_number() OVER ({_W}) AS rn FROM ev WHERE price IS NOT NULL AND quantity IS NOT NULL),
+p AS (SELECT *, CASE WHEN rn >= {w} THEN {nearest_sql(CENTROIDS)} END AS cluster FROM r),
+{regime_sql(len(CENTROIDS), w)}"""
+
+
+def cluster_learned_body() -> str:
+    """The same with anchors from the first block (farthest-first), sums of each block's rows
+    per anchor, and centroids from the blocks before."""
+    w, k = CLUSTER_WINDOW, LEARNED
+    anchors = ["a0 AS (SELECT price AS p0, quantity AS q0 FROM r WHERE rn = 1)"]
+    for i in range(1, k):
+        near = ", ".join(f"(price - p{j}) * (price - p{j}) + (quantity - q{j}) * (quantity - q{j})" for j in range(i))
+        anchors.append(f"a{i} AS (SELECT a{i - 1}.*, price AS p{i}, quantity AS q{i} FROM r CROSS JOIN a{i - 1} WHERE rn <= {w} "
+                       f"ORDER BY least({near}) DESC, rn LIMIT 1)")
+    cells = nearest_sql([(f"p{i}", f"q{i}") for i in range(k)])
+    cents = ", ".join(f"coalesce(sum(CASE WHEN s.cell = {i} THEN s.price END) / sum(CASE WHEN s.cell = {i} THEN s.n END), any_value(p{i})) AS x{i}, "
+                      f"coalesce(sum(CASE WHEN s.cell = {i} THEN s.quantity END) / sum(CASE WHEN s.cell = {i} THEN s.n END), any_value(q{i})) AS y{i}"
+                      for i in range(k))
+    pred = nearest_sql([(f"x{i}", f"y{i}") for i in range(k)])
+    return f"""WITH {EV},
+r AS (SELECT *, row_number() OVER ({_W}) AS rn FROM ev WHERE price IS NOT NULL AND quantity IS NOT NULL),
+{", ".join(anchors)},
+cl AS (SELECT (rn - 1) // {w} AS b, {cells} AS cell, price, quantity FROM r CROSS JOIN a{k - 1}),
+s AS (SELECT b, cell, sum(price) AS price, sum(quantity)::DOUBLE AS quantity, count(*) AS n FROM cl GROUP BY ALL),
+bl AS (SELECT DISTINCT b FROM cl),
+ct AS (SELECT bl.b, {cents} FROM bl CROSS JOIN a{k - 1} LEFT JOIN s ON s.b < bl.b GROUP BY bl.b),
+p AS (SELECT r.*, CASE WHEN rn > {w} THEN {pred} END AS cluster FROM r JOIN ct ON ct.b = (rn - 1) // {w}),
+{regime_sql(k, w + 1)}"""
+
+
 def hst_body() -> str:
     """HST scores (unrounded): source, event_id, timestamp, score."""
     p = HST
@@ -166,6 +207,7 @@ QUERIES = {
     "drift_adjacent": q_drift_adjacent,
     "explain_drift": q_explain_drift,
     "cluster_change": q_cluster_change,
+    "cluster_learned": q_cluster_learned,
     "hst_scores": q_hst_scores,
 }
 
@@ -180,5 +222,7 @@ FROM ev WHERE price IS NOT NULL""",
     "explain_drift": explain_drift_sql(),
     "cluster_change": f"""SELECT event_id, "timestamp", cluster, dominant, {r6('ratio')} AS ratio, prev_cluster
 FROM ({cluster_body()})""",
+    "cluster_learned": f"""SELECT event_id, "timestamp", cluster, dominant, {r6('ratio')} AS ratio, prev_cluster
+FROM ({cluster_learned_body()})""",
     "hst_scores": f"SELECT event_id, {r6('score')} AS score FROM ({hst_body()})",
 }

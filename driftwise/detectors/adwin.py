@@ -26,13 +26,14 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.payload import numeric_field
-from ..plans.rolling import rows_index
+from ..plans.rolling import materialize, null_safe_join, rows_index
 from .common import ORDER, to_patterns
-from .drift import DRIFT_CONFIDENCE
+from .drift import drift_patterns
+from .series import State
 
 
 class Adwin:
@@ -144,33 +145,88 @@ def _change_pct(old: float, new: float) -> float:
     return (new - old) / abs(old) * 100.0 if old != 0 else 0.0
 
 
-def _run_partition(delta: float, grace_period: int):
+def _run_partition(delta: float, grace_period: int, keep: bool = False):
+    """Rows sorted by (key, field, order) through one detector after the other. A row with
+    ``_state`` comes first and sets its detector up; with ``keep`` every detector's state
+    is given out after its last row."""
+    columns = ["key", "source", "field", "event_id", "timestamp", "prev_mean", "new_mean", "change_pct", "width"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        det: dict[tuple, Adwin] = {}
+        at, a = None, Adwin(delta)
+
+        def state():
+            return (at[0], None, at[1], None, None, None, None, None, None, a.to_json())
+
         for pdf in batches:
             out = []
-            keys = pdf["_k"].tolist()
-            fields = pdf["_f"].tolist()
-            xs = pdf["_x"].tolist()
-            ids = pdf["event_id"].tolist()
-            tss = pdf["timestamp"].tolist()
-            srcs = pdf["source"].tolist()
-            for k, f, x, eid, ts, src, n in zip(keys, fields, xs, ids, tss, srcs, pdf["_n"].tolist()):
-                kk = (k, f)
+            for k, f, x, eid, ts, src, n, text in zip(*[pdf[c].tolist() for c in (
+                    "_k", "_f", "_x", "event_id", "timestamp", "source", "_n", "_state")], strict=True):
+                if (k, f) != at:
+                    if keep and at is not None:
+                        out.append(state())
+                    at, a = (k, f), Adwin(delta)
+                if text is not None:
+                    a = Adwin.from_json(text, delta=delta)
+                    continue
                 if n < grace_period:  # the detector's n-th event: it is not fed yet
                     continue
-                a = det.get(kk)
-                if a is None:
-                    a = det[kk] = Adwin(delta)
                 r = a.update(x)
                 if r is not None:
-                    out.append((k, src, f, eid, ts, r[0], r[1], _change_pct(r[0], r[1]), a.width))
+                    out.append((k, src, f, eid, ts, r[0], r[1], _change_pct(r[0], r[1]), a.width, None))
             if out:
-                yield pd.DataFrame(out, columns=["key", "source", "field", "event_id", "timestamp", "prev_mean", "new_mean",
-                                                 "change_pct", "width"])
+                yield pd.DataFrame(out, columns=[*columns, "state"])
+        if keep and at is not None:
+            yield pd.DataFrame([state()], columns=[*columns, "state"])
     return run
 
 
+def _fed(df: DataFrame, fields: Sequence[str], key: Sequence[str], order: Sequence[str], number: Column) -> DataFrame:
+    """A row per event and numeric field, with the event's ``number`` in its key."""
+    kcol = F.to_json(F.array(*[F.col(c).cast("string") for c in key]))
+    longs = None
+    for f in fields:
+        part = df.select(number.cast("long").alias("_n"), kcol.alias("_k"), F.lit(f).alias("_f"), numeric_field(df, f).alias("_x"),
+                         F.col("event_id").cast("string").alias("event_id"), F.col("timestamp").cast("timestamp").alias("timestamp"), "source",
+                         F.lit(None).cast("string").alias("_state"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+        part = part.filter(F.col("_x").isNotNull())
+        longs = part if longs is None else longs.unionByName(part)
+    return longs
+
+
+def _run(longs: DataFrame, order: Sequence[str], delta: float, grace_period: int, partitions: int | None, keep: bool) -> DataFrame:
+    n = partitions or int(longs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ordered = longs.repartition(n, "_k", "_f").sortWithinPartitions(
+        "_k", "_f", F.col("_state").isNull(), *[f"_o{i}" for i in range(len(order))])
+    return ordered.select("_k", "_f", "_x", "event_id", "timestamp", "source", "_n", "_state").mapInPandas(
+        _run_partition(delta, grace_period, keep), OUT_SCHEMA + ", state string")
+
+
+def _with_a_field(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    return df.filter(reduce(lambda a, b: a | b, [numeric_field(df, f).isNotNull() for f in fields]))
+
+
+def adwin_step(df: DataFrame, state: State | None, fields: Sequence[str], detector: str = "drift", delta: float = 0.002,
+               grace_period: int = 100, key: Sequence[str] = ("source",), order: Sequence[str] = ORDER
+               ) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Exact ADWIN over the rows of a step: patterns, and for the next step the windows
+    (exponential histograms) and the events seen per key."""
+    key, state = list(key), state or {}
+    df = _with_a_field(df, fields)
+    number, seen = F.col("_n"), df.groupBy(*key).agg(F.count(F.lit(1)).alias("_seen"))
+    numbered = rows_index(df, key, order, name="_n")
+    if state.get("seen") is not None:
+        numbered = null_safe_join(numbered, state["seen"], key, how="left")
+        number = F.col("_n") + F.coalesce("_seen", F.lit(0))
+        seen = seen.unionByName(state["seen"]).groupBy(*key).agg(F.sum("_seen").alias("_seen"))
+    longs = _fed(numbered, fields, key, order, number)
+    if state.get("windows") is not None:
+        longs = longs.unionByName(state["windows"].select(F.col("key").alias("_k"), F.col("field").alias("_f"), F.col("state").alias("_state")),
+                                  allowMissingColumns=True)
+    ran = materialize(_run(longs, order, delta, grace_period, None, keep=True))
+    hits = ran.filter("state IS NULL").drop("state")
+    return drift_patterns(hits, fields, detector), {"seen": seen, "windows": ran.filter("state IS NOT NULL").select("key", "field", "state")}
+
+
 def adwin_flags(
     df: DataFrame,
     fields: Sequence[str],
@@ -182,22 +238,9 @@ def adwin_flags(
 ) -> DataFrame:
     """One row per (event, field) where ADWIN cut its window."""
     key = list(key)
-    kcol = F.to_json(F.array(*[F.col(c).cast("string") for c in key]))
     # events of the detector: rows with at least one of its fields, numbered per key
-    any_field = reduce(lambda a, b: a | b, [numeric_field(df, f).isNotNull() for f in fields])
-    df = rows_index(df.filter(any_field), key, order, name="_n")
-    longs = None
-    for f in fields:
-        part = df.select("_n", kcol.alias("_k"), F.lit(f).alias("_f"), numeric_field(df, f).alias("_x"),
-                         F.col("event_id").cast("string").alias("event_id"), "timestamp", "source",
-                         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-        part = part.filter(F.col("_x").isNotNull())
-        longs = part if longs is None else longs.unionByName(part)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ordered = longs.repartition(n, "_k", "_f").sortWithinPartitions(
-        "_k", "_f", *[f"_o{i}" for i in range(len(order))])
-    return ordered.select("_k", "_f", "_x", "event_id", "timestamp", "source", "_n").mapInPandas(
-        _run_partition(delta, grace_period), OUT_SCHEMA)
+    numbered = rows_index(_with_a_field(df, fields), key, order, name="_n")
+    return _run(_fed(numbered, fields, key, order, F.col("_n")), order, delta, grace_period, partitions, keep=False).drop("state")
 
 
 def detect_drift_adwin(
@@ -211,14 +254,4 @@ def detect_drift_adwin(
 ) -> DataFrame:
     """Drift patterns from exact ADWIN (one per event with >= 1 drifting field)."""
     fl = adwin_flags(df, fields, delta, grace_period, key, order)
-    grouped = fl.groupBy("event_id", "source", "timestamp").agg(
-        F.sort_array(F.collect_list(F.struct("field", "prev_mean", "new_mean", "change_pct"))).alias("fx"))
-    detail_fields = []
-    for f in fields:
-        item = F.get(F.filter("fx", lambda x: x["field"] == F.lit(f)), F.lit(0))
-        detail_fields += [item["prev_mean"].alias(f"{f}_prev_mean"), item["new_mean"].alias(f"{f}_new_mean"),
-                          item["change_pct"].alias(f"{f}_change_pct")]
-    details = F.struct(F.lit(detector).alias("detector"), *detail_fields, F.lit(DRIFT_CONFIDENCE).alias("confidence"))
-    n = F.size("fx")
-    contributors = F.transform("fx", lambda x: F.struct(x["field"].alias("field"), (F.lit(1.0) / n).alias("score")))
-    return to_patterns(grouped, "drift", detector, "adwin", details, contributors)
+    return drift_patterns(fl, fields, detector)

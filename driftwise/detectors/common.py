@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import stable_id
-from ..plans.rolling import Frame, over_rows
+from ..plans.rolling import Frame, materialize, over_rows
+from .series import NEW, continued, last_rows, stepwise
 
 ORDER = ("timestamp", "event_id")
 PATTERN_COLUMNS = ["pattern_id", "type", "detector_type", "timestamp", "source", "details", "contributors"]
@@ -67,15 +68,23 @@ def adaptive_threshold(
     scored = df.filter(F.col(score).isNotNull())
     rest = df.filter(F.col(score).isNull()).withColumn("threshold", F.lit(None).cast("double")).withColumn(
         "alert", F.lit(None).cast("boolean"))
+    out = over_rows(scored, key, order, window - 1, lambda fr: _alerts(fr, score, q, window, min_scores, default), split=split)
+    return out.unionByName(rest)
 
-    def build(fr: Frame):
-        w = fr.rows(window)
-        th = F.when(F.count(score).over(w) > min_scores, F.percentile(F.col(score), F.lit(q)).over(w)).otherwise(
-            F.lit(default))
-        return [[th.alias("threshold")], [(F.col(score) > F.col("threshold")).alias("alert")]]
 
-    out = over_rows(scored, key, order, window - 1, build, split=split)
-    return out.unionByName(rest)
+def _alerts(fr: Frame, score: str, q: float, window: int, min_scores: int, default: float):
+    w = fr.rows(window)
+    th = F.when(F.count(score).over(w) > min_scores, F.percentile(F.col(score), F.lit(q)).over(w)).otherwise(F.lit(default))
+    return [[th.alias("threshold")], [(F.col(score) > F.col("threshold")).alias("alert")]]
+
+
+def threshold_step(scored: DataFrame, kept: DataFrame | None, key: Sequence[str], order: Sequence[str], q: float = 0.95,
+                   window: int = 100, min_scores: int = 10, default: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """``adaptive_threshold`` over the rows of a step (column ``score``), and the scores that
+    the next step needs."""
+    rows = materialize(continued(scored, kept, key))
+    out = over_rows(rows, key, stepwise(order), window - 1, lambda fr: _alerts(fr, "score", q, window, min_scores, default))
+    return out.filter(F.col(NEW) == 1), last_rows(rows, key, order, window - 1)
 
 
 def anomaly_confidence(score: Column, threshold: Column) -> Column:

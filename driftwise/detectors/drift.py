@@ -18,12 +18,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.payload import numeric_field
-from ..plans.rolling import Frame, over_rows
+from ..plans.rolling import Frame, materialize, over_rows
 from .common import ORDER, to_patterns
+from .series import BASE, NEW, State, continued, last_rows, slim, stepwise
 
 DRIFT_CONFIDENCE = 0.9
 
@@ -49,26 +50,44 @@ def drift_flags(
     ``drift`` (first row of a run of cut rows)."""
     v = numeric_field(df, field)
     rows = df.withColumn("_v", v).filter(F.col("_v").isNotNull())
+    out = over_rows(rows, key, order, 2 * frame, lambda fr: _flags(fr, frame, delta, grace_period), split=split)
+    return out.drop("_cut", "_v")
+
+
+def _flags(fr: Frame, frame: int, delta: float, grace_period: int, base: Column | None = None):
+    """Both means, the change and the flag of each row; ``base`` is added to row numbers."""
     a, b = adwin_epsilon(frame, frame, delta)
     start = max(2 * frame, grace_period)
-
-    def build(fr: Frame):
-        old_w = fr.w.rowsBetween(-(2 * frame - 1), -frame)
-        new_w = fr.rows(frame)
-        all_w = fr.rows(2 * frame)
-        old = F.avg("_v").over(old_w)
-        new = F.avg("_v").over(new_w)
-        var = F.var_pop("_v").over(all_w)
-        eps = F.sqrt(F.lit(a) * var) + F.lit(b)
-        cut = (fr.rn >= start) & (F.abs(new - old) > eps)
-        pct = F.when(old != 0, (new - old) / F.abs(old) * 100).otherwise(F.lit(0.0))
-        stage1 = [old.alias("prev_mean"), new.alias("new_mean"), pct.alias("change_pct"),
-                  F.coalesce(cut, F.lit(False)).alias("_cut")]
-        stage2 = [(F.col("_cut") & ~F.coalesce(F.lag("_cut", 1).over(fr.w), F.lit(False))).alias("drift")]
-        return [stage1, stage2]
-
-    out = over_rows(rows, key, order, 2 * frame, build, split=split)
-    return out.drop("_cut", "_v")
+    old_w = fr.w.rowsBetween(-(2 * frame - 1), -frame)
+    new_w = fr.rows(frame)
+    all_w = fr.rows(2 * frame)
+    old = F.avg("_v").over(old_w)
+    new = F.avg("_v").over(new_w)
+    var = F.var_pop("_v").over(all_w)
+    eps = F.sqrt(F.lit(a) * var) + F.lit(b)
+    rn = fr.rn if base is None else fr.rn + base
+    cut = (rn >= start) & (F.abs(new - old) > eps)
+    pct = F.when(old != 0, (new - old) / F.abs(old) * 100).otherwise(F.lit(0.0))
+    stage1 = [old.alias("prev_mean"), new.alias("new_mean"), pct.alias("change_pct"),
+              F.coalesce(cut, F.lit(False)).alias("_cut")]
+    stage2 = [(F.col("_cut") & ~F.coalesce(F.lag("_cut", 1).over(fr.w), F.lit(False))).alias("drift")]
+    return [stage1, stage2]
+
+
+def drift_step(df: DataFrame, state: State | None, fields: Sequence[str], detector: str = "drift", frame: int = 50,
+               delta: float = 0.002, grace_period: int = 100, key: Sequence[str] = ("source",), order: Sequence[str] = ORDER
+               ) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """``detect_drift_adjacent`` over the rows of a step: patterns, and per field the last
+    two frames and one row for the next step."""
+    state, out, hits = state or {}, {}, None
+    for i, f in enumerate(fields):
+        new = slim(df, key, order, {"_v": numeric_field(df, f)})
+        rows = materialize(continued(new, state.get(f"field{i}"), key))
+        flags = over_rows(rows, key, stepwise(order), 2 * frame, lambda fr: _flags(fr, frame, delta, grace_period, F.col(BASE)))
+        hit = flags.filter(F.col("drift") & (F.col(NEW) == 1)).withColumn("field", F.lit(f))
+        hits = hit if hits is None else hits.unionByName(hit)
+        out[f"field{i}"] = last_rows(rows, key, order, 2 * frame + 1)
+    return drift_patterns(hits, fields, detector), out
 
 
 def detect_drift_adjacent(
@@ -96,7 +115,12 @@ def detect_drift_adjacent(
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
-    grouped = allp.groupBy("event_id", "source", "timestamp").agg(
+    return drift_patterns(allp, fields, detector)
+
+
+def drift_patterns(hits: DataFrame, fields: Sequence[str], detector: str) -> DataFrame:
+    """Pattern rows of (event, field) rows with both means and the change."""
+    grouped = hits.groupBy("event_id", "source", "timestamp").agg(
         F.sort_array(F.collect_list(F.struct("field", "prev_mean", "new_mean", "change_pct"))).alias("fx"))
     detail_fields = []
     for f in fields:

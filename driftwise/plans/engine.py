@@ -5,19 +5,25 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..detectors.adwin import detect_drift_adwin
-from ..detectors.cluster import detect_cluster_change
-from ..detectors.drift import detect_drift_adjacent
-from ..detectors.hst import detect_anomaly
+from ..detectors.adwin import adwin_step
+from ..detectors.cluster import cluster_step
+from ..detectors.common import ORDER
+from ..detectors.drift import drift_step
+from ..detectors.hst import anomaly_step, detect_anomaly
+from ..detectors.series import State
+from ..functions.payload import numeric_field
+from .rolling import materialize
 
 log = logging.getLogger(__name__)
 
-Detector = Callable[[DataFrame], DataFrame]
+# One step of a detector: its rows and the state of the last step to patterns and new state.
+Step = Callable[[DataFrame, State | None], tuple[DataFrame, dict[str, DataFrame]]]
 
 
 def _fields(cfg: Mapping) -> list[str]:
@@ -30,25 +36,49 @@ def _rows(cfg: Mapping) -> dict:
     return {k: tuple(cfg[k]) for k in ("key", "order") if cfg.get(k)}
 
 
+@dataclass(frozen=True)
+class Detector:
+    """A configured detector. Called with rows it returns their patterns; ``step`` goes on
+    from an earlier step's state."""
+
+    name: str
+    fields: tuple[str, ...]
+    columns: tuple[str, ...]  # key and order columns it needs
+    step: Step
+    whole: Callable[[DataFrame], DataFrame] | None = None  # form that needs all rows at once
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.whole(df) if self.whole else self.step(df, None)[0]
+
+
+def _detector(name: str, cfg: Mapping, step, whole=None, **params) -> Detector:
+    rows = _rows(cfg)
+    columns = tuple(dict.fromkeys([*rows.get("key", ("source",)), *rows.get("order", ORDER), "event_id", "source", "timestamp"]))
+    fields = tuple(_fields(cfg))
+    return Detector(name, fields, columns, lambda df, state: step(df, state, list(fields), detector=name, **params, **rows), whole)
+
+
 def _adwin(name: str, cfg: Mapping) -> Detector:
+    params = dict(delta=cfg.get("delta", 0.002), grace_period=cfg.get("grace_period", 100))
     if cfg.get("method", "adwin") == "adjacent":
-        return lambda df: detect_drift_adjacent(df, _fields(cfg), detector=name, frame=cfg.get("frame", 50),
-                                                delta=cfg.get("delta", 0.002), grace_period=cfg.get("grace_period", 100), **_rows(cfg))
-    return lambda df: detect_drift_adwin(df, _fields(cfg), detector=name, delta=cfg.get("delta", 0.002),
-                                         grace_period=cfg.get("grace_period", 100), **_rows(cfg))
+        return _detector(name, cfg, drift_step, frame=cfg.get("frame", 50), **params)
+    return _detector(name, cfg, adwin_step, **params)
 
 
 def _hst(name: str, cfg: Mapping) -> Detector:
-    return lambda df: detect_anomaly(df, _fields(cfg), n_trees=cfg.get("n_trees", 10), height=cfg.get("height", 8),
-                                     window_size=cfg.get("window_size", 100), threshold=cfg.get("threshold", 0.95),
-                                     seed=cfg.get("seed", 0), detector=name, **_rows(cfg))
+    """``scale``: ``first`` (range of a key's first window, the default), ``none``, or ``all``
+    (range of all rows, for a run over a whole table only)."""
+    params = dict(n_trees=cfg.get("n_trees", 10), height=cfg.get("height", 8), window_size=cfg.get("window_size", 100),
+                  threshold=cfg.get("threshold", 0.95), seed=cfg.get("seed", 0))
+    scale, whole = cfg.get("scale", "first"), None
+    if scale == "all":
+        whole = lambda df: detect_anomaly(df, _fields(cfg), detector=name, **params, **_rows(cfg))
+    return _detector(name, cfg, anomaly_step, whole, scale=scale, **params)
 
 
 def _cluster(name: str, cfg: Mapping) -> Detector:
-    return lambda df: detect_cluster_change(df, _fields(cfg), n_clusters=cfg.get("n_clusters", 4),
-                                            window_size=cfg.get("window_size", 50),
-                                            threshold=cfg.get("threshold", 0.3), centroids=cfg.get("centroids"),
-                                            detector=name, seed=cfg.get("seed", 0), **_rows(cfg))
+    return _detector(name, cfg, cluster_step, n_clusters=cfg.get("n_clusters", 4), window_size=cfg.get("window_size", 50),
+                     threshold=cfg.get("threshold", 0.3), centroids=cfg.get("centroids"))
 
 
 DETECTORS: dict[str, Callable[[str, Mapping], Detector]] = {
@@ -64,7 +94,8 @@ def get_detector(name: str, detector_type: str, config: Mapping | None = None) -
 
 
 class PatternEngine:
-    """``PatternEngine(config).detect(clean_df)`` -> pattern rows of all detectors."""
+    """``PatternEngine(config).detect(clean_df)`` -> pattern rows of all detectors;
+    ``step`` does the same batch by batch."""
 
     def __init__(self, config: Mapping):
         self.detectors: list[tuple[str, Detector]] = []
@@ -75,8 +106,28 @@ class PatternEngine:
                 continue
             self.detectors.append((d.get("source"), det))
 
+    def shared(self, df: DataFrame) -> DataFrame:
+        """The rows and values that the detectors use, read and decoded once for all of them:
+        events of their sources, their key and order columns, and the numeric fields."""
+        fields = list(dict.fromkeys(f for _, d in self.detectors for f in d.fields))
+        columns = list(dict.fromkeys(c for _, d in self.detectors for c in d.columns if c in df.columns))
+        sources = list(dict.fromkeys(s for s, _ in self.detectors))
+        rows = df.filter(F.col("source").isin(sources)).select(
+            *columns, F.struct(*[numeric_field(df, f).alias(f) for f in fields]).alias("payload"))
+        return materialize(rows)
+
     def detect(self, df: DataFrame) -> DataFrame | None:
-        outs = [det(df.filter(F.col("source") == src)) for src, det in self.detectors]
-        if not outs:
+        if not self.detectors:
             return None
-        return reduce(lambda a, b: a.unionByName(b), outs)
+        rows = self.shared(df)
+        return reduce(lambda a, b: a.unionByName(b), [det(rows.filter(F.col("source") == src)) for src, det in self.detectors])
+
+    def step(self, df: DataFrame, states: Mapping[str, State]) -> tuple[DataFrame | None, dict[str, dict[str, DataFrame]]]:
+        """Patterns of a batch and the detectors' new states, by the detector's place."""
+        if not self.detectors:
+            return None, {}
+        rows, found, out = self.shared(df), [], {}
+        for i, (src, det) in enumerate(self.detectors):
+            patterns, out[f"detector{i}"] = det.step(rows.filter(F.col("source") == src), states.get(f"detector{i}"))
+            found.append(patterns)
+        return reduce(lambda a, b: a.unionByName(b), found), out

@@ -130,11 +130,12 @@ def _locate(df: DataFrame, cols: Sequence[str], bounds: list) -> DataFrame:
 
 
 def place(df: DataFrame, key: Sequence[str], order: Sequence[str], lookback: int = 0, block_rows: int | None = None,
-          n_chunks: int | None = None) -> DataFrame:
+          n_chunks: int | None = None, most: int | None = None) -> DataFrame:
     """Rows with ``_blk`` (block within the key), ``_h`` (1: halo copy) and ``_off`` (row
     number of the block's first row, halo included, less one), not yet shuffled.
 
-    ``block_rows`` or ``n_chunks`` (rows / n_chunks) replace the law for a block's size."""
+    ``block_rows`` or ``n_chunks`` (rows / n_chunks) replace the law for a block's size;
+    ``most`` bounds it."""
     key, order = list(key), list(order)
     cols = list(dict.fromkeys([*key, *order]))
     lookback = max(int(lookback), 0)
@@ -142,7 +143,7 @@ def place(df: DataFrame, key: Sequence[str], order: Sequence[str], lookback: int
         df = materialize(df)
     rows = df.count()
     b = block_rows or (max(1, rows // n_chunks) if n_chunks else block_rows_for(rows, df.sparkSession.sparkContext.defaultParallelism))
-    b = max(b, -(-rows * CHUNKS // MAX_CHUNKS // 4))
+    b = max(min(b, most or b), -(-rows * CHUNKS // MAX_CHUNKS // 4))
     n = min(MAX_CHUNKS, -(-rows * CHUNKS // b))
     zero = F.lit(0)
     if rows <= b:

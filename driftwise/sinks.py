@@ -63,24 +63,49 @@ def read_table(spark, name: str, base_path: str) -> DataFrame:
     return spark.read.parquet(f"{base_path.rstrip('/')}/{name}").drop(BATCH)
 
 
-def detect_table(spark, base_path: str, detect: Callable[[DataFrame], DataFrame | None]) -> None:
-    """Run detectors over the whole clean table and replace the pattern table. Pattern
-    ids depend on the events only, so a rerun writes the same rows."""
-    found = detect(read_table(spark, "clean_events", base_path).drop("event_date"))
-    if found is not None:
-        write_table(found, "pattern_events", base_path, mode="overwrite")
-
-
-def batch_router(base_path: str, clean: Callable[[DataFrame], DataFrame] | None = None,
-                 detect: Callable[[DataFrame], DataFrame | None] | None = None, detect_every: int = 1,
-                 files_per_day: int = 1):
+def _exists(spark, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_states(spark, base_path: str, turn: int) -> dict[str, dict[str, DataFrame]]:
+    """The detectors' states after the turn before this one (none before the first)."""
+    top = f"{base_path.rstrip('/')}/detector_state/{(turn - 1) % 2}"
+    if turn == 0 or not _exists(spark, top):
+        return {}
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda p: [x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()]
+    out = {}
+    for det in names(path):
+        inner = spark._jvm.org.apache.hadoop.fs.Path(f"{top}/{det}")
+        out[det] = {series: spark.read.parquet(f"{top}/{det}/{series}") for series in names(inner)}
+    return out
+
+
+def detect_batch(rows: DataFrame, base_path: str, engine, batch_id: int, turn: int) -> None:
+    """Run the detectors over the rows of a batch, on from the state of the turn before, and
+    write the patterns under the batch's id and the new state. Two states are held by turns,
+    so a retried batch reads what it read at first and replaces what it wrote."""
+    spark = rows.sparkSession
+    found, states = engine.step(rows, read_states(spark, base_path, turn))
+    if found is None:
+        return
+    write_table(found, "pattern_events", base_path, batch_id=batch_id)
+    for det, series in states.items():
+        for name, df in series.items():
+            df.write.mode("overwrite").parquet(f"{base_path.rstrip('/')}/detector_state/{turn % 2}/{det}/{name}")
+
+
+def batch_router(base_path: str, clean: Callable[[DataFrame], DataFrame] | None = None, engine=None,
+                 detect_every: int = 1, files_per_day: int = 1):
     """``foreachBatch`` function: raw -> clean -> patterns per micro-batch.
 
     The batch and its cleaned form are computed once, and both tables are written under
-    the batch's id, so a batch that is retried replaces itself. Detectors need rows from
-    before the batch (windows, grace periods, blocks, clusters): every ``detect_every``
-    batches they run over the clean table, so patterns are those of one run over all
-    events, however they were cut into batches."""
+    the batch's id, so a batch that is retried replaces itself. The detectors of ``engine``
+    go on from their state: every ``detect_every`` batches they read the clean rows of these
+    batches and nothing older, and patterns are those of one run over all events in order,
+    however they were cut into batches."""
 
     def route(batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist()
@@ -88,8 +113,12 @@ def batch_router(base_path: str, clean: Callable[[DataFrame], DataFrame] | None
         try:
             write_table(batch, "raw_events", base_path, batch_id=epoch_id, files_per_day=files_per_day)
             write_table(cleaned, "clean_events", base_path, batch_id=epoch_id, files_per_day=files_per_day)
-            if detect is not None and epoch_id % detect_every == detect_every - 1:
-                detect_table(batch.sparkSession, base_path, detect)
+            if engine is not None and epoch_id % detect_every == detect_every - 1:
+                rows = cleaned
+                if detect_every > 1:
+                    table = batch.sparkSession.read.parquet(f"{base_path.rstrip('/')}/clean_events")
+                    rows = table.filter(F.col(BATCH).between(epoch_id - detect_every + 1, epoch_id)).drop(BATCH, "event_date")
+                detect_batch(rows, base_path, engine, epoch_id, epoch_id // detect_every)
         finally:
             cleaned.unpersist()
             batch.unpersist()
@@ -97,10 +126,10 @@ def batch_router(base_path: str, clean: Callable[[DataFrame], DataFrame] | None
     return route
 
 
-def start_sinks(stream_df: DataFrame, base_path: str, checkpoint: str, clean=None, detect=None,
+def start_sinks(stream_df: DataFrame, base_path: str, checkpoint: str, clean=None, engine=None,
                 trigger: dict | None = None, detect_every: int = 1, files_per_day: int = 1):
     """Start the raw / clean / pattern stream (one query, foreachBatch router)."""
-    w = stream_df.writeStream.foreachBatch(batch_router(base_path, clean, detect, detect_every, files_per_day)).option(
+    w = stream_df.writeStream.foreachBatch(batch_router(base_path, clean, engine, detect_every, files_per_day)).option(
         "checkpointLocation", checkpoint)
     if trigger:
         w = w.trigger(**trigger)

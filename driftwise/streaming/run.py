@@ -23,9 +23,8 @@ def stream_bars(df: DataFrame, window: str = "1m", watermark: str = "0 seconds",
 def run_stages(stream_df: DataFrame, base_path: str, checkpoint: str, pipeline=None, engine=None,
                trigger: dict | None = None, detect_every: int = 1, files_per_day: int = 1):
     """One streaming query writing raw and clean (``pipeline.transform``) tables per
-    micro-batch, and patterns (``engine.detect``) over the clean table so far, every
-    ``detect_every`` batches. A retried batch replaces itself."""
+    micro-batch, and patterns (``engine.step``), every ``detect_every`` batches over what
+    came since. A retried batch replaces itself."""
     clean = pipeline.transform if pipeline is not None else None
-    detect = engine.detect if engine is not None else None
-    return start_sinks(stream_df, base_path, checkpoint, clean=clean, detect=detect, trigger=trigger,
+    return start_sinks(stream_df, base_path, checkpoint, clean=clean, engine=engine, trigger=trigger,
                        detect_every=detect_every, files_per_day=files_per_day)

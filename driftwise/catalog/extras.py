@@ -11,7 +11,8 @@ from ..extras.quality import (business_days, feedback_by_pattern, feedback_stats
 from ..extras.timeseries import (align_on_ts, indicators, lagged_features, microstructure, pattern_context,
                                  realised_volatility, return_stats, rollup_bars, rolling_stats, sessions, sliding_counts, trend)
 from ..detectors.drift import drift_flags
-from ..extras.screening import (POISSON1_CDF, agreement, bootstrap_mean, ddm_flags, factor_screen, obv, replay_window,
+from ..extras.screening import (POISSON1_CDF, agreement, bootstrap_mean, bootstrap_return, ddm_flags, ddm_restart, factor_screen,
+                                factor_select, obv, replay_window,
                                 retain)
 from ..operators.bars import aggregate, flatten_bars
 from ..operators.features import ema_weights
@@ -170,6 +171,29 @@ def q_feedback_by_pattern(spark, sf):
     return finish(feedback_by_pattern(acc, pats))
 
 
+# Deviations for a drift in the restarted detector.
+DDM_DRIFT = 2.5
+
+
+def ddm_sql(key: str) -> str:
+    """DDM with restart, row by row, as a recursion per key."""
+    return f"""ddm_e AS (SELECT event_id, {key} AS k, "timestamp", row_number() OVER (PARTITION BY {key} ORDER BY "timestamp", event_id) AS i,
+  (price > 100)::BIGINT AS error FROM ev WHERE price IS NOT NULL),
+ddm_r AS (
+  SELECT k, 0::BIGINT AS i, 0::BIGINT AS n, 0::BIGINT AS e, NULL::STRUCT(v DOUBLE, p DOUBLE, s DOUBLE) AS low, 'normal' AS level, -1 AS segment,
+         true AS fresh FROM ddm_e WHERE i = 1
+  UNION ALL
+  SELECT k, i, n, e, low, level, segment, level = 'drift' AS fresh FROM (
+    SELECT *, CASE WHEN n >= 30 AND v > low.p + {DDM_DRIFT} * low.s THEN 'drift' WHEN n >= 30 AND v > low.p + 2.0 * low.s THEN 'warning'
+                   ELSE 'normal' END AS level FROM (
+      SELECT k, i, n, e, segment, v, CASE WHEN n >= 30 AND (low IS NULL OR v < low.v) THEN {{'v': v, 'p': p, 's': v - p}} ELSE low END AS low FROM (
+        SELECT *, p + sqrt(p * (1 - p) / n) AS v FROM (
+          SELECT *, e / n::DOUBLE AS p FROM (
+            SELECT x.k, x.i, CASE WHEN fresh THEN 1 ELSE n + 1 END AS n, CASE WHEN fresh THEN 0 ELSE e END + x.error AS e,
+                   CASE WHEN fresh THEN NULL ELSE low END AS low, segment + fresh::INT AS segment
+            FROM ddm_r AS r JOIN ddm_e AS x ON x.k = r.k AND x.i = r.i + 1))))))"""
+
+
 def q_ddm_levels(spark, sf):
     """Error = a price above 100 in the shifted series, per event type."""
     ev = events_shifted(spark, sf).withColumn("error", (F.col("payload.price") > 100).cast("int"))
@@ -177,6 +201,36 @@ def q_ddm_levels(spark, sf):
     return finish(out.select("event_id", "type", "error_rate", "level"))
 
 
+def q_ddm_restart(spark, sf):
+    """The same errors, with a fresh start behind every drift."""
+    ev = events_shifted(spark, sf).withColumn("error", (F.col("payload.price") > 100).cast("int"))
+    out = ddm_restart(ev, "error", key=("type",), drift=DDM_DRIFT)
+    return finish(out.select("event_id", "type", "error_rate", "level", "segment"))
+
+
+def q_two_detectors(spark, sf):
+    """Drift of one series by two detectors, adjacent frames and DDM with restart, within a day."""
+    ev = events_shifted(spark, sf)
+    a = drift_flags(ev, "price", DRIFT_FRAME, DRIFT_DELTA, DRIFT_GRACE).filter("drift")
+    errors = ev.withColumn("error", (F.col("payload.price") > 100).cast("int"))
+    b = ddm_restart(errors, "error", key=("source",), drift=DDM_DRIFT).filter("level = 'drift'")
+    return finish(agreement(a, b, 86400))
+
+
+def q_factor_select(spark, sf):
+    """Four factors of a supplier's day, of which those like a better one go."""
+    d = supplier_day(spark, sf)
+    nxt = Window.partitionBy("symbol").orderBy("ts")
+    d = d.withColumn("forward", F.lead("revenue").over(nxt)).withColumn("unit", F.col("revenue") / F.col("qty")).withColumn(
+        "root", F.sqrt("qty"))
+    return finish(factor_select(d, ["revenue", "qty", "unit", "root"], "forward").select("factor", "ic", "kept", "rival"))
+
+
+def q_bootstrap_return(spark, sf):
+    ev = flat_events(spark, sf).withColumn("price", F.col("price") + 100)
+    return finish(bootstrap_return(ev, "price", ["type"], ["timestamp", "event_id"], block=50, draws=40))
+
+
 def q_detector_agreement(spark, sf):
     """Drift of the shifted price against drift of its quantity, within an hour."""
     ev = events_shifted(spark, sf)
@@ -275,6 +329,10 @@ QUERIES = {
     "feedback_by_pattern": q_feedback_by_pattern,
     "ddm_levels": q_ddm_levels,
     "detector_agreement": q_detector_agreement,
+    "ddm_restart": q_ddm_restart,
+    "two_detectors": q_two_detectors,
+    "factor_select": q_factor_select,
+    "bootstrap_return": q_bootstrap_return,
     "factor_screen": q_factor_screen,
     "bootstrap_mean": q_bootstrap_mean,
     "retention": q_retention,
@@ -455,6 +513,41 @@ m AS (SELECT *, min(CASE WHEN n >= 30 THEN (p + s, p, s) END) OVER ({_TW}) AS lo
 SELECT event_id, type, {r6('p')} AS error_rate,
        CASE WHEN n >= 30 AND p + s > low[2] + 3.0 * low[3] THEN 'drift' WHEN n >= 30 AND p + s > low[2] + 2.0 * low[3] THEN 'warning'
             ELSE 'normal' END AS level FROM m""",
+    "ddm_restart": f"""WITH RECURSIVE {EVS},
+{ddm_sql('type')}
+SELECT event_id, x.k AS type, {r6('e / n::DOUBLE')} AS error_rate, level, segment FROM ddm_r JOIN ddm_e AS x USING (k, i)""",
+    "two_detectors": f"""WITH RECURSIVE {EVS},
+{ddm_sql('source')},
+a AS (SELECT * FROM ({drift_body('price')}) WHERE drift),
+b AS (SELECT x.* FROM ddm_r JOIN ddm_e AS x USING (k, i) WHERE level = 'drift'),
+m AS (SELECT count(*) AS n FROM a WHERE EXISTS (SELECT 1 FROM b WHERE abs(epoch_us(a."timestamp") - epoch_us(b."timestamp")) <= 86400000000))
+SELECT 'events' AS source, (SELECT count(*) FROM a) AS a, (SELECT count(*) FROM b) AS b, (SELECT n FROM m) AS matched,
+       {r6('(SELECT n FROM m) / (SELECT count(*) FROM a)')} AS agreement""",
+    "factor_select": f"""WITH {_SD},
+f AS (SELECT ts, revenue, qty, revenue / qty AS unit, sqrt(qty) AS root, lead(revenue) OVER (PARTITION BY symbol ORDER BY ts) AS fwd FROM sd),
+l AS ({" UNION ALL ".join(f"SELECT ts, '{c}' AS factor, {c} AS x, fwd FROM f" for c in ("revenue", "qty", "unit", "root"))}),
+r AS (SELECT *, rank() OVER (PARTITION BY factor, ts ORDER BY x) AS ra, rank() OVER (PARTITION BY factor, ts ORDER BY fwd) AS rb
+      FROM l WHERE x IS NOT NULL AND fwd IS NOT NULL),
+i AS (SELECT factor, ts, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) END AS ic FROM r GROUP BY ALL),
+o AS (SELECT factor, ic, row_number() OVER (ORDER BY abs(ic) DESC, factor) AS o FROM (SELECT factor, avg(ic) AS ic FROM i GROUP BY factor)),
+c AS ({" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS c FROM f" for a in ("revenue", "qty", "unit", "root") for b in ("revenue", "qty", "unit", "root") if a != b)}),
+k1 AS (SELECT factor, o, NULL::VARCHAR AS rival FROM o WHERE o = 1),
+k2 AS (SELECT * FROM k1 UNION ALL SELECT factor, o, (SELECT arg_min(k.factor, k.o) FROM k1 AS k JOIN c ON c.a = k.factor AND c.b = o.factor
+       WHERE k.rival IS NULL AND c.c > 0.7) FROM o WHERE o = 2),
+k3 AS (SELECT * FROM k2 UNION ALL SELECT factor, o, (SELECT arg_min(k.factor, k.o) FROM k2 AS k JOIN c ON c.a = k.factor AND c.b = o.factor
+       WHERE k.rival IS NULL AND c.c > 0.7) FROM o WHERE o = 3),
+k4 AS (SELECT * FROM k3 UNION ALL SELECT factor, o, (SELECT arg_min(k.factor, k.o) FROM k3 AS k JOIN c ON c.a = k.factor AND c.b = o.factor
+       WHERE k.rival IS NULL AND c.c > 0.7) FROM o WHERE o = 4)
+SELECT factor, {r6('ic')} AS ic, rival IS NULL AS kept, rival FROM k4 JOIN o USING (factor)""",
+    "bootstrap_return": f"""WITH {EV},
+g AS (SELECT type, "timestamp", event_id, ln((price + 100) / lag(price + 100) OVER ({_TW})) AS r FROM ev),
+x AS (SELECT *, row_number() OVER ({_TW}) AS i, sum(r) OVER ({_TW} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS b FROM g WHERE r IS NOT NULL),
+t AS (SELECT type, count(*) AS n, sum(r) AS s FROM x GROUP BY type),
+d AS (SELECT type, n, n // 50 AS m, k, unnest(range(1, n // 50 + 1)) AS j FROM t, (SELECT unnest(range(1, 41)) AS k)),
+p AS (SELECT *, ('0x' || substr(md5(type || '|' || k || '|' || j), 1, 13))::BIGINT % (n - 49) AS at FROM d),
+u AS (SELECT p.type, k, exp(sum(b) * any_value(n) / (any_value(m) * 50)) - 1 AS v FROM p JOIN x ON x.type = p.type AND x.i - 50 = p.at GROUP BY ALL)
+SELECT t.type, n, {r6('exp(any_value(s)) - 1')} AS total_return, {r6('quantile_cont(v, 0.025)')} AS low, {r6('quantile_cont(v, 0.975)')} AS high
+FROM t JOIN u ON u.type = t.type GROUP BY t.type, n""",
     "detector_agreement": f"""WITH a AS (SELECT * FROM ({drift_body('price')}) WHERE drift), b AS (SELECT * FROM ({drift_body('quantity')}) WHERE drift),
 m AS (SELECT source, count(*) AS n FROM a WHERE EXISTS (SELECT 1 FROM b WHERE abs(epoch_us(a."timestamp") - epoch_us(b."timestamp")) <= 3600000000)
       GROUP BY source)

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.rolling import Frame, over_rows
+from ..plans.rolling import Frame, materialize, null_safe_join, over_rows
 from ..sources.replay import replay
 from .timeseries import running
 
@@ -37,6 +37,45 @@ def ddm_flags(df: DataFrame, error: str, key: Sequence[str] = ("source",), order
     return out.withColumn("level", level).drop("_one", "_e", "_n", "_s", "_sd", "_best", "_low")
 
 
+def ddm_restart(df: DataFrame, error: str, key: Sequence[str] = ("source",), order: Sequence[str] = ORDER,
+                warning: float = 2.0, drift: float = 3.0, min_rows: int = 30) -> DataFrame:
+    """``ddm_flags`` as published: after a drift everything starts anew behind that row, so a
+    key may drift more than once. Adds ``error_rate`` (since the start), ``level`` and
+    ``segment`` (drifts so far).
+
+    Rows are numbered and errors summed up once; a round computes the open segments of
+    all keys together from those sums (running minima are split over blocks), finds each
+    one's first drift by an aggregate and starts the next segment behind it, until no
+    key drifts. A round reads the rows behind the last drifts, so there are as many rounds as
+    the key with the most drifts has, and one."""
+    key, order = list(key), list(order)
+    rows = df.filter(F.col(error).isNotNull()).withColumn("_one", F.lit(1).cast("long")).withColumn("_e", F.col(error).cast("long"))
+    left = materialize(running(running(rows, "_one", key, order, "sum", "_n"), "_e", key, order, "sum", "_s"))
+    left = left.withColumn("_n0", F.lit(0).cast("long")).withColumn("_s0", F.lit(0).cast("long"))
+    done, segment = None, 0
+    while True:
+        n = F.col("_n") - F.col("_n0")
+        p = (F.col("_s") - F.col("_s0")) / n
+        cur = left.withColumn("error_rate", p).withColumn("_sd", F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n))
+        full = n >= min_rows
+        best = F.when(full, F.struct((F.col("error_rate") + F.col("_sd")).alias("v"), F.col("error_rate").alias("p"), F.col("_sd").alias("s")))
+        cur = running(cur.withColumn("_best", best), "_best", key, order, "min", "_low")
+        now = F.col("error_rate") + F.col("_sd")
+        level = F.when(full & (now > F.col("_low.p") + drift * F.col("_low.s")), "drift").when(
+            full & (now > F.col("_low.p") + warning * F.col("_low.s")), "warning").otherwise("normal")
+        cur = materialize(cur.withColumn("level", level).drop("_best", "_low", "_sd"))
+        first = cur.filter(F.col("level") == "drift").groupBy(*key).agg(F.min_by("_s", "_n").alias("_cut_s"), F.min("_n").alias("_cut"))
+        met = materialize(null_safe_join(cur, first, key, how="left"))
+        kept = met.filter(F.col("_cut").isNull() | (F.col("_n") <= F.col("_cut"))).withColumn("segment", F.lit(segment))
+        kept = kept.select(*df.columns, "error_rate", "level", "segment")
+        done = kept if done is None else done.unionByName(kept)
+        left = met.filter(F.col("_n") > F.col("_cut")).withColumn("_n0", F.col("_cut")).withColumn("_s0", F.col("_cut_s")).drop(
+            "_cut", "_cut_s", "error_rate", "level")
+        segment += 1
+        if not left.limit(1).count():
+            return done
+
+
 def agreement(a: DataFrame, b: DataFrame, tolerance_s: int, key: str = "source") -> DataFrame:
     """Per key: patterns of ``a``, patterns of ``b``, how many of ``a`` have one of ``b``
     within ``tolerance_s`` seconds, and their share. Times are joined by buckets of the
@@ -85,6 +124,59 @@ def factor_screen(df: DataFrame, factors: Sequence[str], forward: str, ts: str =
     return out
 
 
+def factor_correlations(df: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """``a, b, corr`` for every pair of factors (a before b), over the rows that have both:
+    all pairs in one aggregate, one scan whatever the number of factors."""
+    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1:]]
+    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)])
+    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def factor_select(df: DataFrame, factors: Sequence[str], forward: str, most: float = 0.7, ts: str = "ts") -> DataFrame:
+    """``factor_screen`` with ``kept`` and ``rival``: factors in the order of the IC's size (no IC
+    last, ties by name) are kept unless their correlation with one kept before exceeds
+    ``most`` in size; the first such is the rival. The driver sees a row a factor and pair."""
+    screen = factor_screen(df, factors, forward, ts).collect()
+    size = {frozenset((r.a, r.b)): abs(r["corr"]) for r in factor_correlations(df, factors).collect() if r["corr"] is not None}
+    order = sorted(screen, key=lambda r: (r.ic is None, -abs(r.ic or 0.0), r.factor))
+    kept, rival = [], {}
+    for r in order:
+        rival[r.factor] = next((k for k in kept if size.get(frozenset((k, r.factor)), 0.0) > most), None)
+        if rival[r.factor] is None:
+            kept.append(r.factor)
+    rows = [(r.factor, r.ic, r.ic_ir, r.missing, r.points, rival[r.factor] is None, rival[r.factor]) for r in order]
+    return df.sparkSession.createDataFrame(rows, "factor string, ic double, ic_ir double, missing double, points long, kept boolean, rival string")
+
+
+def bootstrap_return(df: DataFrame, price: str, key: Sequence[str], order: Sequence[str], block: int = 20, draws: int = 200,
+                     level: float = 0.95) -> DataFrame:
+    """Moving-block bootstrap of a total return: per key ``n`` (returns), ``total_return``,
+    ``low`` and ``high``.
+
+    Log returns from row to row are summed over every run of ``block`` rows (a row frame);
+    a replicate adds up floor(n / block) runs whose starts come from a hash of key, replicate
+    and number, scaled to n returns. Runs meet their draws by an equi-join on key and start, so
+    nothing is copied per draw but the drawn runs. Keys with fewer returns than a block have
+    no interval."""
+    key, order = list(key), list(order)
+    logs = over_rows(df, key, order, 1, lambda fr: [F.log(F.try_divide(F.col(price), F.lag(price, 1).over(fr.w))).alias("_r")])
+    logs = materialize(logs.filter(F.col("_r").isNotNull()).select(*key, *order, "_r"))
+    runs = over_rows(logs, key, order, block - 1, lambda fr: [F.sum("_r").over(fr.rows(block)).alias("_b"), (fr.rn - block).alias("_at")])
+    total = logs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("_r").alias("_sum"))
+    many = total.filter(F.col("n") >= block).withColumn("_m", F.floor(F.col("n") / block).cast("int"))
+    named = F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.col("_d").cast("string"), F.col("_i").cast("string"))
+    start = F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("long") % (F.col("n") - block + 1)
+    drawn = many.select(*key, "n", "_m", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_d"))
+    drawn = drawn.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_m")))).withColumn("_at", start)
+    sums = null_safe_join(drawn, runs.select(*key, "_at", "_b"), [*key, "_at"]).groupBy(*key, "_d").agg(
+        (F.exp(F.sum("_b") * F.max("n") / (F.max("_m") * block)) - 1).alias("_t"))
+    tail = (1 - level) / 2
+    interval = sums.groupBy(*key).agg(F.percentile("_t", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
+    out = null_safe_join(total, interval, key, how="left")
+    return out.select(*key, "n", (F.exp("_sum") - 1).alias("total_return"), F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+
+
 def bootstrap_mean(df: DataFrame, col: str, ident: str, key: Sequence[str], draws: int = 200, level: float = 0.95
                    ) -> DataFrame:
     """Poisson bootstrap of a mean: in each of ``draws`` replicates a row counts as often

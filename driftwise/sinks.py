@@ -83,6 +83,22 @@ def read_states(spark, base_path: str, turn: int) -> dict[str, dict[str, DataFra
     return out
 
 
+def expire(spark, base_path: str, name: str, days: int, now) -> list[str]:
+    """Drop the day partitions of a table that lie ``days`` days or more before the day of
+    ``now``; returns them. Whole folders go and no live file is touched, so a running stream
+    and readers of live days are not disturbed, and a second run finds nothing."""
+    first = spark.range(1).select(F.date_sub(F.to_date(F.lit(now)), days - 1).cast("string")).first()[0]
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{base_path.rstrip('/')}/{name}")
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for pattern in ("event_date=*", f"{BATCH}=*/event_date=*"):
+        for found in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(top, pattern)) or []:
+            day = found.getPath().getName().split("=", 1)[1]
+            if day < first and day != "__HIVE_DEFAULT_PARTITION__" and fs.delete(found.getPath(), True):
+                gone.append(f"{found.getPath().getParent().getName()}/{found.getPath().getName()}")
+    return sorted(gone)
+
+
 def detect_batch(rows: DataFrame, base_path: str, engine, batch_id: int, turn: int) -> None:
     """Run the detectors over the rows of a batch, on from the state of the turn before, and
     write the patterns under the batch's id and the new state. Two states are held by turns,

@@ -77,6 +77,36 @@ def read_json_events(spark: SparkSession, path: str, source: str, *, timestamp_f
     return _json_envelope(raw, source, timestamp_field, timestamp_format, event_type)
 
 
+def rejected_json_items(spark: SparkSession, path: str, *, timestamp_field: str = "timestamp",
+                        timestamp_format: str = DEFAULT_TS_FORMAT) -> DataFrame:
+    """What ``read_json_events`` leaves out: ``file, item`` (place in the file, null for a
+    whole file), ``reason`` and ``raw``. Reasons: ``bad_json`` (the file's text), ``empty``
+    (no items), ``bad_timestamp``."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("raw"))
+    files = files.withColumn("_items", _json_items(F.col("raw")))
+    whole = F.when(F.expr("try_parse_json(raw)").isNull(), "bad_json").when(F.size("_items") == 0, "empty")
+    bad = files.withColumn("reason", whole).filter(F.col("reason").isNotNull()).select(
+        "file", F.lit(None).cast("int").alias("item"), "reason", "raw")
+    items = files.filter(whole.isNull()).select("file", F.posexplode("_items").alias("item", "raw"))
+    text = F.expr(f"try_variant_get(try_parse_json(raw), '$.{timestamp_field}', 'string')")
+    kind = F.expr(f"schema_of_variant(variant_get(try_parse_json(raw), '$.{timestamp_field}'))")
+    late = items.filter((kind == "STRING") & F.try_to_timestamp(text, F.lit(strftime_to_spark(timestamp_format))).isNull())
+    return bad.unionByName(late.select("file", "item", F.lit("bad_timestamp").alias("reason"), "raw"))
+
+
+def rejected_csv_rows(spark: SparkSession, path: str, *, sep: str = ",", timestamp_field: str = "timestamp",
+                      timestamp_format: str = DEFAULT_TS_FORMAT) -> DataFrame:
+    """What ``read_csv_events`` leaves out of files with a header: ``file, reason, raw`` (the
+    row as JSON). The reason is ``no_timestamp`` or ``bad_timestamp``."""
+    raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False)
+    if timestamp_field not in raw.columns:  # times of processing are taken then
+        return raw.limit(0).select(F.lit("").alias("file"), F.lit("").alias("reason"), F.lit("").alias("raw"))
+    ts = F.try_to_timestamp(F.col(timestamp_field), F.lit(strftime_to_spark(timestamp_format)))
+    reason = F.when(F.col(timestamp_field).isNull(), "no_timestamp").otherwise("bad_timestamp")
+    return raw.filter(ts.isNull()).select(F.input_file_name().alias("file"), reason.alias("reason"),
+                                          F.to_json(F.struct(*[F.col(c) for c in raw.columns])).alias("raw"))
+
+
 def stream_files(spark: SparkSession, path: str, fmt: str, source: str, *, schema=None,
                  files_per_trigger: int | None = None, header: bool = True, sep: str = ",",
                  timestamp_field: str = "timestamp", timestamp_format: str = DEFAULT_TS_FORMAT,

@@ -4,15 +4,16 @@ counted exactly in a second pass, cut at their weakest place and ranked per lang
 Pass 1, by lengths (words; two words; three to ``max_words``). A task cuts texts into pieces
 and words on byte arrays, gives every n-gram of a piece a 64-bit hash and adds up equal
 ones. Hash ranges are the partitions: per partition the tasks' counts are merged into one
-Misra-Gries summary. Its capacity is mass / threshold + 1 (mass: all counts that reach the
-partition, known before the merge), so what it subtracts in all stays under the threshold
-and every n-gram with ``min_count`` occurrences survives. Survivors are marked in a bitmap
+Misra-Gries summary with a capacity of ``SPARE`` * mass / threshold + 1. What it subtracts
+in all stays under half the threshold, and an n-gram survives if its count and what was
+subtracted reach the threshold: every n-gram with ``min_count`` occurrences does. Hashes
+travel as their upper 48 bits. Survivors are marked in a bitmap
 of 2^20 to 2^30 bits, which the next length and the second pass use: an n-gram whose
 parts are not marked cannot be frequent. A collision or a rare survivor marks too much and
 costs time only.
 
 Pass 2 counts the marked n-grams exactly, by their words: a task adds up equal 128-bit
-hashes of a slice of texts and writes each n-gram out, Spark adds up equal n-grams.
+hashes and writes each n-gram out once, Spark adds up equal n-grams.
 
 Scale: shuffled are packed pairs of hash and count after adding up in the task, so an
 n-gram with a third of all occurrences is a pair a task. A partition's summary holds at
@@ -30,7 +31,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,28 +42,40 @@ from pyspark.sql import functions as F
 from .common import written
 
 MAX_WORDS, MIN_COUNT, TOP, INSIDE = 5, 100, 2000, 100
-SLICE = 1 << 20  # bytes of text handled at once
-ROWS = 1024  # documents joined to one buffer
-FLUSH = 4_000_000  # n-gram hashes a task adds up before it hands them on
+SLICE = 1 << 19  # bytes of text handled at once
+ROWS = 256  # documents joined to one buffer
+FLUSH = 1_000_000  # n-gram hashes a summary adds up at once
+FLUSH_LOCAL = 3_000_000  # n-gram hashes a task adds up before it hands them on
+TALLY = 200_000  # distinct n-grams a task of the second pass holds before it hands them on
+PACK = 512  # hashes of a row, so that a batch of rows stays small
+SPARE = 4  # capacity as a multiple of mass / threshold
 PART_MASS = 1 << 25  # n-gram occurrences meant for a hash partition
 SALTS = 64  # groups in which a language's candidates are ranked first
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
-PACKED = "part int, kind int, mass bigint, hashes binary, counts binary"
 
 
 # -- words and n-grams of a slice of text ----------------------------------------------
 
-@lru_cache(maxsize=4)
-def _base(which: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random odd number per byte value, and the powers of an odd base modulo 2^64 and
-    their inverses: a word's hash is a difference of running sums, moved to power 0."""
-    rng = np.random.RandomState(97 + which)
-    table = rng.randint(0, 2**63, 256).astype("u8") * np.uint64(2) + np.uint64(1)
-    base = int(rng.randint(2**40, 2**60)) * 8 + 5
-    up, down = np.full(size, base, "u8"), np.full(size, pow(base, -1, 2**64), "u8")
-    up[0] = down[0] = 1
-    return table, np.cumprod(up), np.cumprod(down)
+class Hashing:
+    """Two hash functions of words; a task makes one, so its tables are neither sent nor
+    kept. A function has a random odd number per byte value and the powers of an odd
+    base modulo 2^64 and their inverses: a word's hash is a difference of running sums, moved
+    to power 0."""
+
+    def __init__(self) -> None:
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def get(self, which: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if which not in self.tables or len(self.tables[which][1]) < size:
+            size = max(size, SLICE)
+            rng = np.random.RandomState(97 + which)
+            table = rng.randint(0, 2**63, 256).astype("u8") * np.uint64(2) + np.uint64(1)
+            base = int(rng.randint(2**40, 2**60)) * 8 + 5
+            up, down = np.full(size, base, "u8"), np.full(size, pow(base, -1, 2**64), "u8")
+            up[0] = down[0] = 1
+            self.tables[which] = table, np.cumprod(up), np.cumprod(down)
+        return self.tables[which]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -107,21 +119,19 @@ def slices(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
 class Grams:
     """Words of a slice with the hashes of its n-grams; ``which`` names the hash function."""
 
-    def __init__(self, lang: str, text: np.ndarray):
+    def __init__(self, lang: str, text: np.ndarray, hashing: Hashing):
         kind = _kinds()[text]
         edge = np.diff(np.concatenate([[0], (kind == 0).view("i1"), [0]]))
         self.text, self.starts, self.ends = text, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.piece = np.searchsorted(np.flatnonzero(kind == 2), self.starts)
+        self.hashing = hashing
         self.seed = np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
 
     def __len__(self) -> int:
         return len(self.starts)
 
     def words(self, which: int = 0) -> np.ndarray:
-        size = SLICE
-        while size < len(self.text):
-            size *= 2
-        table, up, down = _base(which, size)
+        table, up, down = self.hashing.get(which, len(self.text))
         run = np.zeros(len(self.text) + 1, "u8")
         np.cumsum(table[self.text] * up[:len(self.text)], out=run[1:])
         return _mixed((run[self.ends] - run[self.starts]) * down[self.starts] + self.seed)
@@ -138,8 +148,15 @@ class Grams:
             out.append(_mixed(out[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + w[n - 1:]) if len(w) >= n else w[:0])
         return out
 
-    def phrase(self, i: int, n: int) -> bytes:
-        return b" ".join(self.text[s:e].tobytes() for s, e in zip(self.starts[i:i + n], self.ends[i:i + n], strict=True))
+    def phrases(self, first: np.ndarray, n: int) -> list[bytes]:
+        """The n words from each of these words on, one space between them."""
+        starts, ends = self.starts[first], self.ends[first + n - 1]
+        plain = np.ones(len(first), bool)
+        for k in range(n - 1):
+            gap = self.ends[first + k]
+            plain &= (self.starts[first + k + 1] == gap + 1) & (self.text[gap] == 32)
+        whole = self.text.tobytes()
+        return [whole[s:e] if p else b" ".join(whole[s:e].split()) for s, e, p in zip(starts.tolist(), ends.tolist(), plain.tolist(), strict=True)]
 
 
 def marked(bitmap: bytes, h: np.ndarray) -> np.ndarray:
@@ -177,12 +194,16 @@ def added(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class MisraGries:
-    """Mergeable summary: at most ``capacity`` hashes with counts. Every merge subtracts
-    the largest count that does not fit from all counts, so a count falls short by at most
-    mass / (capacity + 1)."""
-
-    def __init__(self, capacity: int):
-        self.capacity = capacity
+    """Mergeable summary of hashes with counts. Its capacity is ``SPARE`` * mass / threshold
+    + 1, mass being all counts merged so far; a merge that exceeds it subtracts the largest
+    count that does not fit from all counts. ``lost`` is what was subtracted in all: no count
+    falls short by more, and it is held under half the threshold (a merge that would exceed
+    that, as capacities were smaller before, keeps all its counts and the next has more
+    room)."""
+
+    def __init__(self, threshold: int, spare: int = SPARE):
+        self.threshold, self.spare = threshold, spare
+        self.mass, self.lost, self.capacity = 0, 0, 1
         self.hashes, self.counts = np.zeros(0, "u8"), np.zeros(0, "i8")
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self.n_waiting = 0
@@ -194,76 +215,92 @@ class MisraGries:
             self.settle()
 
     def settle(self) -> None:
+        self.mass += sum(int(c.sum()) for _, c in self.waiting)
         h = np.concatenate([self.hashes, *[w[0] for w in self.waiting]])
         c = np.concatenate([self.counts, *[w[1] for w in self.waiting]])
         self.waiting, self.n_waiting = [], 0
         h, c = added(h, c)
+        self.capacity = max(self.capacity, self.spare * self.mass // self.threshold + 1)
         if len(h) > self.capacity:
-            c = c - np.partition(c, len(c) - self.capacity - 1)[len(c) - self.capacity - 1]
-            h, c = h[c > 0], c[c > 0]
+            least = int(np.partition(c, len(c) - self.capacity - 1)[len(c) - self.capacity - 1])
+            if 2 * (self.lost + least) < self.threshold:
+                self.lost += least
+                h, c = h[c > least], c[c > least] - least
+            else:
+                self.capacity = 2 * len(h)
         self.hashes, self.counts = h, c
 
+    def reaching(self, count: int) -> np.ndarray:
+        """The hashes that may have this count: all that have it, none that lack more than
+        what was lost."""
+        self.settle()
+        return self.hashes[self.counts + self.lost >= count]
+
+
+def packed(h: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash."""
+    return h.astype(">u8").view("u1").reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), "u1")
+    out[:, :6] = np.frombuffer(raw, "u1").reshape(-1, 6)
+    return out.view(">u8").ravel().astype("u8")
+
 
 def local_counts(texts: DataFrame, lengths: Sequence[int], maps: dict, log_parts: int) -> DataFrame:
     """Packed hashes and counts of the possible n-grams of these lengths, per task and hash
-    partition; ``mass`` is the sum of a row's counts."""
+    partition."""
     maps = dict(maps)
     limits = np.arange(1 << log_parts, dtype="u8") << np.uint64(64 - log_parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmaps = {n: m.value for n, m in maps.items()}
+        bitmaps, hashing = {n: m.value for n, m in maps.items()}, Hashing()
 
         def flush(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             h, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, "u8"), np.zeros(0, "i8"))
-            at = np.append(np.searchsorted(h, limits), len(h))
-            held = np.flatnonzero(np.diff(at))
-            c = c.astype("i8")
-            for some in (held[i:i + 256] for i in range(0, len(held), 256)):
-                cut = [slice(at[p], at[p + 1]) for p in some]
+            at = np.append(np.searchsorted(h, limits), len(h)).tolist()
+            cut = [(p, slice(i, min(i + PACK, at[p + 1]))) for p in range(len(limits)) for i in range(at[p], at[p + 1], PACK)]
+            for some in (cut[i:i + 256] for i in range(0, len(cut), 256)):
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(some.astype("i4")), pa.array(np.ones(len(some), "i4")), pa.array([int(c[s].sum()) for s in cut]),
-                    pa.array([h[s].tobytes() for s in cut], pa.binary()), pa.array([c[s].astype("u4").tobytes() for s in cut], pa.binary())],
-                    names=["part", "kind", "mass", "hashes", "counts"])
+                    pa.array([p for p, _ in some], pa.int32()), pa.array([packed(h[s]) for _, s in some], pa.binary()),
+                    pa.array([c[s].astype("u4").tobytes() for _, s in some], pa.binary())], names=["part", "hashes", "counts"])
 
         found: list[np.ndarray] = []
         for batch in batches:
             for lang, text in slices(batch):
-                grams = Grams(lang, text)
+                grams = Grams(lang, text, hashing)
                 hashes = grams.all_to(max(lengths))
                 good = possible(grams, hashes, bitmaps)
                 found += [hashes[n - 1][good[n]] for n in lengths]
-                if sum(map(len, found)) > FLUSH:
+                if sum(map(len, found)) > FLUSH_LOCAL:
                     yield from flush(found)
                     found = []
         yield from flush(found)
 
-    return texts.mapInArrow(run, PACKED)
+    return texts.mapInArrow(run, "part int, hashes binary, counts binary")
 
 
 def survivors(counts: DataFrame, min_count: int, log_parts: int, log_bits: int) -> bytes:
     """Bitmap of the hashes that a Misra-Gries summary per partition keeps."""
-    mass = counts.groupBy("part").agg(F.sum("mass").alias("mass")).select(
-        "part", F.lit(0).alias("kind"), "mass", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("counts"))
-    dealt = mass.unionByName(counts).repartition("part").sortWithinPartitions("part", "kind")
+    dealt = counts.repartition("part").sortWithinPartitions("part")
     width = 1 << (log_bits - log_parts)  # bits of a partition's share of the bitmap
 
     def share(part: int, summary: MisraGries) -> pa.RecordBatch:
-        summary.settle()
         bits = np.zeros(width, "u1")
-        bits[(summary.hashes >> np.uint64(64 - log_bits)) & np.uint64(width - 1)] = 1
+        bits[(summary.reaching(min_count) >> np.uint64(64 - log_bits)) & np.uint64(width - 1)] = 1
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())],
                                           names=["part", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, summary = None, None
         for b in batches:
-            for p, kind, m, h, c in zip(*[col.to_pylist() for col in b.columns], strict=True):
-                if kind == 0:  # comes first and states the partition's mass
+            for p, h, c in zip(*[col.to_pylist() for col in b.columns], strict=True):
+                if p != part:
                     if summary is not None:
                         yield share(part, summary)
-                    part, summary = p, MisraGries(m // min_count + 1)
-                else:
-                    summary.merge(np.frombuffer(h, "u8"), np.frombuffer(c, "u4").astype("i8"))
+                    part, summary = p, MisraGries(min_count)
+                summary.merge(unpacked(h), np.frombuffer(c, "u4").astype("i8"))
         if summary is not None:
             yield share(part, summary)
 
@@ -275,30 +312,69 @@ def survivors(counts: DataFrame, min_count: int, log_parts: int, log_bits: int)
 
 # -- pass 2: exact counts ------------------------------------------------------------------
 
+class Tally:
+    """Counts of n-grams of a task by 128-bit hash; the words are written out once each."""
+
+    def __init__(self) -> None:
+        self.known = self.second = np.zeros(0, "u8")
+        self.at = self.counts = np.zeros(0, "i8")
+        self.rows: list[tuple[str, int, bytes]] = []
+
+    def add(self, lang: str, n: int, grams: Grams, at: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
+        """The n-grams that start at the words ``at``."""
+        order = np.argsort(h1, kind="stable")
+        at, h1, h2 = at[order], h1[order], h2[order]
+        first = np.flatnonzero(np.concatenate([[True], h1[1:] != h1[:-1]])) if len(h1) else np.zeros(0, "i8")
+        sizes = np.diff(np.append(first, len(h1)))
+        where = np.searchsorted(self.known, h1[first])
+        met = np.zeros(len(first), bool)
+        held = where < len(self.known)
+        met[held] = self.known[where[held]] == h1[first][held]
+        if (h2 != np.repeat(h2[first], sizes)).any() or (self.second[where[met]] != h2[first][met]).any():
+            # two n-grams share 64 bits: written out one by one
+            self.rows += [(lang, n, p) for p in grams.phrases(at, n)]
+            self.counts = np.append(self.counts, np.ones(len(at), "i8"))
+            return
+        self.counts[self.at[where[met]]] += sizes[met]
+        new = first[~met]
+        place = np.searchsorted(self.known, h1[new])
+        self.known, self.second = np.insert(self.known, place, h1[new]), np.insert(self.second, place, h2[new])
+        self.at = np.insert(self.at, place, np.arange(len(new)) + len(self.rows))
+        self.counts = np.append(self.counts, sizes[~met])
+        self.rows += [(lang, n, p) for p in grams.phrases(at[new], n)]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.rows), 20_000):
+            lang, n, phrase = zip(*self.rows[i:i + 20_000], strict=True)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()),
+                pa.array(self.counts[i:i + 20_000])], names=["lang", "words", "phrase", "f"])
+
+
 def exact_counts(texts: DataFrame, maps: dict, max_words: int) -> DataFrame:
     """``(lang, words, phrase, f)`` of all marked n-grams; words = 0 holds the number of
     word occurrences of the language."""
     maps = dict(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmaps = {n: m.value for n, m in maps.items()}
+        bitmaps, hashing = {n: m.value for n, m in maps.items()}, Hashing()
+        tally, words = Tally(), {}
         for batch in batches:
             for lang, text in slices(batch):
-                grams = Grams(lang, text)
+                grams = Grams(lang, text, hashing)
+                words[lang] = words.get(lang, 0) + len(grams)
                 hashes, second = grams.all_to(max_words), grams.all_to(max_words, 1)
                 good = possible(grams, hashes, bitmaps)
-                words, phrases, counts = [0], [b""], [len(grams)]
                 for n in range(1, max_words + 1):
                     at = np.flatnonzero(good[n])
-                    order = at[np.lexsort((second[n - 1][at], hashes[n - 1][at]))]
-                    h1, h2 = hashes[n - 1][order], second[n - 1][order]
-                    first = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])) if len(order) else order
-                    words += [n] * len(first)
-                    phrases += [grams.phrase(i, n) for i in order[first].tolist()]
-                    counts += np.diff(np.append(first, len(order))).tolist()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(words), pa.string()), pa.array(words, pa.int32()),
-                    pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "words", "phrase", "f"])
+                    tally.add(lang, n, grams, at, hashes[n - 1][at], second[n - 1][at])
+                if len(tally.rows) > TALLY:
+                    yield from tally.batches()
+                    tally = Tally()
+        yield from tally.batches()
+        yield pa.RecordBatch.from_arrays([
+            pa.array(list(words), pa.string()), pa.array([0] * len(words), pa.int32()), pa.array([""] * len(words), pa.string()),
+            pa.array(list(words.values()), pa.int64())], names=["lang", "words", "phrase", "f"])
 
     found = texts.mapInArrow(run, "lang string, words int, phrase string, f bigint")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
@@ -316,7 +392,7 @@ def frequent_ngrams(texts: DataFrame, max_words: int, min_count: int) -> DataFra
     for lengths in ([1], [2], list(range(3, max_words + 1))):
         lengths = [n for n in lengths if n <= max_words]
         if lengths:
-            counted = written(local_counts(texts, lengths, maps, log_parts))
+            counted = local_counts(texts, lengths, maps, log_parts)
             maps[lengths[0]] = spark.sparkContext.broadcast(survivors(counted, min_count, log_parts, log_bits))
     return written(exact_counts(texts, maps, max_words).filter((F.col("f") >= min_count) | (F.col("words") == 0)))
 

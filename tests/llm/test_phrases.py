@@ -59,7 +59,10 @@ def test_small_slices_and_flushes(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SLICE", 64)
     monkeypatch.setattr(phrases, "ROWS", 7)
     monkeypatch.setattr(phrases, "FLUSH", 50)
+    monkeypatch.setattr(phrases, "FLUSH_LOCAL", 90)
     monkeypatch.setattr(phrases, "PART_MASS", 1 << 6)
+    monkeypatch.setattr(phrases, "TALLY", 30)
+    monkeypatch.setattr(phrases, "PACK", 3)
     rows = corpus(random.Random(2), 60)
     assert run(spark, rows, min_count=6) == naive(rows, 6)
 
@@ -90,16 +93,18 @@ def test_summary_keeps_everything_frequent():
     rng = np.random.RandomState(5)
     for threshold in (5, 40):
         stream = [np.unique(rng.zipf(1.3, 400).clip(max=5000).astype("u8"), return_counts=True) for _ in range(50)]
-        mass = sum(int(c.sum()) for _, c in stream)
         total = Counter()
-        summary = MisraGries(mass // threshold + 1)
+        summary = MisraGries(threshold, spare=1)
         for h, c in stream:
             total.update(dict(zip(h.tolist(), c.tolist(), strict=True)))
             summary.merge(h, c.astype("i8"))
             summary.settle()
         kept = dict(zip(summary.hashes.tolist(), summary.counts.tolist(), strict=True))
-        assert len(kept) <= summary.capacity
-        assert all(h in kept and f - kept[h] < threshold for h, f in total.items() if f >= threshold)
+        assert summary.mass == sum(total.values()) and len(kept) <= summary.capacity and 0 < 2 * summary.lost < threshold
+        assert all(h in kept for h, f in total.items() if f >= threshold)
+        assert all(0 <= f - c <= summary.lost for h, c in kept.items() for f in [total[h]])
+        reached = set(summary.reaching(threshold).tolist())
+        assert {h for h, f in total.items() if f >= threshold} <= reached <= {h for h, f in total.items() if f >= threshold - summary.lost}
 
 
 def test_words_of_a_slice():
@@ -107,6 +112,30 @@ def test_words_of_a_slice():
 
     batch = pa.RecordBatch.from_arrays([pa.array(["A b, c", "d"]), pa.array(["en", "en"])], names=["t", "l"])
     (lang, text), = slices(batch)
-    g = Grams(lang, text)
-    assert [g.phrase(i, 1) for i in range(len(g))] == [b"a", b"b", b"c", b"d"] and g.inside(2).tolist() == [True, False, False]
+    g = Grams(lang, text, phrases.Hashing())
+    assert g.phrases(np.arange(len(g)), 1) == [b"a", b"b", b"c", b"d"] and g.phrases(np.array([0]), 2) == [b"a b"] and g.inside(2).tolist() == [True, False, False]
     assert len(set(g.words().tolist())) == 4
+
+
+def test_tally_of_colliding_hashes():
+    """N-grams that share the first hash are still told apart."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x y x y y"]), pa.array(["en"])], names=["t", "l"])
+    (lang, text), = slices(batch)
+    g = Grams(lang, text, phrases.Hashing())
+    at, second = np.arange(len(g)), g.words(1)
+    for h1 in (np.full(len(g), 7, "u8"), g.words()):
+        tally = phrases.Tally()
+        for _ in range(2):
+            tally.add(lang, 1, g, at, h1, second)
+        got = Counter()
+        for b in tally.batches():
+            for p, f in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                got[p] += f
+        assert got == {"x": 4, "y": 6}
+
+
+def test_packed_hashes_keep_48_bits():
+    h = np.array([0, 1 << 63, 0x123456789ABCDEF0, 2**64 - 1], "u8")
+    assert (phrases.unpacked(phrases.packed(h)) == (h >> np.uint64(16) << np.uint64(16))).all()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..extras.crosssection import cs_rank, cs_winsorize, cs_zscore, neutralize, topn_overlap
 from ..extras.quality import (business_days, feedback_by_pattern, feedback_stats, iqr_filter, keyword_topk, pattern_report, psi,
                               snapshot_id, zscore_filter, frequent_itemsets)
+from ..extras.sequences import frequent_sequences, fuse_asof
 from ..extras.timeseries import (align_on_ts, indicators, lagged_features, microstructure, pattern_context,
                                  realised_volatility, return_stats, rollup_bars, rolling_stats, sessions, sliding_counts, trend)
 from ..detectors.drift import drift_flags
@@ -171,6 +172,8 @@ def q_feedback_by_pattern(spark, sf):
     return finish(feedback_by_pattern(acc, pats))
 
 
+FUSED = ("click", "purchase")
+SEQUENCE_USERS = 60
 # Deviations for a drift in the restarted detector.
 DDM_DRIFT = 2.5
 
@@ -231,6 +234,19 @@ def q_bootstrap_return(spark, sf):
     return finish(bootstrap_return(ev, "price", ["type"], ["timestamp", "event_id"], block=50, draws=40))
 
 
+def q_fusion_asof(spark, sf):
+    """Last click and last purchase price of a user at each of its clicks and purchases."""
+    ev = flat_events(spark, sf)
+    out = fuse_asof({t: ev.filter(F.col("type") == t) for t in FUSED}, "price", ["user_id"], ["timestamp", "event_id"])
+    return finish(out.select("event_id", "user_id", F.col("source_name").alias("type"), *FUSED))
+
+
+def q_frequent_sequences(spark, sf):
+    """Ordered patterns of event types that at least 60 users show."""
+    out = frequent_sequences(flat_events(spark, sf), "type", ["user_id"], ["timestamp", "event_id"], SEQUENCE_USERS)
+    return out.select(F.array_join("pattern", ">").alias("pattern"), "length", "support")
+
+
 def q_detector_agreement(spark, sf):
     """Drift of the shifted price against drift of its quantity, within an hour."""
     ev = events_shifted(spark, sf)
@@ -330,6 +346,8 @@ QUERIES = {
     "ddm_levels": q_ddm_levels,
     "detector_agreement": q_detector_agreement,
     "ddm_restart": q_ddm_restart,
+    "fusion_asof": q_fusion_asof,
+    "frequent_sequences": q_frequent_sequences,
     "two_detectors": q_two_detectors,
     "factor_select": q_factor_select,
     "bootstrap_return": q_bootstrap_return,
@@ -513,6 +531,19 @@ m AS (SELECT *, min(CASE WHEN n >= 30 THEN (p + s, p, s) END) OVER ({_TW}) AS lo
 SELECT event_id, type, {r6('p')} AS error_rate,
        CASE WHEN n >= 30 AND p + s > low[2] + 3.0 * low[3] THEN 'drift' WHEN n >= 30 AND p + s > low[2] + 2.0 * low[3] THEN 'warning'
             ELSE 'normal' END AS level FROM m""",
+    "fusion_asof": f"""WITH {EV}
+SELECT event_id, user_id, type, {", ".join(f"{r6(f'last_value(CASE WHEN type = {t!r} THEN price END IGNORE NULLS) OVER w')} AS {t}" for t in FUSED)}
+FROM ev WHERE type IN {FUSED!r}
+WINDOW w AS (PARTITION BY user_id ORDER BY "timestamp", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "frequent_sequences": f"""WITH {EV},
+s AS (SELECT user_id, type, row_number() OVER (PARTITION BY user_id ORDER BY "timestamp", event_id) AS i FROM ev WHERE type IS NOT NULL),
+l1 AS (SELECT user_id, type AS p, min(i) AS i FROM s GROUP BY ALL),
+f1 AS (SELECT p, 1 AS length, count(*) AS support FROM l1 GROUP BY p HAVING count(*) >= {SEQUENCE_USERS}),
+l2 AS (SELECT s.user_id, p || '>' || type AS p, min(s.i) AS i FROM l1 JOIN s ON s.user_id = l1.user_id AND s.i > l1.i WHERE p IN (SELECT p FROM f1) GROUP BY ALL),
+f2 AS (SELECT p, 2 AS length, count(*) AS support FROM l2 GROUP BY p HAVING count(*) >= {SEQUENCE_USERS}),
+l3 AS (SELECT s.user_id, p || '>' || type AS p, min(s.i) AS i FROM l2 JOIN s ON s.user_id = l2.user_id AND s.i > l2.i WHERE p IN (SELECT p FROM f2) GROUP BY ALL),
+f3 AS (SELECT p, 3 AS length, count(*) AS support FROM l3 GROUP BY p HAVING count(*) >= {SEQUENCE_USERS})
+SELECT p AS pattern, length, support FROM (FROM f1 UNION ALL FROM f2 UNION ALL FROM f3)""",
     "ddm_restart": f"""WITH RECURSIVE {EVS},
 {ddm_sql('type')}
 SELECT event_id, x.k AS type, {r6('e / n::DOUBLE')} AS error_rate, level, segment FROM ddm_r JOIN ddm_e AS x USING (k, i)""",

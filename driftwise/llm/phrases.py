@@ -13,7 +13,7 @@ parts are not marked cannot be frequent. A collision or a rare survivor marks to
 costs time only.
 
 Pass 2 counts the marked n-grams exactly, by their words: a task adds up equal 128-bit
-hashes and writes each n-gram out once, Spark adds up equal n-grams.
+hashes and writes each n-gram out once, and hash partitions add up equal n-grams.
 
 Scale: shuffled are packed pairs of hash and count after adding up in the task, so an
 n-gram with a third of all occurrences is a pair a task. A partition's summary holds at
@@ -318,7 +318,8 @@ class Tally:
     def __init__(self) -> None:
         self.known = self.second = np.zeros(0, "u8")
         self.at = self.counts = np.zeros(0, "i8")
-        self.rows: list[tuple[str, int, bytes]] = []
+        self.rows: list[tuple[str, int, str]] = []
+        self.hashes: list[np.ndarray] = []  # first hash of each row
 
     def add(self, lang: str, n: int, grams: Grams, at: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
         """The n-grams that start at the words ``at``."""
@@ -332,8 +333,9 @@ class Tally:
         met[held] = self.known[where[held]] == h1[first][held]
         if (h2 != np.repeat(h2[first], sizes)).any() or (self.second[where[met]] != h2[first][met]).any():
             # two n-grams share 64 bits: written out one by one
-            self.rows += [(lang, n, p) for p in grams.phrases(at, n)]
+            self.rows += [(lang, n, p.decode()) for p in grams.phrases(at, n)]
             self.counts = np.append(self.counts, np.ones(len(at), "i8"))
+            self.hashes.append(h1)
             return
         self.counts[self.at[where[met]]] += sizes[met]
         new = first[~met]
@@ -341,22 +343,39 @@ class Tally:
         self.known, self.second = np.insert(self.known, place, h1[new]), np.insert(self.second, place, h2[new])
         self.at = np.insert(self.at, place, np.arange(len(new)) + len(self.rows))
         self.counts = np.append(self.counts, sizes[~met])
-        self.rows += [(lang, n, p) for p in grams.phrases(at[new], n)]
+        self.rows += [(lang, n, p.decode()) for p in grams.phrases(at[new], n)]
+        self.hashes.append(h1[new])
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(self.rows), 20_000):
-            lang, n, phrase = zip(*self.rows[i:i + 20_000], strict=True)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()),
-                pa.array(self.counts[i:i + 20_000])], names=["lang", "words", "phrase", "f"])
+    def packs(self, log_parts: int) -> Iterator[tuple[int, list[tuple[str, int, str]], list[int]]]:
+        """``(hash partition, n-grams, counts)``, ``PACK`` n-grams at most."""
+        if self.rows:
+            part = np.concatenate(self.hashes) >> np.uint64(64 - log_parts)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            for some in np.split(order, cuts):
+                for i in range(0, len(some), PACK):
+                    rows = some[i:i + PACK].tolist()
+                    yield int(part[rows[0]]), [self.rows[r] for r in rows], self.counts[rows].tolist()
 
 
-def exact_counts(texts: DataFrame, maps: dict, max_words: int) -> DataFrame:
-    """``(lang, words, phrase, f)`` of all marked n-grams; words = 0 holds the number of
-    word occurrences of the language."""
+COUNTED = "part int, lang array<string>, words array<int>, phrase array<string>, f array<bigint>"
+
+
+def exact_counts(texts: DataFrame, maps: dict, max_words: int, min_count: int, log_parts: int) -> DataFrame:
+    """``(lang, words, phrase, f)`` of all n-grams with ``min_count`` occurrences; words = 0
+    holds the number of word occurrences of the language.
+
+    Marked n-grams go to their hash partition in packs, where equal ones are added up by
+    their words; a partition has at most as many as its summary kept, and collisions."""
     maps = dict(maps)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(part: int, rows: list[tuple[str, int, str]], counts: list[int]) -> pa.RecordBatch:
+        lang, words, phrase = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([
+            pa.array([part], pa.int32()), pa.array([lang], pa.list_(pa.string())), pa.array([words], pa.list_(pa.int32())),
+            pa.array([phrase], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))], names=["part", "lang", "words", "phrase", "f"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps, hashing = {n: m.value for n, m in maps.items()}, Hashing()
         tally, words = Tally(), {}
         for batch in batches:
@@ -369,15 +388,33 @@ def exact_counts(texts: DataFrame, maps: dict, max_words: int) -> DataFrame:
                     at = np.flatnonzero(good[n])
                     tally.add(lang, n, grams, at, hashes[n - 1][at], second[n - 1][at])
                 if len(tally.rows) > TALLY:
-                    yield from tally.batches()
+                    yield from (pack(*p) for p in tally.packs(log_parts))
                     tally = Tally()
-        yield from tally.batches()
-        yield pa.RecordBatch.from_arrays([
-            pa.array(list(words), pa.string()), pa.array([0] * len(words), pa.int32()), pa.array([""] * len(words), pa.string()),
-            pa.array(list(words.values()), pa.int64())], names=["lang", "words", "phrase", "f"])
+        yield from (pack(*p) for p in tally.packs(log_parts))
+        if words:
+            yield pack(-1, [(lang, 0, "") for lang in words], list(words.values()))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, {}
+
+        def frequent() -> Iterator[pa.RecordBatch]:
+            rows = [(*k, f) for k, f in total.items() if f >= min_count or k[1] == 0]
+            for i in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i:i + 10_000], strict=True)], schema=out)
+
+        for b in batches:
+            for p, *lists in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if p != part:
+                    yield from frequent()
+                    part, total = p, {}
+                for lang, words, phrase, f in zip(*lists, strict=True):
+                    key = (lang, words, phrase)
+                    total[key] = total.get(key, 0) + f
+        yield from frequent()
 
-    found = texts.mapInArrow(run, "lang string, words int, phrase string, f bigint")
-    return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    out = pa.schema([("lang", pa.string()), ("words", pa.int64()), ("phrase", pa.string()), ("f", pa.int64())])
+    found = texts.mapInArrow(count, COUNTED).repartition("part").sortWithinPartitions("part")
+    return found.mapInArrow(add_up, "lang string, words bigint, phrase string, f bigint").withColumn("words", F.col("words").cast("int"))
 
 
 def frequent_ngrams(texts: DataFrame, max_words: int, min_count: int) -> DataFrame:
@@ -394,7 +431,7 @@ def frequent_ngrams(texts: DataFrame, max_words: int, min_count: int) -> DataFra
         if lengths:
             counted = local_counts(texts, lengths, maps, log_parts)
             maps[lengths[0]] = spark.sparkContext.broadcast(survivors(counted, min_count, log_parts, log_bits))
-    return written(exact_counts(texts, maps, max_words).filter((F.col("f") >= min_count) | (F.col("words") == 0)))
+    return written(exact_counts(texts, maps, max_words, min_count, log_parts))
 
 
 # -- cuts and ranks ----------------------------------------------------------------------------

@@ -130,8 +130,9 @@ def test_tally_of_colliding_hashes():
         for _ in range(2):
             tally.add(lang, 1, g, at, h1, second)
         got = Counter()
-        for b in tally.batches():
-            for p, f in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        for part, rows, counts in tally.packs(3):
+            assert 0 <= part < 8
+            for (_, _, p), f in zip(rows, counts, strict=True):
                 got[p] += f
         assert got == {"x": 4, "y": 6}
 

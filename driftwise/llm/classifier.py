@@ -236,11 +236,11 @@ def classify(docs: DataFrame, labels: DataFrame, trainable: Column | None = None
         known = known.filter(trainable)
     known = materialize(known)
     count = known.count()
-    # a hash share just below the bound; the last rows above it are cut after sorting
+    # a hash share of the ids about the bound, and of their rows (ids may repeat) the first by hash
     unit = F.xxhash64("__id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     picked = known.filter(unit < min(1.0, max_train / max(count, 1)))
-    sample = vec.join(picked, "__id").select(F.xxhash64("__id", "__vec").alias("__h"), "__vec", "__y").toPandas()
-    sample = sample.sort_values("__h").head(max_train)
+    sample = vec.join(picked, "__id").select(F.xxhash64("__id", "__vec").alias("__h"), "__vec", "__y")
+    sample = sample.orderBy("__h").limit(max_train).toPandas()
     x = np.array(sample["__vec"].tolist(), "f4").reshape(len(sample), 2 * DIMS)
     net = train(x, sample["__y"].to_numpy())
     kind = vec.schema["__id"].dataType.simpleString()

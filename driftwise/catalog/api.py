@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..detectors.explain import TEMPLATES, explain
 from ..functions.ids import stable_id
 from ..plans.engine import PatternEngine
-from ..plans.monitor import (event_counters, feedback_labels, last_gauge, latency_histogram, latency_stats,
-                             status_rollup)
+from ..plans.monitor import (event_counters, feedback_labels, last_gauge, latency_histogram, latency_sketches, latency_stats,
+                             sketch_stats, status_rollup)
 from ..plans.query import (accept_feedback, get_events, get_pattern, get_pattern_types, get_patterns,
                            get_sources, overview, short_view)
 from ..sources.tables import events_envelope, events_raw_json, lineitem_envelope, table
@@ -133,6 +133,13 @@ def q_latency_stats(spark, sf):
     return finish(latency_stats(ship_latency(spark, sf), "latency_days", ["type"]))
 
 
+def q_sketch_stats(spark, sf):
+    """Latencies shipped in 1995, from daily sketches (the exact columns)."""
+    daily = latency_sketches(ship_latency(spark, sf), "latency_days", ["type"], "l_shipdate", "day")
+    out = sketch_stats(daily, ["type"], "1995-01-01 00:00:00", "1996-01-01 00:00:00")
+    return finish(out.select("type", "count", "min", "max", "mean"))
+
+
 def q_queue_last(spark, sf):
     ev = table(spark, sf, "events").select(F.col("event_type").alias("queue"), F.col("value").alias("size"),
                                            "ts", "event_id")
@@ -198,7 +205,7 @@ TWO = f"""{EV},
 li2 AS (SELECT 'lineitem' AS source, l_returnflag AS type FROM lineitem),
 two AS (SELECT source, type FROM ev UNION ALL SELECT source, type FROM li2)"""
 
-SHIP = """sl AS (SELECT l_returnflag AS type, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400e6 AS latency_days
+SHIP = """sl AS (SELECT l_returnflag AS type, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400e6 AS latency_days, l_shipdate
              FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 _HIST = ", ".join(f"sum(CASE WHEN latency_days <= {b} THEN 1 ELSE 0 END) AS \"le_{b}\"" for b in LATENCY_BUCKETS)
@@ -218,6 +225,7 @@ QUERIES = {
     "event_counters": q_event_counters,
     "latency_histogram": q_latency_histogram,
     "latency_stats": q_latency_stats,
+    "sketch_stats": q_sketch_stats,
     "queue_last": q_queue_last,
     "status_rollup": q_status_rollup,
     "short_view": q_short_view,
@@ -262,6 +270,9 @@ SELECT type, count(latency_days) AS count, {r6('min(latency_days)')} AS min, {r6
        {r6('avg(latency_days)')} AS mean, {r6('quantile_cont(latency_days, 0.5)')} AS median,
        {r6('quantile_cont(latency_days, 0.95)')} AS p95, {r6('quantile_cont(latency_days, 0.99)')} AS p99
 FROM sl GROUP BY type""",
+    "sketch_stats": f"""WITH {SHIP}
+SELECT type, count(latency_days) AS count, {r6('min(latency_days)')} AS min, {r6('max(latency_days)')} AS max, {r6('avg(latency_days)')} AS mean
+FROM sl WHERE l_shipdate >= DATE '1995-01-01' AND l_shipdate < DATE '1996-01-01' GROUP BY type""",
     "queue_last": """SELECT event_type AS queue, round(arg_max(value, (ts, event_id)), 6) AS value
 FROM events GROUP BY event_type""",
     "status_rollup": """SELECT d.source AS component,

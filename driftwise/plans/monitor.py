@@ -54,6 +54,31 @@ def latency_stats(df: DataFrame, latency: str, labels: Sequence[str] = (), appro
                       F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p95"), F.col("_q")[2].alias("p99"))
 
 
+def latency_sketches(df: DataFrame, latency: str, labels: Sequence[str], ts: str, every: str = "hour", k: int = 400) -> DataFrame:
+    """A row per label set and ``every`` (hour, day ...): ``slot``, count, min, max, sum and a
+    mergeable quantile sketch of a few kB. Stored as a table, any range of it is answered by
+    ``sketch_stats`` without the rows. With ``k`` = 400 a rank is off by about 0.7 % of n."""
+    lat = F.col(latency).cast("double")
+    return df.filter(lat.isNotNull()).groupBy(*labels, F.date_trunc(every, ts).alias("slot")).agg(
+        F.count(F.lit(1)).alias("count"), F.min(lat).alias("min"), F.max(lat).alias("max"), F.sum(lat).alias("sum"),
+        F.kll_sketch_agg_double(lat, F.lit(k)).alias("sketch"))
+
+
+def sketch_stats(sketches: DataFrame, labels: Sequence[str], start=None, end=None) -> DataFrame:
+    """``latency_stats`` of the slots in start <= slot < end, from stored sketches: count,
+    min, max and mean exact, median, p95 and p99 within the sketch's error."""
+    rows = sketches
+    if start is not None:
+        rows = rows.filter(F.col("slot") >= F.lit(start).cast("timestamp"))
+    if end is not None:
+        rows = rows.filter(F.col("slot") < F.lit(end).cast("timestamp"))
+    merged = rows.groupBy(*labels).agg(
+        F.sum("count").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"),
+        (F.sum("sum") / F.sum("count")).alias("mean"), F.kll_merge_agg_double("sketch").alias("_s"))
+    at = lambda p: F.kll_sketch_get_quantile_double("_s", F.lit(p))
+    return merged.select(*labels, "count", "min", "max", "mean", at(0.5).alias("median"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+
+
 def rating_label(rating: Column) -> Column:
     out = F.lit("positive")
     for value, label in RATING_LABELS.items():

@@ -8,7 +8,7 @@ back is computed exactly inside the block:
 
 1. Bounds from a sample of (key, order columns), sorted, cut the rows into chunks, about
    ``CHUNKS`` a block. The whole order tuple counts, so rows with one time (or no time)
-   are cut too. A row finds its chunk by a search over the bounds, 15 comparisons a level.
+   are cut too. A row finds its chunk by a search over the bounds, three comparisons a level.
 2. Rows are counted per (key, chunk) (partial aggregation over the key and order columns
    alone). Running sums over a key's chunks give each chunk's place in the key: its block,
    the later blocks it is halo for, and where the block's row numbers start. Only keys
@@ -46,7 +46,7 @@ CHUNKS = 16
 MAX_CHUNKS = 1 << 18
 SAMPLE_PER_CHUNK = 8
 MAX_SAMPLE = 1 << 20
-FANOUT = 16
+FANOUT = 4
 
 
 @dataclass
@@ -111,7 +111,7 @@ def _bounds(df: DataFrame, cols: Sequence[str], n: int, rows: int) -> list:
 
 def _locate(df: DataFrame, cols: Sequence[str], bounds: list) -> DataFrame:
     """Add ``_chunk``: how many bounds are at or below the row's tuple. Every
-    ``FANOUT``-th bound forms the level above, so a level takes a slice of 15."""
+    ``FANOUT``-th bound forms the level above, so a level looks at one less than that."""
     spark = df.sparkSession
     schema = df.select(*cols).schema
     levels, stride = [], 1

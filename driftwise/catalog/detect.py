@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..detectors.adwin import adwin_flags
+from ..detectors.adwin_merged import CELL, PER_LEVEL, adwin_merged_flags
 from ..detectors.cluster import cluster_changes, cluster_windows
 from ..detectors.common import ORDER, adaptive_threshold
 from ..detectors.drift import adwin_epsilon, detect_drift_adjacent, drift_flags
@@ -201,8 +202,56 @@ def q_adwin_drift(spark, sf):
     return finish(fl.select("event_id", "timestamp", "field", "prev_mean", "new_mean", "change_pct", "width"))
 
 
+def q_adwin_merged(spark, sf):
+    """ADWIN over mergeable buckets, the whole source as one key, both fields shifted; small
+    chunks, so that the key is run in several."""
+    fl = adwin_merged_flags(events_shifted(spark, sf), ["price", "quantity"], DRIFT_DELTA, DRIFT_GRACE, chunk=64)
+    return finish(fl.select("event_id", "timestamp", "field", "prev_mean", "new_mean", "change_pct", "width"))
+
+
+def adwin_merged_body() -> str:
+    """Cuts by recursion over (end, start): a step either drops the oldest bucket or goes on
+    to the next cell. Means and variances come from running sums at the cells."""
+    c = CELL
+    var = "greatest(((z.q - a.q) - (z.p - a.p) * (z.p - a.p) / z.w) / z.w, 0.0)"
+    ln = f"ln(2.0 * ln(z.w) / {DRIFT_DELTA!r})"
+    m = "(1.0 / z.n0 + 1.0 / (z.w - z.n0))"
+    return f"""WITH RECURSIVE {EVS},
+v AS (SELECT *, row_number() OVER ({_W}) AS n FROM ev WHERE price IS NOT NULL OR quantity IS NOT NULL),
+l AS (SELECT source, event_id, "timestamp", n, 'price' AS field, CAST(price AS DOUBLE) AS x FROM v
+      UNION ALL SELECT source, event_id, "timestamp", n, 'quantity', CAST(quantity AS DOUBLE) FROM v),
+o AS (SELECT *, row_number() OVER (PARTITION BY source, field ORDER BY "timestamp", event_id) AS pos
+      FROM l WHERE n >= {DRIFT_GRACE} AND x IS NOT NULL),
+s AS (SELECT *, sum(x) OVER r AS p, sum(x * x) OVER r AS q FROM o WINDOW r AS (PARTITION BY source, field ORDER BY pos)),
+e AS (SELECT source, field, pos // {c} AS cell, event_id, "timestamp", p, q FROM s WHERE pos % {c} = 0
+      UNION ALL SELECT DISTINCT source, field, 0, NULL, CAST(NULL AS TIMESTAMP), 0.0, 0.0 FROM o),
+g AS (SELECT source, field, cell, cell & (-cell) AS size, p, q FROM e),
+run(source, field, "end", "start") AS (
+  SELECT source, field, CAST(1 AS BIGINT), CAST(0 AS BIGINT) FROM g WHERE cell = 1
+  UNION ALL
+  SELECT source, field, CASE WHEN cut THEN "end" ELSE "end" + 1 END, CASE WHEN cut THEN oldest ELSE "start" END
+  FROM (SELECT z.source, z.field, z."end", z."start", min(z.cell) AS oldest,
+               coalesce(bool_or(abs((z.ep - a.p) / z.n0 - (z.p - z.ep) / (z.w - z.n0))
+                                > sqrt(2.0 * {m} * {var} * {ln}) + 2.0 / 3.0 * {m} * {ln}), false) AS cut
+        FROM (SELECT r.source, r.field, r."end", r."start", b.p, b.q, ({c} * (r."end" - r."start")) AS w,
+                     x.cell, x.p AS ep, {c} * (x.cell - r."start") AS n0
+              FROM run r JOIN g b ON b.source = r.source AND b.field = r.field AND b.cell = r."end"
+              LEFT JOIN g x ON x.source = r.source AND x.field = r.field AND x.cell > r."start" AND x.cell < r."end"
+                   AND (x.cell - x.size < r."start" OR r."end" - x.cell - x.size < {2 * PER_LEVEL} * x.size)) z
+        JOIN g a ON a.source = z.source AND a.field = z.field AND a.cell = z."start"
+        GROUP BY ALL)),
+h AS (SELECT source, field, "end", min("start") AS f, max("start") AS t FROM run GROUP BY ALL HAVING min("start") < max("start")),
+c AS (SELECT b.event_id, b."timestamp", h.field, (t.p - f.p) / ({c} * (h.t - h.f)) AS prev_mean,
+             (b.p - t.p) / ({c} * (h."end" - h.t)) AS new_mean, CAST({c} * (h."end" - h.t) AS BIGINT) AS width
+      FROM h JOIN e b ON b.source = h.source AND b.field = h.field AND b.cell = h."end"
+      JOIN e f ON f.source = h.source AND f.field = h.field AND f.cell = h.f
+      JOIN e t ON t.source = h.source AND t.field = h.field AND t.cell = h.t)
+SELECT *, CASE WHEN prev_mean <> 0 THEN (new_mean - prev_mean) / abs(prev_mean) * 100 ELSE 0.0 END AS change_pct FROM c"""
+
+
 QUERIES = {
     "adwin_drift": q_adwin_drift,
+    "adwin_merged": q_adwin_merged,
     "adaptive_threshold": q_adaptive_threshold,
     "drift_adjacent": q_drift_adjacent,
     "explain_drift": q_explain_drift,
@@ -212,6 +261,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "adwin_merged": f"""SELECT event_id, "timestamp", field, {r6('prev_mean')} AS prev_mean, {r6('new_mean')} AS new_mean,
+       {r6('change_pct')} AS change_pct, width FROM ({adwin_merged_body()})""",
     "adaptive_threshold": f"""WITH {EV}
 SELECT event_id, {r6('price')} AS score,
        {r6(f'CASE WHEN count(price) OVER ({_W} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) > 10 THEN quantile_cont(price, 0.95) OVER ({_W} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) ELSE 0.5 END')} AS threshold,

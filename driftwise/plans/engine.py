@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..detectors.adwin import adwin_step
+from ..detectors.adwin_merged import CHUNK, adwin_merged_step
 from ..detectors.cluster import cluster_step
 from ..detectors.common import ORDER
 from ..detectors.drift import drift_step
@@ -59,9 +60,13 @@ def _detector(name: str, cfg: Mapping, step, whole=None, **params) -> Detector:
 
 
 def _adwin(name: str, cfg: Mapping) -> Detector:
+    """``method``: ``adwin`` (exact, a key is one task; the default), ``merged`` (mergeable
+    buckets, chunks of a key run in parallel) or ``adjacent`` (two adjacent frames)."""
     params = dict(delta=cfg.get("delta", 0.002), grace_period=cfg.get("grace_period", 100))
     if cfg.get("method", "adwin") == "adjacent":
         return _detector(name, cfg, drift_step, frame=cfg.get("frame", 50), **params)
+    if cfg.get("method") == "merged":
+        return _detector(name, cfg, adwin_merged_step, chunk=cfg.get("chunk", CHUNK), **params)
     return _detector(name, cfg, adwin_step, **params)
 
 

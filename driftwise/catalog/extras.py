@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..extras.crosssection import cs_rank, cs_winsorize, cs_zscore, neutralize, topn_overlap
-from ..extras.quality import (business_days, feedback_by_pattern, feedback_stats, iqr_filter, keyword_topk, pattern_report, psi,
+from ..extras.quality import (business_days, per_trading_day, feedback_by_pattern, feedback_stats, iqr_filter, keyword_topk, pattern_report, psi,
                               snapshot_id, zscore_filter, frequent_itemsets)
 from ..extras.sequences import frequent_sequences, fuse_asof
 from ..extras.timeseries import (align_on_ts, indicators, lagged_features, microstructure, pattern_context,
-                                 realised_volatility, return_stats, rollup_bars, rolling_stats, sessions, sliding_counts, trend)
+                                 realised_volatility, return_stats, bar_chain, rollup_bars, rolling_stats, sessions, sliding_counts, trend)
 from ..detectors.drift import drift_flags
 from ..extras.screening import (POISSON1_CDF, agreement, bootstrap_mean, bootstrap_return, ddm_flags, ddm_restart, factor_screen,
                                 factor_select, obv, replay_window,
@@ -19,6 +19,7 @@ from ..operators.bars import aggregate, flatten_bars
 from ..operators.features import ema_weights
 from ..operators.validate import dead_letter
 from ..sources.messages import parse_trades
+from ..sources.replay import replay
 from ..sources.tables import events_envelope, events_raw_json, events_shifted, table
 from .api import FB_IDS, FEEDBACK, PATTERNS, feedback_table, patterns_table
 from .common import EV, EVS, finish, r6
@@ -56,6 +57,14 @@ def q_multi_frequency_bars(spark, sf):
     return finish(rollup_bars(_flat_bars(spark, sf, "5m"), "1h"))
 
 
+CHAIN = ("1m", "5m", "1h", "24h")
+
+
+def q_bar_chain(spark, sf):
+    """Bars of four frequencies, each from the one before."""
+    return finish(bar_chain(_flat_bars(spark, sf, CHAIN[0]), CHAIN))
+
+
 def q_sliding_window(spark, sf):
     return finish(sliding_counts(flat_events(spark, sf), "price", "1 hour", "15 minutes"))
 
@@ -64,6 +73,11 @@ def q_session_window(spark, sf):
     return finish(sessions(flat_events(spark, sf), "30 minutes"))
 
 
+def q_session_source(spark, sf):
+    """Sessions of the whole source, one hot key."""
+    return finish(sessions(flat_events(spark, sf), "10 minutes", key=("source",)))
+
+
 def q_pattern_context(spark, sf):
     pats = patterns_table(spark, sf)
     out = pattern_context(pats, flat_events(spark, sf), 5)
@@ -297,6 +311,22 @@ def q_snapshot_id(spark, sf):
     return snapshot_id(table(spark, sf, "orders"))
 
 
+HOLIDAYS = ["2024-01-01", "2024-01-15", "2024-02-19"]
+
+
+def q_trading_days(spark, sf):
+    """Events per trading day of Shanghai wall time."""
+    closed = spark.createDataFrame([(d,) for d in HOLIDAYS], "day string")
+    return per_trading_day(flat_events(spark, sf), "timestamp", "Asia/Shanghai", closed)
+
+
+def q_replay_paced(spark, sf):
+    """Two passes over the orders at four rows a second."""
+    od = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    ev = replay(od, "orders_replay", ["o_orderdate", "o_orderkey"], epoch=1_700_000_000, rate=4.0, loops=2)
+    return finish(ev.select("event_id", "timestamp", "original_index", F.col("pass").alias("pass_no")))
+
+
 def q_business_days(spark, sf):
     return business_days(table(spark, sf, "orders"), "o_orderdate")
 
@@ -322,6 +352,10 @@ QUERIES = {
     "multi_frequency_bars": q_multi_frequency_bars,
     "sliding_window": q_sliding_window,
     "session_window": q_session_window,
+    "session_source": q_session_source,
+    "bar_chain": q_bar_chain,
+    "trading_days": q_trading_days,
+    "replay_paced": q_replay_paced,
     "pattern_context": q_pattern_context,
     "align_on_ts": q_align_on_ts,
     "cs_rank": q_cs_rank,
@@ -428,11 +462,35 @@ SELECT type, ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, count(*) AS
 FROM w GROUP BY 1, 2""",
     "session_window": f"""WITH {EV},
 g AS (SELECT *, CASE WHEN lag("timestamp") OVER (PARTITION BY user_id ORDER BY "timestamp", event_id) IS NULL
-                       OR "timestamp" - lag("timestamp") OVER (PARTITION BY user_id ORDER BY "timestamp", event_id) >= INTERVAL 30 MINUTE
+                       OR "timestamp" - lag("timestamp") OVER (PARTITION BY user_id ORDER BY "timestamp", event_id) > INTERVAL 30 MINUTE
                      THEN 1 ELSE 0 END AS brk FROM ev),
 s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY "timestamp", event_id) AS sid FROM g)
 SELECT user_id, min("timestamp") AS session_start, max("timestamp") + INTERVAL 30 MINUTE AS session_end, count(*) AS n
 FROM s GROUP BY user_id, sid""",
+    "session_source": f"""WITH {EV},
+g AS (SELECT *, lag("timestamp") OVER o AS before FROM ev WINDOW o AS (PARTITION BY source ORDER BY "timestamp", event_id)),
+s AS (SELECT *, count(*) FILTER (before IS NULL OR "timestamp" - before > INTERVAL 10 MINUTE)
+             OVER (PARTITION BY source ORDER BY "timestamp", event_id) AS sid FROM g)
+SELECT source, min("timestamp") AS session_start, max("timestamp") + INTERVAL 10 MINUTE AS session_end, count(*) AS n
+FROM s GROUP BY source, sid""",
+    "bar_chain": f"""WITH {EV},
+f AS (SELECT unnest(['1m', '5m', '1h', '24h']) AS frequency,
+             unnest([INTERVAL 1 MINUTE, INTERVAL 5 MINUTE, INTERVAL 1 HOUR, INTERVAL 24 HOUR]) AS w),
+b AS (SELECT *, time_bucket(w, "timestamp", TIMESTAMP '1970-01-01') AS window_start FROM ev, f)
+SELECT frequency, source, type || '_aggregated' AS type, window_start + w AS "timestamp", window_start,
+       {r6('first(price ORDER BY "timestamp", event_id)')} AS open, {r6('max(price)')} AS high,
+       {r6('min(price)')} AS low, {r6('first(price ORDER BY "timestamp" DESC, event_id DESC)')} AS close,
+       {r6('CAST(sum(quantity) AS DOUBLE)')} AS volume, count(*) AS count,
+       first(event_id ORDER BY "timestamp" DESC, event_id DESC) AS event_id
+FROM b GROUP BY frequency, source, type, window_start, w""",
+    "trading_days": f"""WITH e AS (SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS day FROM events),
+d AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM e)
+SELECT d.day, count(e.day) AS n FROM d LEFT JOIN e USING (day)
+WHERE dayofweek(d.day) NOT IN (0, 6) AND d.day NOT IN ({", ".join(f"DATE '{h}'" for h in HOLIDAYS)}) GROUP BY d.day""",
+    "replay_paced": """WITH o AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),
+p AS (SELECT i, k, 1700000000000000 + (i + k * (n - 1)) * 250000 AS us FROM o, (SELECT unnest([0, 1]) AS k))
+SELECT 'replay-' || i || '-' || (us // 1000000) AS event_id, make_timestamp(us) AS "timestamp", i AS original_index,
+       CAST(k AS INTEGER) AS pass_no FROM p""",
     "pattern_context": f"""WITH {EV}, {PATTERNS}
 SELECT p.pattern_id, e.event_id AS r_event_id,
        {r6('(epoch_us(e."timestamp") - epoch_us(p."timestamp")) / 1e6')} AS offset_sec

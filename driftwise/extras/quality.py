@@ -118,9 +118,33 @@ def snapshot_id(df: DataFrame) -> DataFrame:
 
 def business_days(df: DataFrame, col: str) -> DataFrame:
     """Monday-to-Friday dates spanning the data's [min, max] date range of ``col``."""
-    r = df.agg(F.min(F.to_date(col)).alias("lo"), F.max(F.to_date(col)).alias("hi"))
-    days = r.select(F.explode(F.sequence("lo", "hi")).alias("day"))
-    return days.filter(~F.dayofweek("day").isin(1, 7))
+    return trading_days(df, col)
+
+
+def align_tz(df: DataFrame, col: str, zone: str = "UTC") -> DataFrame:
+    """``col`` (an instant) as wall time in ``zone``, without a zone of its own."""
+    utc = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.to_utc_timestamp(F.col(col).cast("timestamp"), F.current_timezone()).cast("timestamp_ntz"))
+    return df.withColumn(col, utc)
+
+
+def trading_days(df: DataFrame, col: str, zone: str | None = None, holidays: DataFrame | None = None) -> DataFrame:
+    """Trading days (column ``day``): Monday to Friday within the [min, max] day of ``col``,
+    without the days in the first column of ``holidays``. With ``zone``, ``col`` is an
+    instant and days are those of that zone's wall time. Null times and null holidays count for nothing."""
+    rows = (align_tz(df, col, zone) if zone else df).select(F.to_date(col).alias("_d"))
+    span = rows.agg(F.min("_d").alias("lo"), F.max("_d").alias("hi")).filter(F.col("lo").isNotNull())
+    days = span.select(F.explode(F.sequence("lo", "hi")).alias("day")).filter(~F.dayofweek("day").isin(1, 7))
+    if holidays is None:
+        return days
+    closed = holidays.select(F.to_date(holidays.columns[0]).alias("day")).distinct()
+    return days.join(closed, "day", "left_anti")
+
+
+def per_trading_day(df: DataFrame, col: str, zone: str = "UTC", holidays: DataFrame | None = None) -> DataFrame:
+    """Rows of ``df`` on each trading day of ``zone``; days without a row have 0."""
+    days = trading_days(df, col, zone, holidays)
+    counts = align_tz(df, col, zone).groupBy(F.to_date(col).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return days.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def frequent_itemsets(baskets: DataFrame, items: str = "items", min_support: float = 0.01,

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..operators.features import ema_weights
-from ..plans.rolling import Frame, null_safe_join, over_rows, running_rows
+from ..plans.rolling import Frame, materialize, null_safe_join, over_rows, running_rows
 
 ORDER = ("timestamp", "event_id")
 
@@ -123,6 +123,24 @@ def rollup_bars(bars: DataFrame, window: str, key: Sequence[str] = ("source", "t
                     "open", "high", "low", "close", "volume", "count", "event_id")
 
 
+def bar_chain(bars: DataFrame, windows: Sequence[str], key: Sequence[str] = ("source", "type")) -> DataFrame:
+    """Bars of several frequencies, each from the one before it: ``bars`` are those of the first
+    window, and every window must be a multiple of the one before. One long table with the
+    window's name in ``frequency``; a level is written once and read by the next."""
+    from ..functions.timefmt import parse_duration
+
+    seconds = [parse_duration(w) for w in windows]
+    for (a, b), name in zip(zip(seconds, seconds[1:]), windows[1:]):  # noqa: B905
+        if b % a or b <= a:
+            raise ValueError(f"{name} is not a multiple of the window before it")
+    level = materialize(bars)
+    out = level.withColumn("frequency", F.lit(windows[0]))
+    for name in windows[1:]:
+        level = materialize(rollup_bars(level, name, key))
+        out = out.select("frequency", *level.columns).unionByName(level.withColumn("frequency", F.lit(name)))
+    return out
+
+
 def sliding_counts(df: DataFrame, value: str, size: str, slide: str, key: Sequence[str] = ("type",)) -> DataFrame:
     """Sliding event-time windows: count and mean of ``value`` per key and window."""
     w = F.window("timestamp", size, slide)
@@ -130,11 +148,32 @@ def sliding_counts(df: DataFrame, value: str, size: str, slide: str, key: Sequen
         *key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "mean")
 
 
-def sessions(df: DataFrame, gap: str, key: Sequence[str] = ("user_id",)) -> DataFrame:
-    """Session windows: a session ends ``gap`` after its last event."""
-    w = F.session_window("timestamp", gap)
-    return df.groupBy(*key, w.alias("s")).agg(F.count(F.lit(1)).alias("n")).select(
-        *key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
+def sessions(df: DataFrame, gap: str, key: Sequence[str] = ("user_id",), order: Sequence[str] = ("timestamp", "event_id")) -> DataFrame:
+    """Session windows: a session ends ``gap`` (an interval such as ``30 minutes``) after its
+    last event, and an event at that very time still belongs to it, as in Spark's session
+    windows. Rows without a time belong to no session, null keys are a key.
+
+    A stream uses Spark's session windows. A table is cut into row-frame blocks: an event that
+    lies more than ``gap`` behind the one before it opens a session, running sums over the blocks
+    number the sessions, and sessions are pre-aggregated groups, so neither a hot key nor one
+    endless session is a task of its own."""
+    if df.isStreaming:
+        w = F.session_window("timestamp", gap)
+        return df.groupBy(*key, w.alias("s")).agg(F.count(F.lit(1)).alias("n")).select(
+            *key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
+    key, order, long_gap = list(key), [c for c in order if c in df.columns], F.expr(f"INTERVAL '{gap}'")
+    rows = df.filter(F.col("timestamp").isNotNull()).select(*key, *order)
+
+    def opens(fr: Frame):
+        before = F.lag("timestamp", 1).over(fr.w)
+        return [F.when(before.isNull() | (F.col("timestamp") > before + long_gap), 1).otherwise(0).alias("_opens")]
+
+    numbered = running_rows(rows, key, order, lambda w: [(F.sum("_opens").over(w) + F.coalesce("_before", F.lit(0))).alias("_session")],
+                            totals=[F.sum("_opens").alias("_n")], merge=lambda w: [F.sum("_n").over(w).alias("_before")],
+                            lookback=1, first=opens)
+    return numbered.groupBy(*key, "_session").agg(
+        F.min("timestamp").alias("session_start"), (F.max("timestamp") + long_gap).alias("session_end"),
+        F.count(F.lit(1)).alias("n")).select(*key, "session_start", "session_end", "n")
 
 
 def interval_join(left: DataFrame, right: DataFrame, before: int, after: int, on: Sequence[str] = ("source",),

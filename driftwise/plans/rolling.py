@@ -231,13 +231,17 @@ def rows_index(df: DataFrame, key: Sequence[str], order: Sequence[str], split: b
 
 
 def running_rows(df: DataFrame, key: Sequence[str], order: Sequence[str], build: Callable[[WindowSpec], Sequence[Column]],
-                 totals: Sequence[Column], merge: Callable[[WindowSpec], Sequence[Column]]) -> DataFrame:
+                 totals: Sequence[Column], merge: Callable[[WindowSpec], Sequence[Column]], lookback: int = 0,
+                 first: Callable[[Frame], Sequence[Column]] | None = None) -> DataFrame:
     """Cumulative values per key, block by block: ``totals`` (named aggregates of a block) are
     prefixed over a key's earlier blocks by ``merge`` (named columns over a window of blocks)
     and joined to the rows of the later blocks, null in a key's first; ``build`` then
-    gives the row's columns from these and the running window of its block."""
+    gives the row's columns from these and the running window of its block. Columns of
+    ``first``, over frames that reach at most ``lookback`` rows back, are there for the totals."""
     key = list(key)
-    placed = place(df, key, order)
+    placed = place(df, key, order, lookback)
+    if first is not None:
+        placed = _apply(placed, first(_block_frame(key, order))).filter(F.col("_h") == 0)
     blocks = placed.groupBy(*key, "_blk").agg(*totals)
     earlier = Window.partitionBy(*key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     merged = list(merge(earlier))

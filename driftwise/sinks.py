@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .schema import TABLES, conform, event_date
+from .schema import PATTERN_SCHEMA, TABLES, conform, event_date
 from .functions.payload import payload_json
+from .plans.query import accept_feedback
+from .plans.rolling import materialize
 
 
 # Partition column that keeps a stream's batches apart.
@@ -83,6 +85,27 @@ def read_states(spark, base_path: str, turn: int) -> dict[str, dict[str, DataFra
     return out
 
 
+def submit_feedback(spark, base_path: str, feedback: DataFrame, id_cols=("pattern_id", "user_id", "timestamp")
+                    ) -> tuple[DataFrame, DataFrame]:
+    """Check submitted ratings against the stored patterns and append the accepted ones to
+    ``pattern_feedback``. Returns (feedback_id, pattern_id) of all accepted rows and the rejected
+    rows with their reason. A row without a time gets the time of submission. The id
+    follows from ``id_cols``, so a row that is submitted again, in one call or a later one, is accepted
+    but stored once."""
+    now = F.current_timestamp()
+    given = feedback.withColumn("timestamp", F.coalesce("timestamp", now) if "timestamp" in feedback.columns else now)
+    base = base_path.rstrip("/")
+    known = _exists(spark, f"{base}/pattern_events")
+    patterns = read_table(spark, "pattern_events", base) if known else spark.createDataFrame([], PATTERN_SCHEMA)
+    accepted, rejected = accept_feedback(materialize(given), patterns, id_cols)
+    accepted = materialize(accepted)
+    new = accepted.dropDuplicates(["feedback_id"])
+    if _exists(spark, f"{base}/pattern_feedback"):
+        new = new.join(read_table(spark, "pattern_feedback", base).select("feedback_id"), "feedback_id", "left_anti")
+    write_table(new, "pattern_feedback", base)
+    return accepted.select("feedback_id", "pattern_id"), rejected
+
+
 def expire(spark, base_path: str, name: str, days: int, now) -> list[str]:
     """Drop the day partitions of a table that lie ``days`` days or more before the day of
     ``now``; returns them. Whole folders go and no live file is touched, so a running stream

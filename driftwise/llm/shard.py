@@ -67,7 +67,8 @@ def quantised(df: DataFrame, dims: Sequence[str], bits: int) -> list[Column]:
             a, b = (log2(1 + max(x or 0, 0)) for x in (lo, hi))
             v = F.log2(1 + F.greatest(F.col(d), F.lit(0)).cast("double"))
         cell = F.floor((v - F.lit(a)) / F.lit(max(b - a, 1e-9)) * F.lit(float(top)))
-        out.append(F.coalesce(F.greatest(F.least(cell, F.lit(top)), F.lit(0)), F.lit(0)).cast("int"))
+        cell = F.coalesce(cell, F.lit(0))  # least and greatest pass nulls over
+        out.append(F.greatest(F.least(cell, F.lit(top)), F.lit(0)).cast("int"))
     return out
 
 

@@ -7,8 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from driftwise.detectors import adwin_merged
 from driftwise.detectors.adwin import Adwin
 from driftwise.detectors.adwin_merged import CELL, PER_LEVEL, Window, adwin_merged_flags
+from driftwise.plans import rolling
 from driftwise.plans.engine import PatternEngine
 from tests.conftest import events
 
@@ -136,3 +138,15 @@ def test_steps_of_any_cut_equal_one_run(spark):
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=1e-9)
+
+
+def test_walks_are_few_however_many_chunks_and_cuts(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(adwin_merged, "materialize", lambda df: written.append(1) or rolling.materialize(df))
+    vals = shifts(11, 9000, 700)
+    want = plain(vals)
+    assert len(want) >= 10
+    got = adwin_merged_flags(frame(spark, {"s": vals}), ["price"], grace_period=1, chunk=2).collect()
+    assert sorted(int(r.event_id[1:]) for r in got) == [w[0] for w in want]
+    # cells, chunks, summaries, two tables a round and the last walk
+    assert len(written) <= 4 + 2 * 3

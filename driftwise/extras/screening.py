@@ -3,12 +3,15 @@ first, factor screening, bootstrap intervals, retention and replay of a window."
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.rolling import Frame, materialize, null_safe_join, over_rows
+from ..plans.rolling import Frame, materialize, null_safe_join, over_rows, rows_index
 from ..sources.replay import replay
 from .timeseries import running
 
@@ -43,37 +46,104 @@ def ddm_restart(df: DataFrame, error: str, key: Sequence[str] = ("source",), ord
     key may drift more than once. Adds ``error_rate`` (since the start), ``level`` and
     ``segment`` (drifts so far).
 
-    Rows are numbered and errors summed up once; a round computes the open segments of
-    all keys together from those sums (running minima are split over blocks), finds each
-    one's first drift by an aggregate and starts the next segment behind it, until no
-    key drifts. A round reads the rows behind the last drifts, so there are as many rounds as
-    the key with the most drifts has, and one."""
+    Rows are numbered over row-frame blocks, and the errors of each ``DDM_CHUNK`` of them are
+    packed to a bit a row. A walk over a key's chunks carries what a restart forgets (rows, errors
+    and the lowest rate so far) to the start of every chunk; chunks then give their rows' values
+    at the same time, and these meet the rows by key and number. The number of jobs
+    depends neither on rows nor on drifts; only the bits of a key pass one task, a batch at a time."""
     key, order = list(key), list(order)
-    rows = df.filter(F.col(error).isNotNull()).withColumn("_one", F.lit(1).cast("long")).withColumn("_e", F.col(error).cast("long"))
-    left = materialize(running(running(rows, "_one", key, order, "sum", "_n"), "_e", key, order, "sum", "_s"))
-    left = left.withColumn("_n0", F.lit(0).cast("long")).withColumn("_s0", F.lit(0).cast("long"))
-    done, segment = None, 0
-    while True:
-        n = F.col("_n") - F.col("_n0")
-        p = (F.col("_s") - F.col("_s0")) / n
-        cur = left.withColumn("error_rate", p).withColumn("_sd", F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n))
-        full = n >= min_rows
-        best = F.when(full, F.struct((F.col("error_rate") + F.col("_sd")).alias("v"), F.col("error_rate").alias("p"), F.col("_sd").alias("s")))
-        cur = running(cur.withColumn("_best", best), "_best", key, order, "min", "_low")
-        now = F.col("error_rate") + F.col("_sd")
-        level = F.when(full & (now > F.col("_low.p") + drift * F.col("_low.s")), "drift").when(
-            full & (now > F.col("_low.p") + warning * F.col("_low.s")), "warning").otherwise("normal")
-        cur = materialize(cur.withColumn("level", level).drop("_best", "_low", "_sd"))
-        first = cur.filter(F.col("level") == "drift").groupBy(*key).agg(F.min_by("_s", "_n").alias("_cut_s"), F.min("_n").alias("_cut"))
-        met = materialize(null_safe_join(cur, first, key, how="left"))
-        kept = met.filter(F.col("_cut").isNull() | (F.col("_n") <= F.col("_cut"))).withColumn("segment", F.lit(segment))
-        kept = kept.select(*df.columns, "error_rate", "level", "segment")
-        done = kept if done is None else done.unionByName(kept)
-        left = met.filter(F.col("_n") > F.col("_cut")).withColumn("_n0", F.col("_cut")).withColumn("_s0", F.col("_cut_s")).drop(
-            "_cut", "_cut_s", "error_rate", "level")
-        segment += 1
-        if not left.limit(1).count():
-            return done
+    ident = F.to_json(F.array(*[F.col(c).cast("string") for c in key]))
+    rows = materialize(rows_index(df.filter(F.col(error).isNotNull()), key, order, name="_n").withColumn("_k", ident))
+    chunk = F.floor((F.col("_n") - 1) / DDM_CHUNK).cast("long").alias("_c")
+    chunks = rows.select("_k", chunk, F.col("_n").cast("long").alias("_n"), (F.col(error).cast("long") > 0).alias("_e")).groupBy("_k", "_c").applyInArrow(
+        _packed, "_k string, _c long, m long, bits binary")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    started = chunks.repartition(n, "_k").sortWithinPartitions("_k", "_c").mapInPandas(
+        _ddm_starts(warning, drift, min_rows), f"_k string, _c long, m long, bits binary, {_DDM_STATE}")
+    marks = materialize(started).repartition(n, "_k", "_c").mapInPandas(
+        _ddm_rows(warning, drift, min_rows), "_k string, _n long, error_rate double, level string, segment int")
+    return rows.join(marks, ["_k", "_n"]).select(*df.columns, "error_rate", "level", "segment")
+
+
+DDM_CHUNK = 1 << 16  # rows
+_DDM_STATE = "n long, e long, v double, p double, s double, segment int"
+_LEVELS = np.array(["normal", "warning", "drift"], dtype=object)
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    """The rows of a chunk to one, its errors a bit a row."""
+    table = table.sort_by("_n")
+    bits = np.packbits(table.column("_e").to_numpy(zero_copy_only=False)).tobytes()
+    return pa.table([table.column("_k")[:1], table.column("_c")[:1], pa.array([len(table)], pa.int64()), pa.array([bits], pa.binary())],
+                    names=["_k", "_c", "m", "bits"])
+
+
+def ddm_run(errors: np.ndarray, state: tuple, warning: float, drift: float, min_rows: int) -> tuple[list, tuple]:
+    """Pieces (rate, level 0 to 2, segment) of consecutive rows from ``state`` (rows and errors
+    since the start, lowest v, p, s, segment), and the state behind them. A look at a row's
+    followers doubles until one drifts."""
+    n, e, v0, p0, s0, segment = state
+    pieces, at, look = [], 0, 256
+    while at < len(errors):
+        x = errors[at:at + look]
+        look *= 2
+        rows = n + np.arange(1, len(x) + 1)
+        bad = e + np.cumsum(x)
+        p = bad / rows
+        s = np.sqrt(np.maximum(p * (1 - p), 0.0) / rows)
+        v = p + s
+        full = rows >= min_rows
+        lowest = np.minimum.accumulate(np.concatenate([[v0], np.where(full, v, np.inf)]))
+        src = np.maximum.accumulate(np.where(full & (v < lowest[:-1]), np.arange(len(x)), -1))
+        low_p, low_s = np.where(src >= 0, p[src], p0), np.where(src >= 0, s[src], s0)
+        if (full & (v == lowest[1:]) & (p < low_p)).any():  # the same v again: the smaller rate counts
+            low = (v0, p0, s0)
+            for i in np.flatnonzero(full):
+                low = min(low, (v[i], p[i], s[i]))
+                low_p[i], low_s[i] = low[1:]
+        level = np.where(full & (v > low_p + drift * low_s), 2, np.where(full & (v > low_p + warning * low_s), 1, 0))
+        hit = np.flatnonzero(level == 2)
+        end = int(hit[0]) + 1 if len(hit) else len(x)
+        pieces.append((p[:end], level[:end], np.full(end, segment, "i4")))
+        at += end
+        if len(hit):
+            n, e, v0, p0, s0, segment, look = 0, 0, np.inf, np.inf, np.inf, segment + 1, 256
+        else:
+            n, e, v0, p0, s0 = int(rows[-1]), int(bad[-1]), float(lowest[-1]), float(low_p[-1]), float(low_s[-1])
+    return pieces, (n, e, v0, p0, s0, segment)
+
+
+_DDM_START = (0, 0, np.inf, np.inf, np.inf, 0)
+
+
+def _errors(bits: bytes, m: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, "u1"), count=m).astype("i8")
+
+
+def _ddm_starts(warning: float, drift: float, min_rows: int):
+    """Chunks by (key, chunk) with the state before each."""
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, _DDM_START
+        for pdf in batches:
+            out = []
+            for k, c, m, bits in pdf.itertuples(index=False, name=None):
+                if k != at:
+                    at, state = k, _DDM_START
+                out.append((k, c, m, bits, *state))
+                state = ddm_run(_errors(bits, m), state, warning, drift, min_rows)[1]
+            yield pd.DataFrame(out, columns=["_k", "_c", "m", "bits", "n", "e", "v", "p", "s", "segment"])
+    return walk
+
+
+def _ddm_rows(warning: float, drift: float, min_rows: int):
+    """Chunks with the state before them to their rows' values."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, c, m, bits, *state in pdf.itertuples(index=False, name=None):
+                pieces, _ = ddm_run(_errors(bits, m), tuple(state), warning, drift, min_rows)
+                rate, level, segment = (np.concatenate(x) for x in zip(*pieces, strict=True))
+                yield pd.DataFrame({"_k": k, "_n": c * DDM_CHUNK + np.arange(1, m + 1), "error_rate": rate, "level": _LEVELS[level], "segment": segment})
+    return run
 
 
 def agreement(a: DataFrame, b: DataFrame, tolerance_s: int, key: str = "source") -> DataFrame:

@@ -9,6 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from driftwise.extras import screening
 from driftwise.extras.screening import bootstrap_return, ddm_restart, factor_correlations, factor_select
 from driftwise.plans import rolling
 from driftwise.sinks import expire, read_table, write_table
@@ -113,3 +114,15 @@ def test_rejected_file_items(spark, tmpdir_path):
     assert sorted((r.reason, json.loads(r.raw)["x"]) for r in bad) == [("bad_timestamp", "2"), ("no_timestamp", "3")]
     assert read_csv_events(spark, tmpdir_path + "/e.csv", "s").count() == 1
     assert rejected_csv_rows(spark, tmpdir_path + "/f.csv").count() == 0
+
+
+def test_ddm_takes_a_fixed_number_of_jobs_and_carries_states_over_chunks(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(screening, "materialize", lambda df: written.append(1) or rolling.materialize(df))
+    monkeypatch.setattr(screening, "DDM_CHUNK", 100)
+    rng = random.Random(9)
+    xs = [int(rng.random() < (0.05, 0.6)[i // 60 % 2]) for i in range(3000)]
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(xs)], "k string, o long, x int")
+    got = {r.o: (r.error_rate, r.level, r.segment) for r in ddm_restart(df, "x", ["k"], ["o"]).collect()}
+    assert [got[i] for i in range(len(xs))] == sequential_ddm(xs)
+    assert got[len(xs) - 1][2] >= 10 and len(written) <= 3

@@ -8,6 +8,8 @@ import pytest
 
 from driftwise.detectors.cluster import cluster_windows
 from driftwise.detectors.common import adaptive_threshold, rolling_quantile
+from driftwise.detectors.hst import scale_by_key
+from driftwise.plans.rolling import has_shuffle
 from tests.conftest import events
 
 
@@ -49,3 +51,15 @@ def test_dominant_clusters_take_one_list_a_frame(spark):
                 want.append((f"e{i:04d}", best, n / w, current))
             current = best
     assert got == want and len(want) > 5
+
+
+def test_scaling_by_few_keys_does_not_shuffle_the_rows(spark):
+    df = events(spark, [(f"e{i}", None if i % 2 else "s", "t", i, (float(i), None, None)) for i in range(20)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = scale_by_key(df, ["price"])
+        assert not has_shuffle(out)
+        got = {r.event_id: r.price_scaled for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {f"e{i}": pytest.approx((i - i % 2) / 18) for i in range(20)}

@@ -24,22 +24,26 @@ def parse_trades(df: DataFrame, value_col: str = "value", source: str = "trades"
     """Trade tick ``{s, p, q, T (ms), m}`` -> event type ``trade`` with payload
     {symbol, price, quantity, side = buy if m else sell}; a message missing any
     key, or with a price / quantity that is not a number, is dropped."""
-    df = df.withColumn("_message", F.try_parse_json(F.col(value_col)))  # parsed once
-    value_col = "_message"
-    keys = ["s", "p", "q", "T", "m"]
-    present = F.lit(True)
-    for k in keys:
-        present = present & _has(value_col, f"$.{k}")
-    price, qty = _get(value_col, "$.p", "double"), _get(value_col, "$.q", "double")
-    ms = _get(value_col, "$.T", "double")
-    rows = df.filter(present & price.isNotNull() & qty.isNotNull() & ms.isNotNull())
+    value = "_message"
+    # p, q and T are there when they give a number
+    read = F.struct(
+        (_has(value, "$.s") & _has(value, "$.m")).alias("present"),
+        _get(value, "$.s", "string").alias("symbol"), _get(value, "$.p", "double").alias("price"),
+        _get(value, "$.q", "double").alias("quantity"), _get(value, "$.T", "double").alias("ms"),
+        _get(value, "$.m", "boolean").alias("buy"))
+    # the tests below would be pushed down to the text, which each of them would parse
+    # anew; they cannot be pushed through a generator, so a message is parsed once
+    rows = df.withColumn(value, F.try_parse_json(F.col(value_col))).withColumn("_trade", F.explode(F.array(read)))
+    t = "_trade."
+    rows = rows.filter(F.col(t + "present") & F.col(t + "price").isNotNull() & F.col(t + "quantity").isNotNull()
+                       & F.col(t + "ms").isNotNull())
     payload = {
-        "symbol": _get(value_col, "$.s", "string"),
-        "price": price,
-        "quantity": qty,
-        "side": F.when(F.coalesce(_get(value_col, "$.m", "boolean"), F.lit(False)), F.lit("buy")).otherwise(F.lit("sell")),
+        "symbol": F.col(t + "symbol"),
+        "price": F.col(t + "price"),
+        "quantity": F.col(t + "quantity"),
+        "side": F.when(F.coalesce(F.col(t + "buy"), F.lit(False)), F.lit("buy")).otherwise(F.lit("sell")),
     }
-    ts = F.timestamp_millis(ms.cast("long"))
+    ts = F.timestamp_millis(F.col(t + "ms").cast("long"))
     return to_envelope(rows, source, "trade", timestamp=ts, payload=payload)
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payload import numeric_field, payload_kind
+from ..functions.payload import numeric_field, parsed, payload_kind
 from ..functions.timefmt import parse_duration
 
 KEY = ("source", "type")
@@ -51,8 +51,9 @@ def aggregate(
     src = df
     if watermark:
         src = src.withWatermark("timestamp", watermark)
-    p = numeric_field(src, price)
-    q = numeric_field(src, quantity)
+    src, held = parsed(src)
+    p = numeric_field(src, price, held)
+    q = numeric_field(src, quantity, held)
     ordered = _order_struct(order)
     with_p = F.when(p.isNotNull(), ordered)
     wcol = F.window("timestamp", win, f"{parse_duration(slide)} seconds") if slide else F.window("timestamp", win)

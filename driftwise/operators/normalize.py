@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payload import numeric_field, set_field
-from ..plans.rolling import Frame, over_rows
+from ..functions.payload import numeric_field, parsed, payload_kind, set_field
+from ..plans.rolling import Frame, materialize, over_rows
 
 ORDER = ("timestamp", "event_id")
 METHODS = ("min_max", "z_score")
@@ -38,7 +38,13 @@ def normalize(
         raise ValueError(f"unknown normalize method {method!r}")
     names = {f: f"{f}{suffix}" for f in fields}
     vs = {f: f"_v{i}" for i, f in enumerate(fields)}
-    tagged = df.select("*", *[numeric_field(df, f).alias(v) for f, v in vs.items()])
+    text = payload_kind(df) == "json" and not df.isStreaming
+    if text:  # dealt out first: few input splits would leave the decoding few tasks
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism, *dict.fromkeys([*key, *order]))
+    decoded, held = parsed(df)
+    tagged = decoded.select(*df.columns, *[numeric_field(decoded, f, held).alias(v) for f, v in vs.items()])
+    if text:  # the passes below would each decode it again
+        tagged = materialize(tagged)
     if len(vs) == 1 or df.isStreaming:
         return _one_by_one(tagged, names, vs, method, window_size, key, order, split)
     # rows lacking a field must not count for its frame: a table in which every row has

@@ -50,7 +50,10 @@ def ddm_restart(df: DataFrame, error: str, key: Sequence[str] = ("source",), ord
     packed to a bit a row. A walk over a key's chunks carries what a restart forgets (rows, errors
     and the lowest rate so far) to the start of every chunk; chunks then give their rows' values
     at the same time, and these meet the rows by key and number. The number of jobs
-    depends neither on rows nor on drifts; only the bits of a key pass one task, a batch at a time."""
+    depends neither on rows nor on drifts; only the bits of a key pass one task, a batch at a time.
+
+    The last join is a merge join by hint: Spark takes the rows' values for as small as the
+    bits they come from, and would send them all through the driver as a broadcast."""
     key, order = list(key), list(order)
     ident = F.to_json(F.array(*[F.col(c).cast("string") for c in key]))
     rows = materialize(rows_index(df.filter(F.col(error).isNotNull()), key, order, name="_n").withColumn("_k", ident))
@@ -62,7 +65,7 @@ def ddm_restart(df: DataFrame, error: str, key: Sequence[str] = ("source",), ord
         _ddm_starts(warning, drift, min_rows), f"_k string, _c long, m long, bits binary, {_DDM_STATE}")
     marks = materialize(started).repartition(n, "_k", "_c").mapInPandas(
         _ddm_rows(warning, drift, min_rows), "_k string, _n long, error_rate double, level string, segment int")
-    return rows.join(marks, ["_k", "_n"]).select(*df.columns, "error_rate", "level", "segment")
+    return rows.join(marks.hint("merge"), ["_k", "_n"]).select(*df.columns, "error_rate", "level", "segment")
 
 
 DDM_CHUNK = 1 << 16  # rows

@@ -126,3 +126,11 @@ def test_ddm_takes_a_fixed_number_of_jobs_and_carries_states_over_chunks(spark,
     got = {r.o: (r.error_rate, r.level, r.segment) for r in ddm_restart(df, "x", ["k"], ["o"]).collect()}
     assert [got[i] for i in range(len(xs))] == sequential_ddm(xs)
     assert got[len(xs) - 1][2] >= 10 and len(written) <= 3
+
+
+def test_ddm_sends_no_table_of_rows_through_the_driver(spark):
+    df = spark.createDataFrame([("a", i, i % 7 // 6) for i in range(500)], "k string, o long, x int")
+    out = ddm_restart(df, "x", ["k"], ["o"])
+    assert len(out.collect()) == 500
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -67,3 +67,10 @@ def test_a_hot_time_of_an_interval_join_is_split(spark, monkeypatch):
                   if p[4] == "3" and abs(sec[e] - sec[p]) <= 300)
     assert sorted(tuple(r) for r in got.collect()) == near
     assert len(held) > 4 and max(r["count"] for r in held) < len(near) / 3
+
+
+def test_interval_join_meets_nan_keys(spark):
+    rows = [("a", float("nan"), 10), ("b", float("nan"), 20), ("c", 1.0, 30), ("d", None, 40)]
+    df = spark.createDataFrame(rows, "id string, k double, sec long").select("id", "k", F.timestamp_seconds("sec").alias("timestamp"))
+    got = interval_join(df, df, 60, 60, on=("k",)).collect()
+    assert sorted((r.id, r.r_id) for r in got) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b"), ("c", "c")]
